@@ -1,0 +1,23 @@
+"""Bind a column expression to a name inside one larger expression."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it any number of times in ``body``.
+
+    A plain column reference may be inlined by the optimizer and then be evaluated
+    once per use, or once per array element inside a lambda.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def upto(last: Column, first: int | Column = 0) -> Column:
+    """``first..last`` ascending, empty if ``last`` is smaller than ``first``."""
+    low = F.lit(first) if isinstance(first, int) else first
+    return F.when(last >= low, F.sequence(low, last)).otherwise(F.array().cast("array<int>"))
