@@ -12,6 +12,7 @@ from postlens.operators import (
 )
 from postlens.schema import ARCHIVE_KEY, CLOSE_TAG, FULL_VIEW, IMAGE_KEY, OPEN_TAG, POST_KEY
 from postlens.sources import images, posts as sources, selection
+from postlens.sources.layout import settled
 from postlens.sources.markers import any_of, atom, none_of, prepare
 
 SEED = fx.SEED
@@ -407,13 +408,19 @@ def images_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- samples -------------------------------------------------------------------------
 
 
+def _of_platforms(sizes: DataFrame) -> DataFrame:
+    return sizes.where(F.col("platform").isin(*fx.PLATFORMS))
+
+
 def _weighted(posts: DataFrame) -> DataFrame:
-    return sampling.weighted_sizes(counts.counts_per_platform(posts), SAMPLE_TOTAL).where(
-        F.col("platform").isin(*fx.PLATFORMS))
+    totals = counts.counts_per_platform(posts)
+    return _of_platforms(sampling.weighted_sizes(totals, SAMPLE_TOTAL))
 
 
 def _flagged(posts: DataFrame) -> DataFrame:
-    return sampling.flag_sample(posts, sampling.cutoffs(posts, _weighted(posts), SEED), SEED)
+    """Posts with ``in_sample``; the cut-offs, one row per platform, are settled first."""
+    cuts = settled(sampling.cutoffs(posts, _weighted(posts), SEED))
+    return sampling.flag_sample(posts, cuts, SEED)
 
 
 def _sample(spark: SparkSession, sf_dir: str, sizes) -> DataFrame:
@@ -535,7 +542,7 @@ def match_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     markers = prepare(fx.one_marker(spark, any_of(atom("prefix", "ee"), atom("phrase", "of", "the"))))
     found = matching.hits(fx.posts(spark, sf_dir), markers, ["body"], with_ends=True)
-    marked = matching.marked_up(F.col("body"), F.col("result.spans"), OPEN_TAG, CLOSE_TAG)
+    marked = matching.marked_up("body", "result.spans", OPEN_TAG, CLOSE_TAG)
     return found.select("uid", F.col("spans").cast("bigint").alias("spans"), marked.alias("body"))
 
 
@@ -551,9 +558,12 @@ def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report(spark: SparkSession, sf_dir: str, rows: list[tuple] | None = None) -> DataFrame:
     posts = fx.posts(spark, sf_dir)
-    sizes = sampling.sample_counts(sampling.sample_uids(posts, _weighted(posts), SEED))
+    totals = settled(counts.counts_per_platform(posts))
+    sizes = _of_platforms(sampling.weighted_sizes(totals, SAMPLE_TOTAL))
+    cuts = settled(sampling.cutoffs(posts, sizes, SEED))
     return report.marker_report(
-        _flagged(posts), prepare(fx.markers(spark, rows)), counts.counts_per_platform(posts), sizes)
+        sampling.flag_sample(posts, cuts, SEED), prepare(fx.markers(spark, rows)), totals,
+        sampling.drawn_sizes(totals, sizes))
 
 
 def _uids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,7 +586,7 @@ def marker_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def marker_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = report.uid_lists(_uids(spark, sf_dir), LIST_LENGTH)
+    lists = report.uid_lists(settled(_uids(spark, sf_dir)), LIST_LENGTH)
     return lists.withColumn("uids", F.concat_ws(",", F.transform("uids", lambda u: u.cast("string"))))
 
 
@@ -612,7 +622,7 @@ def rollup_group_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def heat_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.heat_scale(_report(spark, sf_dir))
+    return rollups.heat_scale(settled(_report(spark, sf_dir)))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

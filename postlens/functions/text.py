@@ -10,9 +10,6 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 TOKEN_CHARS = r"\p{L}\p{N}\p{Co}"
 
 
@@ -44,25 +41,24 @@ def word_pattern() -> str:
     return f"[{TOKEN_CHARS}][{TOKEN_CHARS}{marks}]*"
 
 
-def fold(text: Column) -> Column:
-    """Lower case without accents; pure ASCII texts skip the character table."""
+def fold(text: str) -> str:
+    """SQL: lower case without accents; pure ASCII texts skip the character table."""
     letters, plain, marks = fold_table()
-    lowered = F.lower(text)
-    folded = F.translate(lowered, letters + marks, plain)
-    return F.when(F.octet_length(text) == F.char_length(text), lowered).otherwise(folded)
+    folded = f"translate(lower({text}), '{letters}{marks}', '{plain}')"
+    return f"if(octet_length({text}) = char_length({text}), lower({text}), {folded})"
 
 
-def tokens(text: Column) -> Column:
-    """Token array of a text; empty for null."""
-    parts = F.array_remove(F.split(fold(text), f"[^{TOKEN_CHARS}]+"), "")
-    return F.coalesce(parts, F.array().cast("array<string>"))
+def tokens(text: str) -> str:
+    """SQL: token array of a text; empty for null."""
+    parts = f"array_remove(split({fold(text)}, r'[^{TOKEN_CHARS}]+'), '')"
+    return f"coalesce({parts}, cast(array() as array<string>))"
 
 
-def words(text: Column) -> Column:
-    """Original spelling of each token, same length and order as ``tokens``."""
-    return F.regexp_extract_all(text, F.lit(f"({word_pattern()})"), F.lit(1))
+def words(text: str) -> str:
+    """SQL: original spelling of each token, same length and order as ``tokens``."""
+    return f"regexp_extract_all({text}, r'({word_pattern()})', 1)"
 
 
-def separators(text: Column) -> Column:
-    """What stands before, between and behind the words: one element more than ``words``."""
-    return F.split(text, word_pattern())
+def separators(text: str) -> str:
+    """SQL: what stands before, between and behind the words, one element more than those."""
+    return f"split({text}, r'{word_pattern()}')"

@@ -12,60 +12,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import text
-from postlens.functions.lets import let, upto
+from postlens.functions.sql import let, text_list, text_literal, upto
 from postlens.schema import REFERENCE_PREFIX
 from postlens.sources.markers import Markers
 
-NO_INTS = "array<int>"
-
 
 def with_tokens(posts: DataFrame) -> DataFrame:
     """Add ``tokens`` of the body and ``dl``, the tokens of subject, body and extras."""
     if {"tokens", "dl"} <= set(posts.columns):
         return posts
-    others = F.size(text.tokens(F.col("subject"))) + F.size(text.tokens(F.col("extras")))
-    return posts.withColumn("tokens", text.tokens(F.col("body"))).withColumn(
-        "dl", F.size("tokens") + others
-    )
+    others = f"size({text.tokens('subject')}) + size({text.tokens('extras')})"
+    return posts.selectExpr("*", f"{text.tokens('body')} as tokens").selectExpr(
+        "*", f"size(tokens) + {others} as dl")
 
 
 # --- candidates ----------------------------------------------------------------------
 
 
-def _asked_for(markers: Markers, token: Column) -> Column:
-    asked = token.isin(list(markers.words))
-    for length, texts in markers.prefixes:
-        asked = asked | F.left(token, F.lit(length)).isin(list(texts))
-    return asked
-
-
-def _keys_of(token: Column, lengths: list[int]) -> list[Column]:
-    return [F.concat(F.lit("="), token)] + [
-        F.concat(F.lit(f"{n}*"), F.left(token, F.lit(n))) for n in lengths
-    ]
-
-
 def _small_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
-    spots = F.array_compact(F.transform(
-        "tokens",
-        lambda t, i: F.when(_asked_for(markers, t), F.struct(i.alias("i"), t.alias("t"))),
-    ))
-    lengths = [n for n, _ in markers.prefixes]
-    offered = F.flatten(F.transform("spots", lambda s: F.array(*_keys_of(s["t"], lengths))))
-    keys = markers.keys
-    wanted = markers.specs
+    """Keep the asked-for tokens of a post as ``spots`` and look their keys up in the markers."""
+    asked = [f"t in ({text_list(markers.words)})"] if markers.words else []
+    asked += [f"left(t, {n}) in ({text_list(texts)})" for n, texts in markers.prefixes]
+    spots = (
+        "array_compact(transform(tokens, (t, i) -> "
+        f"if({' or '.join(asked) or 'false'}, struct(i as i, t as t), null)))"
+    )
+    keys = ["concat('=', s.t)"]
+    keys += [f"concat('{n}*', left(s.t, {n}))" for n, _ in markers.prefixes]
     candidates = (
-        posts.withColumn("spots", spots).withColumn("offered", offered)
+        posts.selectExpr("*", f"{spots} as spots")
+        .selectExpr("*", f"flatten(transform(spots, s -> array({', '.join(keys)}))) as offered")
         # Exploding a bare column would add a filter that repeats its whole computation.
-        .select("*", F.explode(F.array_distinct("offered")).alias("key"))
-        .join(F.broadcast(keys), "key")
-        .join(F.broadcast(wanted), "marker")
+        .selectExpr("*", "explode(array_distinct(offered)) as key")
+        .join(F.broadcast(markers.keys), "key")
+        .join(F.broadcast(markers.specs), "marker")
     )
     # A post that offers several keys of a marker keeps the first pair only.
-    leading = F.get(F.array_intersect("offered", "wanted"), F.lit(0))
     return (
-        candidates.where(leading == F.col("key"))
-        .withColumn("spots", F.transform("spots", lambda s: s["i"]))
+        candidates.where("get(array_intersect(offered, wanted), 0) = key")
+        .withColumn("spots", F.expr("transform(spots, s -> s.i)"))
         .drop("offered", "key", "wanted")
     )
 
@@ -73,18 +58,17 @@ def _small_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
 def _large_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
     """Offer every token and its prefixes as rows and let the optimizer choose the joins."""
     longest = markers.keys.agg(
-        F.coalesce(F.max(F.substring_index("key", "*", 1).try_cast("int")), F.lit(0))
-    ).scalar()
+        F.expr("coalesce(max(try_cast(substring_index(key, '*', 1) as int)), 0)")).scalar()
     offered = (
-        posts.select("uid", F.explode(F.array_distinct("tokens")).alias("token"))
+        posts.selectExpr("uid", "explode(array_distinct(tokens)) as token")
         .withColumn("n", F.explode(F.sequence(F.lit(0), F.least(F.char_length("token"), longest))))
-        .select("uid", F.when(F.col("n") == 0, F.concat(F.lit("="), "token")).otherwise(
-            F.concat(F.col("n").cast("string"), F.lit("*"), F.left("token", "n"))).alias("key"))
+        .selectExpr(
+            "uid", "if(n = 0, concat('=', token), concat(n, '*', left(token, n))) as key")
     )
     pairs = offered.join(markers.keys, "key").select("uid", "marker").distinct()
     return (
         posts.join(pairs, "uid").join(markers.specs, "marker")
-        .withColumn("spots", upto(F.size("tokens") - 1))
+        .withColumn("spots", F.expr(upto(0, "size(tokens) - 1")))
         .drop("wanted")
     )
 
@@ -92,107 +76,63 @@ def _large_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
 # --- evaluation ----------------------------------------------------------------------
 
 
-def _word_at(phrase: Column, offset: Column, position: Column) -> Column:
-    token = F.get("tokens", position)
-    word = F.get(phrase["words"], offset)
-    is_last = offset == phrase["m"] - 1
-    return F.when(phrase["prefix"] & is_last, token.startswith(word)).otherwise(token == word)
+def _word_at(phrase: str, offset: str, position: str) -> str:
+    token, word = f"get(tokens, {position})", f"get({phrase}.words, {offset})"
+    return (f"coalesce(if({phrase}.prefix and {offset} = {phrase}.m - 1, "
+            f"startswith({token}, {word}), {token} = {word}), false)")
 
 
-def _hits_at(phrase: Column, position: Column) -> Column:
+def _hits_at(phrase: str, position: str) -> str:
     """Does the phrase start at this token?"""
-    one = _word_at(phrase, F.lit(0), position)
-    rest = F.forall(
-        upto(phrase["m"] - 1, 1), lambda d: F.coalesce(_word_at(phrase, d, position + d), F.lit(False))
-    )
-    placed = ~phrase["first"] | (position == 0)
-    return placed & F.coalesce(one, F.lit(False)) & F.when(phrase["m"] == 1, True).otherwise(rest)
-
-
-def _near_mate(phrase: Column, mate: Column, position: Column) -> Column:
-    """Does the other phrase start so close that at most k tokens lie between?"""
-    nearby = upto(
-        position + phrase["m"] + phrase["k"],
-        F.greatest(F.lit(0), position - mate["m"] - phrase["k"]),
-    )
-    return F.exists(nearby, lambda j: _hits_at(mate, j))
-
-
-def _starts() -> Column:
-    """Start positions of every phrase, as one array per phrase."""
-    return F.transform(
-        "phrases", lambda p: F.filter("spots", lambda i: _hits_at(p, i)))
-
-
-def _kept(starts: Column) -> Column:
-    """Starts that count: those of a near pair only next to the partner."""
-    def of_phrase(positions: Column, no: Column) -> Column:
-        phrase = F.get("phrases", no)
-        mate = F.get("phrases", no + phrase["mate"])
-        return F.when(phrase["mate"] == 0, positions).otherwise(
-            F.filter(positions, lambda i: _near_mate(phrase, mate, i)))
-
-    return F.transform(starts, of_phrase)
-
-
-def _holds(kept: Column) -> Column:
-    numbers = upto(F.size("phrases") - 1)
-
-    def clause_holds(negated: Column, clause: Column) -> Column:
-        found = F.exists(numbers, lambda no: (F.get("phrases", no)["clause"] == clause)
-                         & (F.size(F.get(kept, no)) > 0))
-        return found != negated
-
-    return F.forall(F.transform("negations", clause_holds), lambda ok: ok)
-
-
-def _islands(kept: Column, with_ends: bool) -> Column:
-    """Starts (and ends) of the marked spans: hits that share a token merge, neighbours do not."""
-    def intervals_of(positions: Column, no: Column) -> Column:
-        phrase = F.get("phrases", no)
-        return F.when(phrase["negated"], F.array().cast("array<struct<s: int, e: int>>")).otherwise(
-            F.transform(positions, lambda i: F.struct(i.alias("s"), (i + phrase["m"] - 1).alias("e"))))
-
-    ordered = F.sort_array(F.flatten(F.transform(kept, intervals_of)))
-    reach = F.col("widest") - 1
-
-    def longest_per_start(hits: Column) -> Column:
-        return F.filter(hits, lambda x, no: ~F.get(hits, no + 1)["s"].eqNullSafe(x["s"]))
-
-    def starts_of(hits: Column) -> Column:
-        inner = lambda x, no: F.exists(
-            upto(F.least(no, reach), 1), lambda d: F.get(hits, no - d)["e"] >= x["s"])
-        return F.transform(F.filter(hits, lambda x, no: ~inner(x, no)), lambda x: x["s"])
-
-    def ends_of(hits: Column) -> Column:
-        # No other hit may reach over this end; only close neighbours can.
-        def passed(x: Column, no: Column) -> Column:
-            return F.exists(
-                upto(no + reach, F.greatest(F.lit(0), no - reach)),
-                lambda j: F.coalesce((F.get(hits, j)["s"] <= x["e"]) & (F.get(hits, j)["e"] > x["e"]),
-                                     F.lit(False)))
-
-        return F.array_distinct(
-            F.transform(F.filter(hits, lambda x, no: ~passed(x, no)), lambda x: x["e"]))
-
-    return let(ordered, lambda all_hits: let(longest_per_start(all_hits), lambda hits: F.struct(
-        starts_of(hits).alias("starts"),
-        (ends_of(hits) if with_ends else F.array().cast(NO_INTS)).alias("ends"),
-    )))
+    rest = f"forall({upto(1, f'{phrase}.m - 1')}, d -> {_word_at(phrase, 'd', f'{position} + d')})"
+    return (f"((not {phrase}.first or {position} = 0) and {_word_at(phrase, '0', position)} "
+            f"and ({phrase}.m = 1 or {rest}))")
+
+
+# Start positions of every phrase, as one array per phrase.
+_STARTS = f"transform(phrases, p -> filter(spots, i -> {_hits_at('p', 'i')}))"
+
+# Starts that count: those of a near pair only where the partner starts so close that at most
+# k tokens lie between.
+_PHRASE, _MATE = "get(phrases, no)", "get(phrases, no + get(phrases, no).mate)"
+_NEARBY = upto(f"greatest(0, i - {_MATE}.m - {_PHRASE}.k)", f"i + {_PHRASE}.m + {_PHRASE}.k")
+_KEPT = f"""transform(starts, (x, no) -> if({_PHRASE}.mate = 0, x,
+    filter(x, i -> exists({_NEARBY}, j -> {_hits_at(_MATE, 'j')}))))"""
+
+_HOLDS = f"""forall(transform(negations, (negated, clause) -> negated <> exists(
+    {upto(0, 'size(phrases) - 1')},
+    no -> get(phrases, no).clause = clause and size(get(kept, no)) > 0)), ok -> ok)"""
+
+# Marked spans: hits that share a token merge, neighbours do not. ``hits`` holds the longest hit
+# per start; only hits within the widest phrase can reach one another.
+_ORDERED = """sort_array(flatten(transform(kept, (x, no) -> if(get(phrases, no).negated,
+    cast(array() as array<struct<s: int, e: int>>),
+    transform(x, i -> struct(i as s, i + get(phrases, no).m - 1 as e))))))"""
+_LONGEST = "filter(ordered, (h, no) -> not (get(ordered, no + 1).s <=> h.s))"
+_SPAN_STARTS = f"""transform(filter(hits, (h, no) -> not exists(
+    {upto(1, 'least(no, widest - 1)')}, d -> get(hits, no - d).e >= h.s)), h -> h.s)"""
+_SPAN_ENDS = f"""array_distinct(transform(filter(hits, (h, no) -> not exists(
+    {upto('greatest(0, no - widest + 1)', 'no + widest - 1')},
+    j -> coalesce(get(hits, j).s <= h.e and get(hits, j).e > h.e, false))), h -> h.e))"""
+
+
+def _result(with_ends: bool) -> str:
+    ends = _SPAN_ENDS if with_ends else "cast(array() as array<int>)"
+    spans = let("ordered", _ORDERED, let(
+        "hits", _LONGEST, f"struct({_SPAN_STARTS} as starts, {ends} as ends)"))
+    return let("starts", _STARTS, let("kept", _KEPT, f"""struct(
+        {_HOLDS} as holds,
+        transform(starts, x -> size(x) > 0) as seen,
+        transform(kept, x -> size(x)) as f,
+        {spans} as spans)"""))
 
 
 def evaluate(candidates: DataFrame, with_ends: bool = False) -> DataFrame:
-    """Add ``result`` (holds, seen, f, starts, ends) to (post, marker) candidates.
+    """Add ``result`` (holds, seen, f, spans) to (post, marker) candidates.
 
     ``seen`` tells per phrase whether it occurs at all, ``f`` how many of its hits count.
     """
-    result = let(_starts(), lambda starts: let(_kept(starts), lambda kept: F.struct(
-        _holds(kept).alias("holds"),
-        F.transform(starts, lambda x: F.size(x) > 0).alias("seen"),
-        F.transform(kept, lambda x: F.size(x)).alias("f"),
-        _islands(kept, with_ends).alias("spans"),
-    )))
-    return candidates.select("*", F.explode(F.array(result)).alias("result"))
+    return candidates.selectExpr("*", f"explode(array({_result(with_ends)})) as result")
 
 
 def in_scope() -> Column:
@@ -230,19 +170,16 @@ def hits(
     )
 
 
-def marked_up(body: Column, spans: Column, open_tag: str, close_tag: str) -> Column:
+def marked_up(body: str, spans: str, open_tag: str, close_tag: str) -> Column:
     """Body with a tag pair around each span.
 
     Words, separators and tags each get a sort number; sorting the pieces puts the text together
     in time that grows with the text, however many spans it has.
     """
-    def piece(number: Column, what: Column) -> Column:
-        return F.struct(number.alias("at"), what.alias("what"))
-
-    pieces = F.concat(
-        F.transform(text.separators(body), lambda s, i: piece(i * 4, s)),
-        F.transform(spans["starts"], lambda i: piece(i * 4 + 1, F.lit(open_tag))),
-        F.transform(text.words(body), lambda w, i: piece(i * 4 + 2, w)),
-        F.transform(spans["ends"], lambda i: piece(i * 4 + 3, F.lit(close_tag))),
-    )
-    return F.array_join(F.transform(F.sort_array(pieces), lambda p: p["what"]), "")
+    opening, closing = text_literal(open_tag), text_literal(close_tag)
+    return F.expr(f"""array_join(transform(sort_array(concat(
+        transform({text.separators(body)}, (s, i) -> struct(i * 4 as at, s as what)),
+        transform({spans}.starts, i -> struct(i * 4 + 1 as at, {opening} as what)),
+        transform({text.words(body)}, (w, i) -> struct(i * 4 + 2 as at, w as what)),
+        transform({spans}.ends, i -> struct(i * 4 + 3 as at, {closing} as what)))),
+        p -> p.what), '')""")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.functions.lets import upto
+from postlens.functions.sql import upto
 from postlens.operators.matching import hits, match, with_tokens
+from postlens.sources.layout import settled
 from postlens.sources.markers import Markers
 
 # Fixed values of the ranking formula.
@@ -44,16 +45,14 @@ def phrase_weights(posts: DataFrame, markers: Markers) -> DataFrame:
     )
 
 
-def rank() -> Column:
-    length = F.col("dl") / F.col("mean_length")
+# Sum over the phrases of weight * f * (k1 + 1) / (f + k1 * (1 - b + b * length / mean length)).
+_SCORE = f"""aggregate({upto(0, 'size(result.f) - 1')}, 0D, (total, no) -> total
+    + coalesce(element_at(weights, no), 0D) * ((get(result.f, no) * ({K1}D + 1))
+        / (get(result.f, no) + {K1}D * (1 - {B}D + {B}D * (dl / mean_length)))))"""
 
-    def add(total: Column, phrase: Column) -> Column:
-        f = F.get("result.f", phrase)
-        weight = F.coalesce(F.element_at("weights", phrase), F.lit(0.0))
-        return total + weight * ((f * (K1 + 1)) / (f + K1 * (1 - B + B * length)))
 
-    score = F.aggregate(upto(F.size("result.f") - 1), F.lit(0.0), add)
-    return F.round(score * -1, 3)
+def rank() -> Column:
+    return F.expr(f"round({_SCORE} * -1, 3)")
 
 
 def ranked_hits(
@@ -62,7 +61,7 @@ def ranked_hits(
 ) -> DataFrame:
     """Hits with their ``rank``: one pass for the corpus statistics, one for the rows."""
     found = hits(posts, markers, list(dict.fromkeys([*keep, "dl"])), with_ends, scoped)
-    weights = phrase_weights(posts, markers)
+    weights = settled(phrase_weights(posts, markers))
     if markers.small:  # one row per marker, and their number was checked
         weights = F.broadcast(weights)
     return found.join(weights, "marker").withColumn("rank", rank()).drop("weights", "mean_length")

@@ -118,7 +118,7 @@ def hit_rows(posts: DataFrame, markers: Markers) -> DataFrame:
     kept = [c for c in MATCH_VIEW if c not in ("uid", "rank")]
     found = ranked_hits(posts, markers, [*kept, "in_sample"], with_ends=True, scoped=True)
     flags = scope_flags()
-    marked = marked_up(F.col("body"), F.col("result.spans"), OPEN_TAG, CLOSE_TAG)
+    marked = marked_up("body", "result.spans", OPEN_TAG, CLOSE_TAG)
     return found.select(
         F.col("marker").alias("index"),
         *[marked.alias("body") if c == "body" else F.col(c) for c in MATCH_VIEW],

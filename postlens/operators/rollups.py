@@ -52,17 +52,17 @@ def once_per_post(uids: DataFrame, markers: DataFrame, level: str) -> DataFrame:
 
 
 def heat_scale(report: DataFrame) -> DataFrame:
-    """Every share and ratio with its place between the smallest and largest of its kind."""
-    def long(kind: str, columns: list[str]) -> DataFrame:
-        numbers = report.select("index", *[F.col(c).cast("double").alias(c) for c in columns])
-        return (
-            numbers.unpivot("index", columns, "measure", "value")
-            .where(F.col("value") != -1)
-            .withColumn("kind", F.lit(kind))
-        )
-
-    values = long("rel", [f"count_{s}_rel" for s in SCOPES]).unionByName(
-        long("ratio", [f"match_{s}_ratio" for s in SCOPES]))
+    """Every share and ratio with its place between the smallest and largest of its kind.
+
+    Reads the report twice, so pass a stored one.
+    """
+    columns = [f"count_{s}_rel" for s in SCOPES] + [f"match_{s}_ratio" for s in SCOPES]
+    numbers = report.select("index", *[F.col(c).cast("double").alias(c) for c in columns])
+    values = (
+        numbers.unpivot("index", columns, "measure", "value")
+        .where(F.col("value") != -1)
+        .withColumn("kind", F.when(F.col("measure").endswith("_rel"), "rel").otherwise("ratio"))
+    )
     # Two rows, one per kind.
     bounds = values.groupBy("kind").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     place = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))

@@ -128,6 +128,12 @@ def sample_uids(posts: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     return draw(posts.select("platform", "uid"), sizes, seed)
 
 
+def drawn_sizes(totals: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Size each sample comes out with: as asked for, or the whole platform if it has less."""
+    return totals.join(sizes, "platform").select(
+        "platform", F.least("sample_size", "count_posts").alias("sample_size"))
+
+
 def sample_counts(sample: DataFrame) -> DataFrame:
     return sample.groupBy("platform").agg(F.count("*").alias("sample_size"))
 

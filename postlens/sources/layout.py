@@ -1,7 +1,9 @@
-"""How input is spread over tasks."""
+"""How input is spread over tasks, and where intermediate results are settled."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +28,21 @@ def spread_small(rows: DataFrame, paths: str | list[str]) -> DataFrame:
     if input_bytes(spark, paths) < cores * BYTES_PER_CORE:
         return rows.repartition(cores * 2)
     return rows
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder and continue from there.
+
+    Used for results that several later steps read: they are computed once, survive the loss
+    of executors, and keep the plans of the later steps short. The folder is the cluster's
+    ``spark.checkpoint.dir``; only a local session may fall back to a temporary one.
+    """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="postlens-")
+        context.setCheckpointDir(folder)
+    return rows.checkpoint(eager=True)

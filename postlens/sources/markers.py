@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.functions.sql import text_list
 from postlens.functions.text import tokens
 from postlens.schema import MARKER_SCHEMA
+from postlens.sources.layout import settled
 
 KINDS = ["term", "prefix", "phrase", "phrase_prefix", "first", "near"]
 DEFAULT_GAP = 10
@@ -41,8 +44,21 @@ def none_of(*atoms: tuple) -> tuple:
     return True, list(atoms)
 
 
+_ATOM = pa.struct([
+    ("kind", pa.string()), ("tokens", pa.list_(pa.string())), ("k", pa.int32())])
+_CLAUSE = pa.struct([("negated", pa.bool_()), ("atoms", pa.list_(_ATOM))])
+_TEXTS = ["index", "platform", "category", "type", "marker_title", "marker_group", "fts_query"]
+
+
 def marker_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, MARKER_SCHEMA)
+    """Marker rows given in the program, in the order of ``MARKER_SCHEMA``."""
+    columns = {name: pa.array([r[i] for r in rows], pa.string()) for i, name in enumerate(_TEXTS)}
+    columns["to_analyse"] = pa.array([r[7] for r in rows], pa.int32())
+    clauses = [[
+        {"negated": negated, "atoms": [dict(zip(("kind", "tokens", "k"), a)) for a in atoms]}
+        for negated, atoms in r[8]] for r in rows]
+    columns["clauses"] = pa.array(clauses, pa.list_(_CLAUSE))
+    return spark.createDataFrame(pa.table(columns))
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
@@ -53,64 +69,45 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
 # --- preparing markers ---------------------------------------------------------------
 
 
-def _phrase(clause: Column, kind: Column, words: Column, mate: int, k: Column) -> Column:
-    is_prefix = kind.isin("prefix", "phrase_prefix")
-    single = is_prefix & (F.size(words) == 1)
-    first = F.get(words, F.lit(0))
-    return F.struct(
-        clause["no"].alias("clause"),
-        clause["negated"].alias("negated"),
-        words.alias("words"),
-        F.size(words).alias("m"),
-        is_prefix.alias("prefix"),
-        (kind == "first").alias("first"),
-        F.lit(mate).alias("mate"),
-        F.coalesce(k, F.lit(DEFAULT_GAP)).alias("k"),
-        # The key under which a post offers the first token of the phrase.
-        F.when(single, F.concat(F.char_length(first), F.lit("*"), first))
-        .otherwise(F.concat(F.lit("="), first)).alias("key"),
-    )
-
-
-def _phrases_of_clause(clause: Column) -> Column:
-    def of_atom(a: Column) -> Column:
-        joined = tokens(F.concat_ws(" ", a["tokens"]))
-        pair = F.array(
-            _phrase(clause, a["kind"], tokens(F.get(a["tokens"], F.lit(0))), 1, a["k"]),
-            _phrase(clause, a["kind"], tokens(F.get(a["tokens"], F.lit(1))), -1, a["k"]),
-        )
-        return F.when(a["kind"] == "near", pair).otherwise(
-            F.array(_phrase(clause, a["kind"], joined, 0, a["k"])))
-
-    return F.flatten(F.transform(clause["atoms"], of_atom))
-
-
-def _atom_problem(a: Column) -> Column:
-    parts = F.coalesce(F.size(a["tokens"]), F.lit(0))
-    is_near = a["kind"] == "near"
-    return (
-        F.when(~F.coalesce(a["kind"].isin(KINDS), F.lit(False)), "unknown kind")
-        .when(parts < 1, "no tokens")
-        .when(is_near & (parts != 2), "near needs two parts")
-        .when(is_near & (F.coalesce(a["k"], F.lit(0)) < 0), "negative gap")
-        .when(F.exists(F.when(is_near, a["tokens"]).otherwise(
-            F.array(F.concat_ws(" ", a["tokens"]))), lambda t: F.size(tokens(t)) == 0), "no tokens")
-    )
-
-
-def _problem() -> Column:
-    clauses = F.col("clauses")
-    atoms = F.flatten(F.transform(clauses, lambda c: c["atoms"]))
-    problems = F.array_compact(F.transform(atoms, _atom_problem))
-    return (
-        F.when(F.col("platform").isNull(), "no platform")
-        .when(F.coalesce(F.size(clauses), F.lit(0)) < 1, "no clauses")
-        .when(~F.coalesce(F.exists(clauses, lambda c: ~c["negated"]), F.lit(False)),
-              "only negated clauses")
-        .when(F.exists(clauses, lambda c: F.coalesce(F.size(c["atoms"]), F.lit(0)) < 1),
-              "empty clause")
-        .otherwise(F.get(problems, F.lit(0)))
-    )
+def _phrase(words: str, mate: int) -> str:
+    """One phrase of atom ``a`` in clause ``c``; ``key`` is what a post offers as first token."""
+    first = f"get({words}, 0)"
+    prefix = "a.kind in ('prefix', 'phrase_prefix')"
+    return f"""named_struct(
+        'clause', c.no, 'negated', c.negated, 'words', {words}, 'm', size({words}),
+        'prefix', {prefix}, 'first', a.kind = 'first', 'mate', {mate},
+        'k', coalesce(a.k, {DEFAULT_GAP}),
+        'key', if({prefix} and size({words}) = 1,
+            concat(char_length({first}), '*', {first}), concat('=', {first})))"""
+
+
+# Clauses with their number, every part of an atom cut into tokens.
+TOKENIZED = f"""
+    transform(clauses, (c, no) -> struct(no as no, c.negated as negated,
+        transform(c.atoms, a -> struct(a.kind as kind, a.k as k,
+            transform(a.tokens, t -> {tokens('t')}) as parts)) as atoms))"""
+
+# All phrases of a marker in one list; a near atom brings two that point at each other.
+PHRASES = f"""
+    flatten(transform(tokenized, c -> flatten(transform(c.atoms, a -> if(a.kind = 'near',
+        array({_phrase('get(a.parts, 0)', 1)}, {_phrase('get(a.parts, 1)', -1)}),
+        array({_phrase('flatten(a.parts)', 0)}))))))"""
+
+_ATOM_PROBLEM = f"""
+    case when coalesce(a.kind not in ({text_list(KINDS)}), true) then 'unknown kind'
+        when coalesce(size(flatten(a.parts)), 0) < 1
+            or (a.kind = 'near' and exists(a.parts, p -> size(p) = 0)) then 'no tokens'
+        when a.kind = 'near' and size(a.parts) <> 2 then 'near needs two parts'
+        when a.kind = 'near' and a.k < 0 then 'negative gap' end"""
+
+# Why a marker cannot be evaluated, null if it can.
+PROBLEM = f"""
+    case when platform is null then 'no platform'
+        when coalesce(size(tokenized), 0) < 1 then 'no clauses'
+        when forall(tokenized, c -> c.negated) then 'only negated clauses'
+        when exists(tokenized, c -> coalesce(size(c.atoms), 0) < 1) then 'empty clause'
+        else get(array_compact(transform(flatten(transform(tokenized, c -> c.atoms)),
+            a -> {_ATOM_PROBLEM})), 0) end"""
 
 
 @dataclass(frozen=True)
@@ -135,24 +132,22 @@ def prepare(markers: DataFrame, limit: int = SMALL_MARKERS) -> Markers:
     At most ``limit`` + 1 keys come to the driver. If there are more, the tables stay
     distributed and candidates are found by a join instead.
     """
-    rows = markers.where(F.col("to_analyse") == 1).withColumn("problem", _problem())
-    numbered = F.transform(
-        F.col("clauses"),
-        lambda c, i: F.struct(i.alias("no"), c["negated"].alias("negated"), c["atoms"].alias("atoms")),
+    checked = settled(
+        markers.where("to_analyse = 1")
+        .selectExpr("*", f"{TOKENIZED} as tokenized")
+        .selectExpr("*", f"{PROBLEM} as problem")
+        .selectExpr(
+            "* except (tokenized, clauses)",
+            "transform(clauses, c -> c.negated) as negations",
+            f"if(problem is null, {PHRASES}, null) as phrases")
     )
-    specs = (
-        rows.where(F.col("problem").isNull())
-        .select(
-            F.col("index").alias("marker"),
-            F.col("platform").alias("marker_platform"),
-            F.transform("clauses", lambda c: c["negated"]).alias("negations"),
-            F.flatten(F.transform(numbered, _phrases_of_clause)).alias("phrases"),
-        )
-        .withColumn("widest", F.array_max(F.transform("phrases", lambda p: p["m"])))
-        .withColumn("wanted", F.array_distinct(F.transform(
-            F.filter("phrases", lambda p: ~p["negated"]), lambda p: p["key"])))
+    rows = checked.drop("phrases", "negations")
+    specs = checked.where("problem is null").selectExpr(
+        "index as marker", "platform as marker_platform", "negations", "phrases",
+        "array_max(transform(phrases, p -> p.m)) as widest",
+        "array_distinct(transform(filter(phrases, p -> not p.negated), p -> p.key)) as wanted",
     )
-    pairs = specs.select(F.explode(F.transform("phrases", lambda p: p["key"])).alias("key"))
+    pairs = specs.selectExpr("explode(transform(phrases, p -> p.key)) as key")
     found = [row.key for row in pairs.limit(limit + 1).collect()]
     if len(found) > limit:
         return Markers(rows, specs, small=False)
