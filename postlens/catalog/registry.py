@@ -550,7 +550,7 @@ def match_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     markers = prepare(fx.one_marker(spark, any_of(atom("term", "que"))))
     rows = report.hit_rows(_flagged(fx.posts(spark, sf_dir)), markers)
-    return plain(rows.drop("index"))
+    return plain(rows.drop("index", "spans"))
 
 
 # --- report --------------------------------------------------------------------------
@@ -561,13 +561,15 @@ def _report(spark: SparkSession, sf_dir: str, rows: list[tuple] | None = None) -
     totals = settled(counts.counts_per_platform(posts))
     sizes = _of_platforms(sampling.weighted_sizes(totals, SAMPLE_TOTAL))
     cuts = settled(sampling.cutoffs(posts, sizes, SEED))
-    return report.marker_report(
-        sampling.flag_sample(posts, cuts, SEED), prepare(fx.markers(spark, rows)), totals,
-        sampling.drawn_sizes(totals, sizes))
+    markers = prepare(fx.markers(spark, rows))
+    counted = report.marker_counts(
+        report.scoped_hits(sampling.flag_sample(posts, cuts, SEED), markers))
+    return report.marker_report(markers, counted, totals, sampling.drawn_sizes(totals, sizes))
 
 
 def _uids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.hit_uids(_flagged(fx.posts(spark, sf_dir)), prepare(fx.markers(spark)))
+    return report.hit_uids(
+        report.scoped_hits(_flagged(fx.posts(spark, sf_dir)), prepare(fx.markers(spark))))
 
 
 def _hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,7 +594,7 @@ def marker_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def marker_hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(_hit_rows(spark, sf_dir).drop("in_all", "in_qanon", "in_sample"))
+    return plain(_hit_rows(spark, sf_dir).drop("in_all", "in_qanon", "in_sample", "spans"))
 
 
 @query

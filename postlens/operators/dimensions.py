@@ -17,8 +17,8 @@ def post_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POST_TYPES, "uid long, name string")
 
 
-def extend_dimension(known: DataFrame, names: DataFrame) -> DataFrame:
-    """``known(uid, name)`` plus the new names, numbered upwards from the largest id."""
+def new_names(known: DataFrame, names: DataFrame) -> DataFrame:
+    """Names that ``known(uid, name)`` lacks, numbered upwards from its largest id."""
     fresh = (
         names.select("name").where(F.col("name").isNotNull()).distinct()
         .join(known, "name", "left_anti")
@@ -26,9 +26,12 @@ def extend_dimension(known: DataFrame, names: DataFrame) -> DataFrame:
     )
     numbered = number_rows(fresh, "_key", ["name"], [], "_number")
     largest = known.agg(F.coalesce(F.max("uid"), F.lit(0))).scalar()
-    return known.select("uid", "name").unionByName(
-        numbered.select((largest + F.col("_number")).alias("uid"), "name")
-    )
+    return numbered.select((largest + F.col("_number")).alias("uid"), "name")
+
+
+def extend_dimension(known: DataFrame, names: DataFrame) -> DataFrame:
+    """``known(uid, name)`` plus the new names."""
+    return known.select("uid", "name").unionByName(new_names(known, names))
 
 
 def with_ids(

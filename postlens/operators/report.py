@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.fields import share_text
-from postlens.operators.matching import hits, marked_up, with_tokens
+from postlens.operators.matching import hits, marked_up
 from postlens.operators.ranking import ranked_hits
 from postlens.schema import CLOSE_TAG, MATCH_VIEW, OPEN_TAG, REFERENCE_PREFIX
 from postlens.sources.markers import Markers
@@ -39,32 +39,35 @@ def measure_columns() -> list[str]:
     return counts + [c for s in SCOPES for c in (f"match_{s}", f"match_{s}_ratio")]
 
 
-def marker_counts(posts: DataFrame, markers: Markers) -> DataFrame:
-    """Matched posts and spans per marker and scope, from ``posts(..., in_sample)``."""
-    flags = scope_flags()
-    return (
-        hits(posts, markers, ["platform", "in_sample"], scoped=True)
-        .groupBy("marker")
-        .agg(*[
-            measure
-            for scope, flag in flags.items()
-            for measure in (
-                F.count_if(flag).alias(f"count_{scope}"),
-                F.sum(F.when(flag, F.col("spans")).otherwise(0)).alias(f"match_{scope}"),
-            )
-        ])
-    )
+def scoped_hits(posts: DataFrame, markers: Markers) -> DataFrame:
+    """(index, uid, spans, in_all, in_qanon, in_sample) from ``posts(..., in_sample)``."""
+    found = hits(posts, markers, ["platform", "in_sample"], scoped=True)
+    return found.select(
+        F.col("marker").alias("index"), "uid", "spans",
+        *[flag.alias(f"in_{scope}") for scope, flag in scope_flags().items()])
+
+
+def marker_counts(found: DataFrame) -> DataFrame:
+    """Matched posts and spans per marker and scope, from scoped hits or stored hit rows."""
+    measures = []
+    for scope in SCOPES:
+        flag = F.col(f"in_{scope}")
+        measures += [
+            F.count_if(flag).alias(f"count_{scope}"),
+            F.sum(F.when(flag, F.col("spans")).otherwise(0)).alias(f"match_{scope}"),
+        ]
+    return found.groupBy("index").agg(*measures)
 
 
 def marker_report(
-    posts: DataFrame, markers: Markers, totals: DataFrame, sample_sizes: DataFrame
+    markers: Markers, counted: DataFrame, totals: DataFrame, sample_sizes: DataFrame
 ) -> DataFrame:
     """One row per marker to analyse; a marker that cannot be evaluated has -1 everywhere."""
     reference = totals.select(
         F.col("platform").alias("reference"), F.col("count_posts").alias("total_qanon"))
     measured = (
         markers.rows
-        .join(marker_counts(posts, markers), F.col("index") == F.col("marker"), "left")
+        .join(counted, "index", "left")
         .join(totals.withColumnRenamed("count_posts", "total_all"), "platform", "left")
         .join(reference, F.concat(F.lit(REFERENCE_PREFIX), "platform") == F.col("reference"), "left")
         .join(sample_sizes.withColumnRenamed("sample_size", "total_sample"), "platform", "left")
@@ -85,13 +88,10 @@ def marker_report(
     )
 
 
-def hit_uids(posts: DataFrame, markers: Markers) -> DataFrame:
+def hit_uids(found: DataFrame) -> DataFrame:
     """(index, scope, uid), one row per matched post and scope."""
-    scopes = F.array_compact(F.array(*[F.when(flag, F.lit(s)) for s, flag in scope_flags().items()]))
-    return (
-        hits(posts, markers, ["platform", "in_sample"], scoped=True)
-        .select(F.col("marker").alias("index"), F.explode(scopes).alias("scope"), "uid")
-    )
+    scopes = F.array_compact(F.array(*[F.when(F.col(f"in_{s}"), F.lit(s)) for s in SCOPES]))
+    return found.select("index", F.explode(scopes).alias("scope"), "uid")
 
 
 def uid_lists(uids: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
@@ -123,6 +123,7 @@ def hit_rows(posts: DataFrame, markers: Markers) -> DataFrame:
         F.col("marker").alias("index"),
         *[marked.alias("body") if c == "body" else F.col(c) for c in MATCH_VIEW],
         *[flags[s].alias(f"in_{s}") for s in SCOPES],
+        "spans",
     )
 
 
@@ -135,8 +136,3 @@ def drilldown(rows: DataFrame, index: str, scope: str | None = None) -> DataFram
     if scope is not None:
         chosen = chosen.where(F.col(f"in_{scope}"))
     return chosen.select(*DRILL_COLUMNS)
-
-
-def analysable(posts: DataFrame) -> DataFrame:
-    """Posts with their tokens, ready to be stored for repeated analyses."""
-    return with_tokens(posts)
