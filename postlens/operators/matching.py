@@ -92,12 +92,15 @@ def _hits_at(phrase: str, position: str) -> str:
 # Start positions of every phrase, as one array per phrase.
 _STARTS = f"transform(phrases, p -> filter(spots, i -> {_hits_at('p', 'i')}))"
 
-# Starts that count: those of a near pair only where the partner starts so close that at most
-# k tokens lie between.
-_PHRASE, _MATE = "get(phrases, no)", "get(phrases, no + get(phrases, no).mate)"
-_NEARBY = upto(f"greatest(0, i - {_MATE}.m - {_PHRASE}.k)", f"i + {_PHRASE}.m + {_PHRASE}.k")
-_KEPT = f"""transform(starts, (x, no) -> if({_PHRASE}.mate = 0, x,
-    filter(x, i -> exists({_NEARBY}, j -> {_hits_at(_MATE, 'j')}))))"""
+# Starts that count: those of a near group only if some start of the group, at or behind this
+# one, is the last of a set with every phrase of the group at most k tokens before it.
+_OWN, _OTHER = "get(phrases, no)", "get(phrases, other)"
+_GROUP = f"sequence(no - {_OWN}.place, no - {_OWN}.place + {_OWN}.group - 1)"
+_BEFORE = upto(f"greatest(0, last - {_OTHER}.m - {_OWN}.k)", "last")
+_NEAR = f"""exists({upto('i', f'i + {_OWN}.m + {_OWN}.k')}, last ->
+    exists({_GROUP}, other -> {_hits_at(_OTHER, 'last')})
+    and forall({_GROUP}, other -> exists({_BEFORE}, j -> {_hits_at(_OTHER, 'j')})))"""
+_KEPT = f"""transform(starts, (x, no) -> if({_OWN}.group = 0, x, filter(x, i -> {_NEAR})))"""
 
 _HOLDS = f"""forall(transform(negations, (negated, clause) -> negated <> exists(
     {upto(0, 'size(phrases) - 1')},

@@ -3,7 +3,7 @@
 An expression is a list of clauses that all have to hold. A clause holds if one of its atoms
 hits (or, negated, if none does). Atom kinds: ``term``, ``prefix``, ``phrase``,
 ``phrase_prefix`` (prefix on the last token), ``first`` (at the start of the text) and
-``near`` (two phrases, at most ``k`` tokens between them).
+``near`` (two or more phrases inside a stretch with at most ``k`` tokens between them).
 """
 
 from __future__ import annotations
@@ -69,13 +69,16 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
 # --- preparing markers ---------------------------------------------------------------
 
 
-def _phrase(words: str, mate: int) -> str:
-    """One phrase of atom ``a`` in clause ``c``; ``key`` is what a post offers as first token."""
+def _phrase(words: str, place: str, group: str) -> str:
+    """One phrase of atom ``a`` in clause ``c``; ``key`` is what a post offers as first token.
+
+    ``group`` is the number of phrases of a near atom (0 for others), ``place`` the place in it.
+    """
     first = f"get({words}, 0)"
     prefix = "a.kind in ('prefix', 'phrase_prefix')"
     return f"""named_struct(
         'clause', c.no, 'negated', c.negated, 'words', {words}, 'm', size({words}),
-        'prefix', {prefix}, 'first', a.kind = 'first', 'mate', {mate},
+        'prefix', {prefix}, 'first', a.kind = 'first', 'place', {place}, 'group', {group},
         'k', coalesce(a.k, {DEFAULT_GAP}),
         'key', if({prefix} and size({words}) = 1,
             concat(char_length({first}), '*', {first}), concat('=', {first})))"""
@@ -87,17 +90,17 @@ TOKENIZED = f"""
         transform(c.atoms, a -> struct(a.kind as kind, a.k as k,
             transform(a.tokens, t -> {tokens('t')}) as parts)) as atoms))"""
 
-# All phrases of a marker in one list; a near atom brings two that point at each other.
+# All phrases of a marker in one list; the parts of a near atom follow one another.
 PHRASES = f"""
     flatten(transform(tokenized, c -> flatten(transform(c.atoms, a -> if(a.kind = 'near',
-        array({_phrase('get(a.parts, 0)', 1)}, {_phrase('get(a.parts, 1)', -1)}),
-        array({_phrase('flatten(a.parts)', 0)}))))))"""
+        transform(a.parts, (words, n) -> {_phrase('words', 'n', 'size(a.parts)')}),
+        array({_phrase('flatten(a.parts)', '0', '0')}))))))"""
 
 _ATOM_PROBLEM = f"""
     case when coalesce(a.kind not in ({text_list(KINDS)}), true) then 'unknown kind'
         when coalesce(size(flatten(a.parts)), 0) < 1
             or (a.kind = 'near' and exists(a.parts, p -> size(p) = 0)) then 'no tokens'
-        when a.kind = 'near' and size(a.parts) <> 2 then 'near needs two parts'
+        when a.kind = 'near' and size(a.parts) < 2 then 'near needs two parts'
         when a.kind = 'near' and a.k < 0 then 'negative gap' end"""
 
 # Why a marker cannot be evaluated, null if it can.

@@ -31,7 +31,7 @@ def make_posts(n, seed):
     return rows
 
 
-POSTS = make_posts(400, 11)
+POSTS = make_posts(600, 11)
 
 # In rows that only the other branch of the OR matches, FTS5 reports positions of the NEAR pair
 # that belong to another row, so only the matching rows are compared.
@@ -65,6 +65,10 @@ CASES = [
     ("NEAR(red ile)", [any_of(atom("near", "red", "ile"))]),
     ('NEAR("red pill" the, 3)', [any_of(atom("near", "red pill", "the", k=3))]),
     ("NEAR(the of, 0)", [any_of(atom("near", "the", "of", k=0))]),
+    ("NEAR(red pill the, 3)", [any_of(atom("near", "red", "pill", "the", k=3))]),
+    ("NEAR(red pill the of, 6)", [any_of(atom("near", "red", "pill", "the", "of", k=6))]),
+    ('NEAR("red pill" the "so of", 9)', [any_of(atom("near", "red pill", "the", "so of", k=9))]),
+    ("NEAR(red red the, 2)", [any_of(atom("near", "red", "red", "the", k=2))]),
     ("NEAR(red ile, 2) OR so", [any_of(atom("near", "red", "ile", k=2), atom("term", "so"))]),
     ("黒猫", [any_of(atom("term", "黒猫"))]),
 ]
