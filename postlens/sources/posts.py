@@ -30,8 +30,10 @@ COMMENT_RAW = (
 )
 BOARD_DUMP_RAW = ", ".join(f"c{i} string" for i in range(23))
 
-QUOTED_CSV = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-ESCAPED_CSV = {"quote": '"', "escape": "\\", "mode": "PERMISSIVE"}
+# A quoted empty field is an empty text, only an absent one is null.
+_CSV = {"quote": '"', "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"}
+QUOTED_CSV = {**_CSV, "escape": '"'}
+ESCAPED_CSV = {**_CSV, "escape": "\\"}
 JSON_LINES = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
