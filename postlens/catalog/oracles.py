@@ -224,7 +224,7 @@ def _sums() -> str:
 
 
 def _marked(markers: dict[str, list[tuple]], columns: str, extra: str = "", where: str = "true") -> str:
-    """Hit rows with the body put together from separators, tags and words."""
+    """Hit rows with the body put together from pieces and tags."""
     starts = "(select list(start) from islands i where i.m = s.m and i.uid = p.uid)"
     stops = "(select list(stop) from islands i where i.m = s.m and i.uid = p.uid)"
     body = f"""select s.m, s.spans, p.*, {starts} as starts, {stops} as stops,
@@ -348,6 +348,10 @@ ORACLES: dict[str, str] = {
         select {KEY}, cast(c as integer) as source_rank, author || '-' || (4 - c) as author, body from (
           select *, row_number() over (partition by {KEY} order by c) as rn
           from fx_posts cross join range(1, 4) t(c)) where rn = 1""", "fx_posts"),
+    "dedupe_stored": _with(f"""
+        select {KEY}, case when platform = 'beta' then 1 else 2 end as source_rank,
+          case when platform = 'beta' then 'first' else author end as author, body
+        from fx_posts""", "fx_posts"),
     "incremental_append": _with(f"select {KEY}, author, body from fx_posts", "fx_posts"),
     "dedupe_images": _with("""
         select platform, board, image_id, thumb_name, thumb_size, source_rank from (

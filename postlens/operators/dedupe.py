@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.operators.numbering import hash_key
 from postlens.schema import POST_KEY
+from postlens.sources.layout import broadcast_if_small, settled
 
 # 56 hash bits leave 7 bits to tell apart posts whose hashes agree.
 HASH_DIGITS = 14
@@ -32,6 +33,24 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str] | None = None)
     )
 
 
+def first_wins_stored(
+    rows: DataFrame, key: list[str], order: list[str] | None = None
+) -> DataFrame:
+    """``first_wins`` for a stored table, in which copies are the exception.
+
+    Counting the keys moves only the keys. Rows whose key occurs once then pass without a
+    shuffle of their texts; just the others are compared. A few repeated keys are broadcast,
+    many are joined.
+    """
+    present = rows.dropna(subset=key)
+    repeated = settled(present.groupBy(*key).count().where("count > 1").select(*key))
+    if repeated.isEmpty():
+        return present
+    known = broadcast_if_small(repeated)
+    copies = first_wins(present.join(known, key, "left_semi"), key, order)
+    return present.join(known, key, "left_anti").unionByName(copies.select(*present.columns))
+
+
 def not_stored(batch: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """Rows of a de-duplicated batch whose key is not stored yet; reads only stored keys."""
     return batch.join(stored.select(*key), key, "left_anti")
@@ -45,34 +64,38 @@ def append_new(
     return stored.unionByName(fresh)
 
 
+def _hash_bits() -> Column:
+    parts = [F.unix_seconds(c) if c == "timestamp" else F.col(c) for c in POST_KEY]
+    return F.conv(F.substring(hash_key(*parts), 1, HASH_DIGITS), 16, 10).cast("bigint")
+
+
 def with_uid(posts: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Stable positive ``uid`` from the natural key, unique even where hashes agree.
 
-    Posts with equal hash bits are numbered inside their hash group (a handful of rows at
-    any size), behind the numbers ``taken(uid)`` already uses.
+    Posts with equal hash bits (a handful at any size) get the next free slots of their hash,
+    behind those that ``taken(uid)`` already uses. Only hashes and the keys of such posts are
+    shuffled, never the posts themselves.
     """
-    hashed = posts.withColumn(
-        "_hash",
-        F.conv(
-            F.substring(
-                hash_key(
-                    *[F.unix_seconds(c) if c == "timestamp" else F.col(c) for c in POST_KEY]
-                ),
-                1, HASH_DIGITS,
-            ),
-            16, 10,
-        ).cast("bigint"),
-    )
-    slot = F.row_number().over(Window.partitionBy("_hash").orderBy(*POST_KEY)) - 1
-    numbered = hashed.withColumn("_slot", slot)
-    used = F.lit(0)
+    keys = posts.select(*POST_KEY, _hash_bits().alias("_hash"))
+    crowd = keys.groupBy("_hash").agg(F.count("*").alias("_posts"))
     if taken is not None:
-        slots = taken.groupBy(F.expr(f"uid div {SLOTS}").alias("_hash")).agg(
-            (F.max(F.col("uid") % SLOTS) + 1).alias("_used")
-        )
-        numbered = numbered.join(slots, "_hash", "left")
-        used = F.coalesce("_used", F.lit(0))
-    return numbered.select(
-        (F.col("_hash") * SLOTS + F.col("_slot") + used).alias("uid"),
+        used = taken.groupBy(F.expr(f"uid div {SLOTS}").alias("_hash")).agg(
+            (F.max(F.col("uid") % SLOTS) + 1).alias("_used"))
+        crowd = crowd.join(used, "_hash", "left")
+    else:
+        crowd = crowd.withColumn("_used", F.lit(None).cast("bigint"))
+    crowded = settled(crowd.where("_posts > 1 or _used is not null").drop("_posts"))
+    hashed = posts.withColumn("_hash", _hash_bits())
+    if crowded.isEmpty():
+        hashed = hashed.withColumn("_slot", F.lit(0).cast("bigint"))
+    else:
+        place = F.row_number().over(Window.partitionBy("_hash").orderBy(*POST_KEY)) - 1
+        slots = settled(
+            keys.join(broadcast_if_small(crowded), "_hash")
+            .select(*POST_KEY, (place + F.coalesce("_used", F.lit(0))).alias("_slot")))
+        hashed = hashed.join(broadcast_if_small(slots), POST_KEY, "left").withColumn(
+            "_slot", F.coalesce("_slot", F.lit(0)))
+    return hashed.select(
+        (F.col("_hash") * SLOTS + F.col("_slot")).alias("uid"),
         *[c for c in posts.columns if c != "uid"],
     )

@@ -17,13 +17,19 @@ from postlens.schema import REFERENCE_PREFIX
 from postlens.sources.markers import Markers
 
 
+def length() -> str:
+    """SQL: tokens of subject, body and extras together."""
+    return " + ".join(text.count(c) for c in ("subject", "body", "extras"))
+
+
+def with_length(posts: DataFrame) -> DataFrame:
+    """Add ``dl``; stored posts bring it along."""
+    return posts if "dl" in posts.columns else posts.selectExpr("*", f"{length()} as dl")
+
+
 def with_tokens(posts: DataFrame) -> DataFrame:
-    """Add ``tokens`` of the body and ``dl``, the tokens of subject, body and extras."""
-    if {"tokens", "dl"} <= set(posts.columns):
-        return posts
-    others = f"size({text.tokens('subject')}) + size({text.tokens('extras')})"
-    return posts.selectExpr("*", f"{text.tokens('body')} as tokens").selectExpr(
-        "*", f"size(tokens) + {others} as dl")
+    """Add ``tokens`` of the body, and ``dl``."""
+    return with_length(posts).selectExpr("*", f"{text.tokens('body')} as tokens")
 
 
 # --- candidates ----------------------------------------------------------------------
@@ -153,7 +159,9 @@ def match(
     ``scoped`` drops posts of foreign platforms before they are evaluated.
     """
     needed = ["uid", *keep, *(["platform"] if scoped else []), "tokens"]
-    narrow = with_tokens(posts).select(*dict.fromkeys(needed))
+    counted = with_tokens(posts) if "dl" in keep else posts.selectExpr(
+        "*", f"{text.tokens('body')} as tokens")
+    narrow = counted.select(*dict.fromkeys(needed))
     find = _small_candidates if markers.small else _large_candidates
     candidates = find(narrow, markers)
     if scoped:
@@ -174,15 +182,25 @@ def hits(
 
 
 def marked_up(body: str, spans: str, open_tag: str, close_tag: str) -> Column:
-    """Body with a tag pair around each span.
+    """Body with a tag pair around each span, in time that grows with the text only.
 
-    Words, separators and tags each get a sort number; sorting the pieces puts the text together
-    in time that grows with the text, however many spans it has.
+    The text is cut into words and gaps, which take turns. Span starts and ends become one flag
+    per piece (runs of false between trues), so a piece finds its tags without a search.
     """
     opening, closing = text_literal(open_tag), text_literal(close_tag)
-    return F.expr(f"""array_join(transform(sort_array(concat(
-        transform({text.separators(body)}, (s, i) -> struct(i * 4 as at, s as what)),
-        transform({spans}.starts, i -> struct(i * 4 + 1 as at, {opening} as what)),
-        transform({text.words(body)}, (w, i) -> struct(i * 4 + 2 as at, w as what)),
-        transform({spans}.ends, i -> struct(i * 4 + 3 as at, {closing} as what)))),
-        p -> p.what), '')""")
+
+    def flags(places: str) -> str:
+        at = "(2 * {} + lead)"
+        before = f"if(n = 0, -1, {at.format(f'get({places}, n - 1)')})"
+        return (f"flatten(transform({places}, (p, n) -> concat("
+                f"array_repeat(false, {at.format('p')} - {before} - 1), array(true))))")
+
+    def has(marks: str) -> str:
+        return f"coalesce(get({marks}, i), false)"
+
+    marked = f"""array_join(transform(pieces, (s, i) ->
+        if({has('opened')}, if({has('closed')}, concat({opening}, s, {closing}), concat({opening}, s)),
+            if({has('closed')}, concat(s, {closing}), s))), '')"""
+    leads_with_gap = f"if(get(pieces, 0) rlike r'^[{text.TOKEN_CHARS}]', 0, 1)"
+    return F.expr(let("pieces", text.pieces(body), let("lead", leads_with_gap, let(
+        "opened", flags(f"{spans}.starts"), let("closed", flags(f"{spans}.ends"), marked)))))

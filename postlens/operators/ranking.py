@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.sql import upto
-from postlens.operators.matching import hits, match, with_tokens
+from postlens.operators.matching import hits, match, with_length
 from postlens.sources.layout import settled
 from postlens.sources.markers import Markers
 
@@ -22,15 +22,11 @@ def phrase_weights(posts: DataFrame, markers: Markers) -> DataFrame:
     The corpus counts every post of every platform, also those without a body. What comes out
     of the shuffle is one row per phrase.
     """
-    counted = with_tokens(posts)
-    corpus = counted.agg(
-        F.count("*").cast("double").alias("n"),
-        F.sum("dl").cast("double").alias("length"),
-    )
-    total = corpus.select("n").scalar()
-    mean_length = corpus.select(F.col("length") / F.col("n")).scalar()
+    corpus = with_length(posts).agg(F.struct(
+        F.count("*").cast("double").alias("n"), F.avg("dl").alias("length"))).scalar()
+    total, mean_length = corpus["n"], corpus["length"]
     frequency = (
-        match(counted, markers, [])
+        match(posts, markers, [])
         .select("marker", F.posexplode("result.seen").alias("phrase", "seen"))
         .where("seen")
         .groupBy("marker", "phrase").agg(F.count("*").alias("posts"))

@@ -13,6 +13,7 @@ from postlens.functions.fields import share_text
 from postlens.operators.matching import hits, marked_up
 from postlens.operators.ranking import ranked_hits
 from postlens.schema import CLOSE_TAG, MATCH_VIEW, OPEN_TAG, REFERENCE_PREFIX
+from postlens.sources.layout import broadcast_if_small, settled
 from postlens.sources.markers import Markers
 
 SCOPES = ["all", "qanon", "sample"]
@@ -100,11 +101,11 @@ def uid_lists(uids: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
     A marker may match a third of all posts, so its list is never brought together: the number
     of parts follows the size of the list and a hash of the id chooses the part.
     """
-    parts = uids.groupBy("index", "scope").agg(
-        F.ceil(F.count("*") / length).cast("bigint").alias("parts"))
+    parts = settled(uids.groupBy("index", "scope").agg(
+        F.ceil(F.count("*") / length).cast("bigint").alias("parts")))
     spread = F.conv(F.substring(F.md5(F.col("uid").cast("string")), 1, 8), 16, 10).cast("bigint")
     return (
-        uids.join(parts, ["index", "scope"])
+        uids.join(broadcast_if_small(parts), ["index", "scope"])
         .groupBy("index", "scope", (spread % F.col("parts")).alias("part"))
         .agg(F.sort_array(F.collect_list("uid")).alias("uids"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.operators.report import SCOPES
+from postlens.sources.layout import broadcast_if_small
 
 
 def _sums() -> list[Column]:
@@ -45,7 +46,7 @@ def once_per_post(uids: DataFrame, markers: DataFrame, level: str) -> DataFrame:
     a group that holds most posts is still counted by many tasks.
     """
     groups = ["platform", level]
-    labelled = uids.join(markers.select("index", *groups), "index")
+    labelled = uids.join(broadcast_if_small(markers.select("index", *groups)), "index")
     distinct = labelled.select(*groups, "scope", "uid").distinct()
     return distinct.groupBy(*groups).agg(
         *[F.count_if(F.col("scope") == s).alias(f"count_{s}") for s in SCOPES])

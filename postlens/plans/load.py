@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.operators import counts, dedupe, dimensions
-from postlens.operators.matching import with_tokens
+from postlens.operators.matching import with_length
 from postlens.schema import ARCHIVE_KEY, FULL_VIEW, IMAGE_KEY, POST_KEY
 from postlens.sources import images, posts as sources
 from postlens.sources.selection import list_files, select_files
@@ -38,7 +38,7 @@ def read_sources(
 def load_posts(
     spark: SparkSession, folders: dict[str, str], out: str, load_id: str,
     skip: list[str] | None = None, exclude: list[str] | None = None,
-    start: str | None = None, end: str | None = None, keep_tokens: bool = True,
+    start: str | None = None, end: str | None = None,
 ) -> None:
     """Load source files into ``<out>/posts``; repeating a load adds nothing.
 
@@ -51,7 +51,8 @@ def load_posts(
     staged = spark.read.parquet(staged_path)
     sources.rejected(staged).write.mode("overwrite").parquet(f"{out}/quarantine/{load_id}")
 
-    batch = dedupe.first_wins(sources.accepted(staged), POST_KEY, ["source_rank", "source_file"])
+    batch = dedupe.first_wins_stored(
+        sources.accepted(staged), POST_KEY, ["source_rank", "source_file"])
     taken = None
     if tables.exists(spark, table):
         stored = tables.stored_posts(spark, table)
@@ -68,10 +69,10 @@ def load_posts(
         .withColumn("parent_uid", F.lit(None).cast("bigint"))
         .withColumn("added", F.current_timestamp())
     )
-    columns = [*FULL_VIEW, "added", "source_file"]
-    if keep_tokens:
-        fresh, columns = with_tokens(fresh), [*columns, "tokens", "dl"]
-    tables.store_posts(fresh.select(*columns), table)
+    # The length in tokens is stored, so that corpus statistics need no texts. The tokens are
+    # not: cutting a text costs less than reading them back.
+    columns = [*FULL_VIEW, "added", "source_file", "dl"]
+    tables.store_posts(with_length(fresh).select(*columns), table)
     _extend_boards(spark, table, f"{out}/boards")
     counts.load_summary(sources.accepted(staged)).write.mode("overwrite").json(
         f"{out}/load_summary/{load_id}")

@@ -9,7 +9,7 @@ POSTS_SCHEMA = """
     uid long, post_id string, timestamp timestamp, thread_id string, thread_uid long,
     parent_id string, parent_uid long, author string, subject string, body string,
     extras string, board string, post_type string, added timestamp, source_file string,
-    tokens array<string>, dl int, platform string, month string
+    dl int, platform string, month string
 """
 HIT_ROWS_SCHEMA = """
     uid long, post_id string, timestamp timestamp, thread_id string, thread_uid long,
@@ -44,10 +44,8 @@ def store_posts(posts: DataFrame, path: str) -> None:
     write_partitioned(dated, path, ["platform", "month"], "append")
 
 
-def stored_posts(spark: SparkSession, path: str, with_tokens: bool = True) -> DataFrame:
-    """Posts table; without stored tokens they are computed when needed."""
-    posts = spark.read.schema(POSTS_SCHEMA).parquet(path)
-    return posts if with_tokens else posts.drop("tokens", "dl")
+def stored_posts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POSTS_SCHEMA).parquet(path)
 
 
 def store_hit_rows(rows: DataFrame, path: str) -> None:

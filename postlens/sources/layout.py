@@ -46,3 +46,16 @@ def settled(rows: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="postlens-")
         context.setCheckpointDir(folder)
     return rows.checkpoint(eager=True)
+
+
+# Up to this many narrow rows (keys, names, counts) go to every task instead of a shuffle.
+SMALL_ROWS = 200_000
+
+
+def broadcast_if_small(rows: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast after counting it (up to the limit).
+
+    A larger one is left alone, so that the join shuffles and skewed keys are split at run
+    time. Pass settled or stored rows, which are cheap to count.
+    """
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

@@ -31,6 +31,17 @@ def test_hot_key_shrinks_before_the_shuffle(spark):
     assert "partial_min" in plan
 
 
+def test_stored_rows_with_few_and_many_copies(spark, monkeypatch):
+    rows = frame(spark, [("p", "b", "comment", str(i % 40), 5, f"a{i}", i) for i in range(100)])
+    rows = rows.unionByName(frame(spark, [("p", "b", "comment", None, 5, "x", 1)]))
+    expected = sorted(dedupe.first_wins(rows, POST_KEY, ["rank"]).collect())
+    assert sorted(dedupe.first_wins_stored(rows, POST_KEY, ["rank"]).collect()) == expected
+    monkeypatch.setattr(dedupe, "broadcast_if_small", lambda frame: frame)
+    assert sorted(dedupe.first_wins_stored(rows, POST_KEY, ["rank"]).collect()) == expected
+    single = rows.where("rank < 40").dropna()
+    assert dedupe.first_wins_stored(single, POST_KEY).count() == 40
+
+
 def test_append_is_idempotent(spark):
     batch = frame(spark, [("p", "b", "comment", str(i % 5), 5, f"a{i}", i) for i in range(10)])
     empty = batch.limit(0)

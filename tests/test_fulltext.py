@@ -130,12 +130,13 @@ def test_tokens_same_as_fts5(spark, reference):
     for term, doc, offset in con.execute("select term, doc, offset from vocab where col = 'body'"):
         expected.setdefault(doc, {})[offset] = term
     posts = spark.createDataFrame(POSTS, "uid long, subject string, body string, extras string")
-    got = posts.selectExpr("uid", f"{text.tokens('body')} as t", f"{text.words('body')} as w",
-                           f"{text.separators('body')} as s", "body").collect()
+    got = posts.selectExpr("uid", f"{text.tokens('body')} as t", f"{text.pieces('body')} as p",
+                           "body").collect()
     for row in got:
         assert row.t == [expected.get(row.uid, {})[i] for i in range(len(expected.get(row.uid, {})))]
         if row.body is not None:
-            assert len(row.w) == len(row.t) and len(row.s) == len(row.w) + 1
+            assert "".join(row.p) == row.body
+            assert sum(p[0].isalnum() for p in row.p) == len(row.t)
 
 
 def test_prefix_hits_contain_term_hits(found):
