@@ -156,8 +156,12 @@ def match(
 ) -> DataFrame:
     """Candidates with their result; ``keep`` names the post columns to carry along.
 
-    ``scoped`` drops posts of foreign platforms before they are evaluated.
+    ``scoped`` drops posts of platforms that no marker asks for before they are read, and those
+    of other platforms than the marker's before they are evaluated.
     """
+    if scoped and markers.small:
+        wanted = [name for p in markers.platforms for name in (p, REFERENCE_PREFIX + p)]
+        posts = posts.where(F.col("platform").isin(wanted))
     needed = ["uid", *keep, *(["platform"] if scoped else []), "tokens"]
     counted = with_tokens(posts) if "dl" in keep else posts.selectExpr(
         "*", f"{text.tokens('body')} as tokens")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators.numbering import hash_key
 from postlens.schema import REFERENCE_PREFIX
+from postlens.sources.layout import settled
 
 # Leading hash digits counted in the first and in the second round.
 BUCKET_DIGITS = (3, 6)
@@ -66,15 +67,15 @@ def cutoffs(posts: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     Posts are counted per leading hash digits to find the bucket in which the n-th post lies,
     then again inside that bucket with more digits; only the posts of the last, tiny bucket
     (1 in 16,777,216) are ranked. Platforms with fewer posts than asked for get a cut-off
-    behind every key.
+    behind every key. Sizes and border rows are settled, so each round reads the uids once.
     """
-    wanted = sizes.where(F.col("sample_size") > 0).select(
-        "platform", F.col("sample_size").alias("take"))
+    wanted = settled(sizes.where(F.col("sample_size") > 0).select(
+        "platform", F.col("sample_size").alias("take")))
     inside = posts.select("platform", "uid", sample_key(seed).alias("key"))
     left = wanted
     for digits in BUCKET_DIGITS:
         inside = inside.withColumn("bucket", F.substring("key", 1, digits))
-        left = _border(inside, left)
+        left = settled(_border(inside, left))
         # At most one border row per platform, so the broadcast is as small as that list.
         inside = inside.join(
             F.broadcast(left.select("platform", "bucket")), ["platform", "bucket"], "left_semi"

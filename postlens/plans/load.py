@@ -112,7 +112,8 @@ def load_images(
 
 
 def _append_new(spark: SparkSession, rows: DataFrame, path: str, key: list[str]) -> None:
-    batch = dedupe.first_wins(rows, key)
+    # Counting keys reads no image bytes; unique images are never shuffled.
+    batch = dedupe.first_wins_stored(rows, key)
     if tables.exists(spark, path):
         batch = dedupe.not_stored(batch, spark.read.parquet(path), key)
     batch.write.mode("append").parquet(path)

@@ -122,6 +122,7 @@ class Markers:
     small: bool
     words: tuple[str, ...] = ()
     prefixes: tuple[tuple[int, tuple[str, ...]], ...] = ()
+    platforms: tuple[str, ...] = ()
 
     @property
     def keys(self) -> DataFrame:
@@ -161,4 +162,7 @@ def prepare(markers: DataFrame, limit: int = SMALL_MARKERS) -> Markers:
             length, _, text = key.partition("*")
             by_length.setdefault(int(length), set()).add(text)
     prefixes = tuple((n, tuple(sorted(texts))) for n, texts in sorted(by_length.items()))
-    return Markers(rows, specs, small=True, words=words, prefixes=prefixes)
+    # A marker has at least one key, so the limit bounds the platforms too.
+    platforms = tuple(sorted(
+        row.marker_platform for row in specs.select("marker_platform").distinct().collect()))
+    return Markers(rows, specs, True, words, prefixes, platforms)
