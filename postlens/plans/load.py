@@ -70,7 +70,7 @@ def load_posts(
         .withColumn("added", F.current_timestamp())
     )
     # The length in tokens is stored, so that corpus statistics need no texts. The tokens are
-    # not: cutting a text costs less than reading them back.
+    # not, which keeps the table and its shuffle small: a match cuts the text again.
     columns = [*FULL_VIEW, "added", "source_file", "dl"]
     tables.store_posts(with_length(fresh).select(*columns), table)
     _extend_boards(spark, table, f"{out}/boards")
