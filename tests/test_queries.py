@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from postlens.catalog import oracles, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = [p.stem for p in Path(FOLDER).glob("*.parquet")]
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, oracles.ORACLES
 
 pytestmark = pytest.mark.skipif(not TABLES, reason="no test tables")
 
