@@ -2,7 +2,7 @@
 
 Fitting works on a bounded training sample on the driver: features are cut at quantiles, each
 split is found in histograms of gradients. Scoring walks all rows through the node arrays at
-once, or is written out as SQL for plans without Python.
+once, or is written out as a column expression for plans without Python.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 LEAF = -1
 
@@ -36,15 +38,15 @@ class Trees:
             out += value[at]
         return out
 
-    def sql(self, columns: list[str]) -> str:
-        """The margin as a SQL expression over numeric columns without nulls."""
-        def node(tree: int, at: int) -> str:
+    def column(self, features: list[Column]) -> Column:
+        """The margin as a column expression over numeric features without nulls."""
+        def node(tree: int, at: int) -> Column:
             if self.feature[tree][at] == LEAF:
-                return f"{self.value[tree][at]:.9f}D"
-            return (f"if({columns[self.feature[tree][at]]} <= {self.threshold[tree][at]:.9f}D, "
-                    f"{node(tree, self.left[tree][at])}, {node(tree, self.right[tree][at])})")
-        terms = [f"{self.base:.9f}D", *(node(t, 0) for t in range(len(self.feature)))]
-        return "(" + " + ".join(terms) + ")"
+                return F.lit(float(self.value[tree][at]))
+            return F.when(
+                features[self.feature[tree][at]] <= float(self.threshold[tree][at]),
+                node(tree, self.left[tree][at])).otherwise(node(tree, self.right[tree][at]))
+        return sum((node(t, 0) for t in range(len(self.feature))), F.lit(self.base))
 
 
 def fit(x: np.ndarray, y: np.ndarray, monotone: list[int] | None = None, rounds: int = 60,
