@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import (
-    decontamination, jaccard, language, line_dedup, packing, pii, quality_rules,
-    sharding,
+    decontamination, html_crf, jaccard, kneser_ney, language, line_dedup, packing, pii,
+    quality_rules, sharding,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), F.col("lang"), [F.col("source")]).drop("body")
 
 
+@query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.length("text").cast("long"))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
