@@ -294,7 +294,7 @@ class Asked:
         block = TaskContext.get().partitionId() * (1 << 24) + 2 * self.number + self.fold
         key, place = np.concatenate(self.keys), np.concatenate(self.places)
         unknown = ((key >> np.uint32(16)) == UNKNOWN) | ((key & np.uint32(65535)) == UNKNOWN)
-        local = np.bincount(place[unknown], model.near_unknown(key[unknown]), self.texts)
+        local = np.bincount(place[unknown], model.near_unknown(key[unknown]), self.texts).astype(float)
         card = pa.Table.from_batches(self.cards).combine_chunks()
         card = card.append_column("events", pa.array(np.bincount(place, minlength=self.texts)))
         card = card.append_column("log", pa.array(local))

@@ -97,7 +97,7 @@ def text_evidence(rows: DataFrame, counts: np.ndarray) -> DataFrame:
             for piece in chunks(batch.column("text")):
                 gram, row = grams(piece)
                 sums = np.stack([np.bincount(row, table[gram, k], piece.rows)
-                                 for k in range(table.shape[1])], 1)
+                                 for k in range(table.shape[1])], 1).astype(float)
                 n = np.bincount(row, minlength=piece.rows)
                 own = [batch.column(c)[piece.first: piece.first + piece.rows] for c in keep]
                 flat = pa.ListArray.from_arrays(
