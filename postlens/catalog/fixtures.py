@@ -44,7 +44,7 @@ select conv_id * 1000 + turn as uid, cast(conv_id * 1000 + turn as {S}) as post_
   cast(conv_id as {S}) as thread_id,
   case when turn = 0 then null else cast(conv_id * 1000 + turn - 1 as {S}) end as parent_id,
   1509134400 + conv_id * 3600 + turn * 60 as epoch,
-  concat('sub', cast(conv_id % 13 as {S})) as forum,
+  case when conv_id % 13 = 5 then 'subreddit' else concat('sub', cast(conv_id % 13 as {S})) end as forum,
   role as author, text as body
 from conversations"""
 
@@ -55,7 +55,7 @@ from events"""
 
 BLOBS = """
 select 'alpha' as platform, concat('b', cast(page_id % 4 as {S})) as board,
-  1509134400000 + page_id as image_id, {BLOB} as data
+  1509134400000 + page_id * 60000 as image_id, {BLOB} as data
 from pages"""
 
 ARCHIVES = """
@@ -102,7 +102,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _row(index: str, platform: str | None, category: str, group: str, text: str, clauses: list,
+def _row(index: str | None, platform: str | None, category: str, group: str, text: str, clauses: list,
          to_analyse: int = 1) -> tuple:
     kind = "word" if " " not in text else "expression"
     return index, platform, category, kind, f"title {index}", group, text, to_analyse, clauses
@@ -129,6 +129,9 @@ BROKEN_MARKERS = [
     _row("x3", "alpha", "c1", "g1", "bad kind", all_of(any_of(atom("fuzzy", "that")))),
     _row("x4", "alpha", "c1", "g1", "...", all_of(any_of(atom("term", "...")))),
     _row("x5", "alpha", "c1", "g1", "NEAR(a)", all_of(any_of(atom("near", "that")))),
+    _row("x6", "alpha", "c1", "g1", "that", all_of(any_of(atom("term", "that")))),
+    _row("x6", "alpha", "c1", "g1", "que", all_of(any_of(atom("term", "que")))),
+    _row(None, "alpha", "c1", "g1", "that", all_of(any_of(atom("term", "that")))),
 ]
 
 

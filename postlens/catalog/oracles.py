@@ -161,6 +161,8 @@ ALL_MARKERS = {row[0]: row[8] for row in fx.MARKERS if row[7] == 1}
 
 def _marker_rows(rows: list[tuple]) -> str:
     def text(value) -> str:
+        if value is None:
+            return "null"
         return str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
 
     values = ", ".join("(" + ", ".join(text(v) for v in row[:8]) + ")" for row in rows)
@@ -189,7 +191,8 @@ def _report(rows: list[tuple], invalid: tuple[str, ...] = ()) -> str:
         "qanon": "(select count_posts from totals t where t.platform = 'q_' || mk.platform)",
         "sample": "(select count(*) from sample t where t.platform = mk.platform)",
     }
-    bad = "mk.index in (" + ", ".join(f"'{i}'" for i in ("", *invalid)) + ")"
+    bad = "coalesce(mk.index in (" + ", ".join(
+        f"'{i}'" for i in ("", *invalid) if i is not None) + "), true)"
     out = []
     for s in SCOPES:
         c, n = f"coalesce(c_{s}, 0)", f"coalesce(s_{s}, 0)"
@@ -282,7 +285,7 @@ def _seconds(column: str) -> str:
     return f"make_timestamp(({column}) // 1000 * 1000000)"
 
 
-_ID = "1509134400000 + page_id"
+_ID = "1509134400000 + page_id * 60000"
 
 ORACLES: dict[str, str] = {
     "ingest_q_board_csv": _with("""
@@ -300,7 +303,7 @@ ORACLES: dict[str, str] = {
         select 'beta' as platform, 'r/' || board as board, 'submission' as post_type, post_id, epoch,
           cast(null as varchar) as thread_id, cast(null as varchar) as parent_id, author,
           body as subject, cast(null as varchar) as body,
-          '{"type":"' || thread_id || '"}' as media, 'self' as thumbnail,
+          thread_id as media, 'self' as thumbnail,
           'http://x/?a=1&b=' || post_id as url
         from fx_posts""", "fx_posts"),
     "ingest_comments": _with("""
@@ -492,7 +495,7 @@ ORACLES: dict[str, str] = {
     **{f"rollup_{short}_once": _with(
         f"select mk.platform, mk.{level}, "
         + ", ".join(f"count(distinct uid) filter (where in_{s}) as count_{s}" for s in SCOPES)
-        + f" from ({_scoped(fx.MARKERS)}) h join {_marker_rows(fx.MARKERS)} mk on mk.index = h.m "
+        + f" from {_marker_rows(fx.MARKERS)} mk left join ({_scoped(fx.MARKERS)}) h on mk.index = h.m "
         "group by 1, 2", *NEEDED, markers=ALL_MARKERS)
        for short, level in (("category", "category"), ("group", "marker_group"))},
     "heat_scale": _with_report("""

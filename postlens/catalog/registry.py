@@ -21,7 +21,7 @@ RATIO = {"alpha": 10, "beta": 50}
 LIST_LENGTH = 100
 RANGE = ("2017-11-27T20:00:00", "2018-08-02T03:59:59")
 IMAGE_RANGE = ("2024-01-03T06:00:00", "2024-01-20T03:59:59")
-THUMB_RANGE = ("2017-10-27T19:59:59", "2017-10-27T20:00:00")
+THUMB_RANGE = ("2017-10-27T20:10:00", "2017-10-27T20:40:00")
 
 QUERIES: dict[str, fx.Query] = {}
 
@@ -86,16 +86,18 @@ def _from_json(lines: DataFrame, schema: str) -> DataFrame:
 def ingest_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(
         F.col("board").alias("subreddit"), F.col("post_id").alias("id"),
-        F.col("epoch").cast("string").alias("created_utc"), "author", F.col("body").alias("title"),
+        F.concat("epoch", F.when(F.col("uid") % 2 == 0, ".0").otherwise("")).alias("created_utc"),
+        "author", F.col("body").alias("title"),
         F.struct(F.col("thread_id").alias("type")).alias("media"),
         F.lit("self").alias("thumbnail"),
         F.concat(F.lit("http://x/?a=1&b="), "uid").alias("url"))
     lines = fx.posts(spark, sf_dir).select(F.to_json(record).alias("line"))
     shaped = sources.submission_posts(_from_json(lines, sources.SUBMISSION_RAW), "beta")
-    extras = F.from_json("extras", "media string, thumbnail string, url string")
+    extras = F.from_json("extras", "media struct<type string>, thumbnail string, url string")
     return (
         _ingested(shaped).withColumn("extras", extras)
-        .select("*", "extras.media", "extras.thumbnail", "extras.url").drop("extras")
+        .select("*", F.col("extras.media.type").alias("media"), "extras.thumbnail", "extras.url")
+        .drop("extras")
     )
 
 
@@ -103,7 +105,7 @@ def ingest_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(
         F.col("forum").alias("subreddit"), F.col("post_id").alias("id"),
-        F.col("epoch").alias("created_utc"), F.col("thread_id").alias("link_id"), "parent_id",
+        F.col("epoch").cast("double").alias("created_utc"), F.col("thread_id").alias("link_id"), "parent_id",
         "author", "body")
     lines = fx.relation(spark, sf_dir, "fx_threads").select(F.to_json(record).alias("line"))
     return _ingested(sources.comment_posts(_from_json(lines, sources.COMMENT_RAW), "beta"))
@@ -328,7 +330,7 @@ def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
     def dimension(column: str) -> DataFrame:
         return dimensions.extend_dimension(none, posts.select(F.col(column).alias("name")))
 
-    boards, platforms, types = (dimension(c) for c in ("board", "platform", "post_type"))
+    boards, platforms, types = (settled(dimension(c)) for c in ("board", "platform", "post_type"))
     facts = dimensions.with_ids(posts, boards, platforms, types)
     return views.with_names(facts, boards, platforms, types)
 
@@ -356,12 +358,13 @@ def view_platform_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _named_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _image_rows(spark, sf_dir)
     none = spark.createDataFrame([], "uid long, name string")
-    boards = dimensions.extend_dimension(none, rows.select(F.col("board").alias("name")))
-    platforms = dimensions.extend_dimension(none, rows.select(F.col("platform").alias("name")))
+    boards, platforms = (
+        settled(dimensions.extend_dimension(none, rows.select(F.col(c).alias("name"))))
+        for c in ("board", "platform"))
     by_id = (
         rows.join(boards.select(F.col("uid").alias("board_uid"), F.col("name").alias("board")), "board")
-        .join(F.broadcast(platforms.select(
-            F.col("uid").alias("platform_uid"), F.col("name").alias("platform"))), "platform")
+        .join(platforms.select(
+            F.col("uid").alias("platform_uid"), F.col("name").alias("platform")), "platform")
         .drop("board", "platform"))
     return views.with_names(by_id, boards, platforms)
 
@@ -476,8 +479,7 @@ def counts_with_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sample_dump_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = fx.posts(spark, sf_dir)
-    uids = sampling.sample_uids(posts, _weighted(posts), SEED)
-    return plain(sampling.members(views.full_view(posts), uids).select(*FULL_VIEW))
+    return plain(_flagged(posts).where("in_sample").select(*FULL_VIEW))
 
 
 @query

@@ -32,6 +32,11 @@ def epoch_seconds(text: Column) -> Column:
     return F.trim(text).try_cast("bigint")
 
 
+def number_seconds(text: Column) -> Column:
+    """Whole epoch seconds from a JSON number in any spelling (``1.5e9``, ``1509134400.0``)."""
+    return F.trim(text).try_cast("decimal(38,6)").cast("bigint")
+
+
 def day(epoch: Column) -> Column:
     """UTC day of epoch seconds as ``yyyy-MM-dd``."""
     return F.date_from_unix_date(F.floor(epoch / 86400).cast("int")).cast("string")
@@ -48,10 +53,13 @@ def range_bound(iso_time: str) -> Column:
 
 
 def within(epoch: Column, start: str | None, end: str | None) -> Column:
-    """Both ends inclusive; a missing range keeps every row."""
-    if start is None or end is None:
-        return F.lit(True)
-    return epoch.between(range_bound(start), range_bound(end))
+    """Both ends inclusive; a missing end is open."""
+    inside = F.lit(True)
+    if start is not None:
+        inside &= epoch >= range_bound(start)
+    if end is not None:
+        inside &= epoch <= range_bound(end)
+    return inside
 
 
 def share_text(part: Column, whole: Column) -> Column:

@@ -52,8 +52,13 @@ def first_wins_stored(
 
 
 def not_stored(batch: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of a de-duplicated batch whose key is not stored yet; reads only stored keys."""
-    return batch.join(stored.select(*key), key, "left_anti")
+    """Rows of a de-duplicated batch whose key is not stored yet.
+
+    The stored keys meet the keys of the batch only; the (usually few) known ones then go to
+    the rows, so no text is shuffled unless a large part of the batch is stored already.
+    """
+    known = settled(batch.select(*key).join(stored.select(*key), key, "left_semi"))
+    return batch.join(broadcast_if_small(known), key, "left_anti")
 
 
 def append_new(
@@ -79,8 +84,10 @@ def with_uid(posts: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     keys = posts.select(*POST_KEY, _hash_bits().alias("_hash"))
     crowd = keys.groupBy("_hash").agg(F.count("*").alias("_posts"))
     if taken is not None:
-        used = taken.groupBy(F.expr(f"uid div {SLOTS}").alias("_hash")).agg(
-            (F.max(F.col("uid") % SLOTS) + 1).alias("_used"))
+        # Only hashes of the batch matter, so the store is cut down to them before it is grouped.
+        stored = taken.select(F.expr(f"uid div {SLOTS}").alias("_hash"), (F.col("uid") % SLOTS).alias("_slot"))
+        used = stored.join(broadcast_if_small(settled(crowd.select("_hash"))), "_hash", "left_semi") \
+            .groupBy("_hash").agg((F.max("_slot") + 1).alias("_used"))
         crowd = crowd.join(used, "_hash", "left")
     else:
         crowd = crowd.withColumn("_used", F.lit(None).cast("bigint"))
@@ -92,7 +99,9 @@ def with_uid(posts: DataFrame, taken: DataFrame | None = None) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("_hash").orderBy(*POST_KEY)) - 1
         slots = settled(
             keys.join(broadcast_if_small(crowded), "_hash")
-            .select(*POST_KEY, (place + F.coalesce("_used", F.lit(0))).alias("_slot")))
+            .select(*POST_KEY, (place + F.coalesce("_used", F.lit(0))).alias("_slot"))
+            .withColumn("_slot", F.when(F.col("_slot") < SLOTS, F.col("_slot")).otherwise(
+                F.raise_error(F.lit("more posts with one hash than slots")))))
         hashed = hashed.join(broadcast_if_small(slots), POST_KEY, "left").withColumn(
             "_slot", F.coalesce("_slot", F.lit(0)))
     return hashed.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators.numbering import hash_key, number_rows
 from postlens.schema import PLATFORMS, POST_TYPES
+from postlens.sources.layout import broadcast_if_small
 
 
 def platforms(spark: SparkSession) -> DataFrame:
@@ -37,14 +38,14 @@ def extend_dimension(known: DataFrame, names: DataFrame) -> DataFrame:
 def with_ids(
     posts: DataFrame, boards: DataFrame, platform_dim: DataFrame, type_dim: DataFrame
 ) -> DataFrame:
-    """Replace names by ids. Platforms and types are fixed lists; boards join as they come."""
+    """Replace names by ids. Pass stored dimensions: small ones are broadcast."""
     return (
         posts
-        .join(F.broadcast(platform_dim.select(
+        .join(broadcast_if_small(platform_dim.select(
             F.col("uid").alias("platform_uid"), F.col("name").alias("platform"))), "platform")
-        .join(F.broadcast(type_dim.select(
+        .join(broadcast_if_small(type_dim.select(
             F.col("uid").alias("type_uid"), F.col("name").alias("post_type"))), "post_type")
-        .join(boards.select(
-            F.col("uid").alias("board_uid"), F.col("name").alias("board")), "board")
+        .join(broadcast_if_small(boards.select(
+            F.col("uid").alias("board_uid"), F.col("name").alias("board"))), "board")
         .drop("platform", "post_type", "board")
     )

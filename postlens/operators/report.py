@@ -68,7 +68,8 @@ def marker_report(
         F.col("platform").alias("reference"), F.col("count_posts").alias("total_qanon"))
     measured = (
         markers.rows
-        .join(counted, "index", "left")
+        .join(counted.withColumnRenamed("index", "marker"),
+              F.col("problem").isNull() & (F.col("index") == F.col("marker")), "left")
         .join(totals.withColumnRenamed("count_posts", "total_all"), "platform", "left")
         .join(reference, F.concat(F.lit(REFERENCE_PREFIX), "platform") == F.col("reference"), "left")
         .join(sample_sizes.withColumnRenamed("sample_size", "total_sample"), "platform", "left")

@@ -43,13 +43,16 @@ def once_per_post(uids: DataFrame, markers: DataFrame, level: str) -> DataFrame:
     """Distinct posts per platform, ``level`` (category or marker_group) and scope.
 
     Posts are first made distinct per group, spread over their ids, and only then counted, so
-    a group that holds most posts is still counted by many tasks.
+    a group that holds most posts is still counted by many tasks. Groups whose markers have no
+    hits are there with zeros.
     """
     groups = ["platform", level]
+    asked = markers.where("to_analyse = 1").select(*groups).distinct()
     labelled = uids.join(broadcast_if_small(markers.select("index", *groups)), "index")
     distinct = labelled.select(*groups, "scope", "uid").distinct()
-    return distinct.groupBy(*groups).agg(
+    counted = distinct.groupBy(*groups).agg(
         *[F.count_if(F.col("scope") == s).alias(f"count_{s}") for s in SCOPES])
+    return asked.join(counted, groups, "left").na.fill(0)
 
 
 def heat_scale(report: DataFrame) -> DataFrame:

@@ -139,11 +139,6 @@ def sample_counts(sample: DataFrame) -> DataFrame:
     return sample.groupBy("platform").agg(F.count("*").alias("sample_size"))
 
 
-def members(posts: DataFrame, uids: DataFrame) -> DataFrame:
-    """Posts of a stored sample."""
-    return posts.join(uids.select("uid"), "uid", "left_semi")
-
-
 def head_and_tail(rows: DataFrame, group: str, order: str, n: int = 1000) -> DataFrame:
     """First n and last n rows of each group; short groups appear twice.
 

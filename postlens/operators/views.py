@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.schema import FULL_VIEW, IMAGE_KEY, META_VIEW
+from postlens.sources.layout import broadcast_if_small
 
 
 def with_names(
@@ -13,16 +14,15 @@ def with_names(
 ) -> DataFrame:
     """Resolve the ids of a fact table to board, platform and type names.
 
-    Platforms and types are fixed lists of a few rows and are broadcast. The number of boards
-    grows with the data, so the choice of join is left to the optimizer's size estimate.
+    Pass stored dimensions: each is broadcast if it is small, and joined by a shuffle if not.
     """
     def names(dimension: DataFrame, key: str, name: str) -> DataFrame:
         return dimension.select(F.col("uid").alias(key), F.col("name").alias(name))
 
-    named = facts.join(F.broadcast(names(platforms, "platform_uid", "platform")), "platform_uid")
+    named = facts.join(broadcast_if_small(names(platforms, "platform_uid", "platform")), "platform_uid")
     if types is not None:
-        named = named.join(F.broadcast(names(types, "type_uid", "post_type")), "type_uid")
-    return named.join(names(boards, "board_uid", "board"), "board_uid")
+        named = named.join(broadcast_if_small(names(types, "type_uid", "post_type")), "type_uid")
+    return named.join(broadcast_if_small(names(boards, "board_uid", "board")), "board_uid")
 
 
 def full_view(posts: DataFrame) -> DataFrame:

@@ -63,6 +63,10 @@ def load_posts(
         if span.low is not None:  # only the months of the batch can hold its keys
             stored = stored.where(F.col("month").between(span.low, span.high))
         batch = dedupe.not_stored(batch, stored, POST_KEY)
+    # Written once: hashes, ids, boards and the table all read the de-duplicated batch.
+    batch_path = f"{out}/staged/{load_id}-new"
+    batch.write.mode("overwrite").parquet(batch_path)
+    batch = spark.read.parquet(batch_path)
     fresh = (
         dedupe.with_uid(batch, taken)
         .withColumn("thread_uid", F.lit(None).cast("bigint"))
@@ -73,13 +77,14 @@ def load_posts(
     # not, which keeps the table and its shuffle small: a match cuts the text again.
     columns = [*FULL_VIEW, "added", "source_file", "dl"]
     tables.store_posts(with_length(fresh).select(*columns), table)
-    _extend_boards(spark, table, f"{out}/boards")
+    _extend_boards(spark, sources.accepted(staged), f"{out}/boards")
     counts.load_summary(sources.accepted(staged)).write.mode("overwrite").json(
         f"{out}/load_summary/{load_id}")
 
 
-def _extend_boards(spark: SparkSession, posts_path: str, path: str) -> None:
-    names = tables.stored_posts(spark, posts_path).select(F.col("board").alias("name")).distinct()
+def _extend_boards(spark: SparkSession, posts: DataFrame, path: str) -> None:
+    """Add the boards of a load, first seen or seen again after a load that broke off."""
+    names = posts.select(F.col("board").alias("name")).distinct()
     if tables.exists(spark, path):
         known = spark.read.schema("uid long, name string").parquet(path)
     else:

@@ -105,7 +105,9 @@ _ATOM_PROBLEM = f"""
 
 # Why a marker cannot be evaluated, null if it can.
 PROBLEM = f"""
-    case when platform is null then 'no platform'
+    case when index is null then 'no index'
+        when count(*) over (partition by index) > 1 then 'index repeated'
+        when platform is null then 'no platform'
         when coalesce(size(tokenized), 0) < 1 then 'no clauses'
         when forall(tokenized, c -> c.negated) then 'only negated clauses'
         when exists(tokenized, c -> coalesce(size(c.atoms), 0) < 1) then 'empty clause'

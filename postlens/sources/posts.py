@@ -1,8 +1,9 @@
 """Readers for the five post sources and their mapping to the common post columns.
 
 Every source has a reader (files to raw string columns) and a shaper (raw columns to
-``POST_COLUMNS`` plus ``defects``). ``accepted`` and ``rejected`` split a shaped frame, so
-one bad record never costs more than itself.
+``POST_COLUMNS`` plus ``defects`` and, for defective records only, ``raw``). ``accepted`` and
+``rejected`` split a shaped frame, so one bad record never costs more than itself and can be
+repaired from the rejected rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ RESEARCH_BOARD_RAW = (
 RESEARCH_FORUM_RAW = (
     "post_id string, parent_id string, subreddit string, body string, epoch string"
 )
-# ``media`` can be an object or null and the epoch may be quoted: both are taken as text.
+# ``media`` can be any JSON value; the epoch may be quoted and have a fraction.
 SUBMISSION_RAW = (
     "subreddit string, id string, created_utc string, parent_id string, author string, "
-    "title string, media string, thumbnail string, url string, _corrupt_record string"
+    "title string, media variant, thumbnail string, url string, _corrupt_record string"
 )
 COMMENT_RAW = (
     "subreddit string, id string, created_utc string, link_id string, parent_id string, "
@@ -40,9 +41,14 @@ JSON_LINES = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_recor
 # --- readers -------------------------------------------------------------------------
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: str, options: dict) -> DataFrame:
-    """Records may span lines, so a file is one task: spread the rows before heavy work."""
-    raw = spark.read.schema(schema).options(**options).option("multiLine", True).csv(paths)
+def read_csv(
+    spark: SparkSession, paths: str | list[str], schema: str, options: dict, header: bool = False
+) -> DataFrame:
+    """Records may span lines, so a file is one task: spread the rows before heavy work.
+
+    A header is the first record of a file, whatever it says.
+    """
+    raw = spark.read.schema(schema).options(**options).option("multiLine", True).csv(paths, header=header)
     return raw.withColumn("source_file", F.col("_metadata.file_path"))
 
 
@@ -60,7 +66,7 @@ def read_posts(
 
 
 def in_range(posts: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    if start is None or end is None:
+    if start is None and end is None:
         return posts
     # Rows without a readable time stay, so that they reach the rejected rows.
     return posts.where(
@@ -76,11 +82,17 @@ def _shaped(raw: DataFrame, required: list[str], **columns: Column) -> DataFrame
     values = {name: columns.get(name, nothing) for name in POST_COLUMNS if name != "timestamp"}
     values["timestamp"] = F.timestamp_seconds(columns["epoch"])
     source = F.col("source_file") if "source_file" in raw.columns else nothing
+    # What a rejected record looked like: its text where the reader kept it, else its fields.
+    record = F.to_json(F.struct(*[c for c in raw.columns if c not in ("source_file", "_corrupt_record")]))
+    if "_corrupt_record" in raw.columns:
+        record = F.coalesce("_corrupt_record", record)
     shaped = raw.select(
-        *[values[name].alias(name) for name in POST_COLUMNS], source.alias("source_file")
+        *[values[name].alias(name) for name in POST_COLUMNS], source.alias("source_file"),
+        record.alias("raw"),
     )
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), c) for c in required]))
-    return shaped.withColumn("defects", missing)
+    return shaped.withColumn("defects", missing).withColumn(
+        "raw", F.when(F.size("defects") > 0, F.col("raw")))
 
 
 _KEY_FIELDS = ["board", "post_id", "timestamp"]
@@ -91,7 +103,7 @@ def research_board_posts(raw: DataFrame, platform: str = REFERENCE_PREFIX + BOAR
     empty = F.lit("")
     body = F.coalesce("body", empty)
     return _shaped(
-        raw.where(~F.col("thread_id").eqNullSafe("thread_id")),
+        raw,
         _KEY_FIELDS,
         platform=F.lit(platform), board=F.lit("/pol/"), post_type=F.lit("comment"),
         post_id=F.col("post_id"), epoch=fields.epoch_seconds(F.col("epoch")),
@@ -103,7 +115,7 @@ def research_board_posts(raw: DataFrame, platform: str = REFERENCE_PREFIX + BOAR
 def research_forum_posts(raw: DataFrame, platform: str = REFERENCE_PREFIX + FORUM_PLATFORM) -> DataFrame:
     """Research dataset of a link forum: one row per comment, no thread and no author."""
     return _shaped(
-        raw.where(~F.col("subreddit").eqNullSafe("subreddit")),
+        raw,
         _KEY_FIELDS,
         platform=F.lit(platform), board=F.concat(F.lit("r/"), "subreddit"),
         post_type=F.lit("comment"), post_id=F.col("post_id"),
@@ -120,7 +132,7 @@ def submission_posts(raw: DataFrame, platform: str = FORUM_PLATFORM) -> DataFram
         _KEY_FIELDS,
         platform=F.lit(platform), board=F.concat(F.lit("r/"), "subreddit"),
         post_type=F.lit("submission"), post_id=F.col("id"),
-        epoch=fields.epoch_seconds(F.col("created_utc")),
+        epoch=fields.number_seconds(F.col("created_utc")),
         parent_id=F.col("parent_id"), author=F.col("author"), subject=F.col("title"),
         extras=extras,
     )
@@ -132,7 +144,7 @@ def comment_posts(raw: DataFrame, platform: str = FORUM_PLATFORM) -> DataFrame:
         _KEY_FIELDS,
         platform=F.lit(platform), board=F.concat(F.lit("r/"), "subreddit"),
         post_type=F.lit("comment"), post_id=F.col("id"),
-        epoch=fields.epoch_seconds(F.col("created_utc")),
+        epoch=fields.number_seconds(F.col("created_utc")),
         thread_id=F.col("link_id"), parent_id=F.col("parent_id"), author=F.col("author"),
         body=F.col("body"),
     )
@@ -160,7 +172,7 @@ def board_dump_posts(raw: DataFrame, platform: str = BOARD_PLATFORM) -> DataFram
 
 
 def accepted(shaped: DataFrame) -> DataFrame:
-    return shaped.where(F.size("defects") == 0).drop("defects")
+    return shaped.where(F.size("defects") == 0).drop("defects", "raw")
 
 
 def rejected(shaped: DataFrame) -> DataFrame:
@@ -169,9 +181,9 @@ def rejected(shaped: DataFrame) -> DataFrame:
 
 KINDS = {
     "research_board": lambda spark, paths: research_board_posts(
-        read_csv(spark, paths, RESEARCH_BOARD_RAW, QUOTED_CSV)),
+        read_csv(spark, paths, RESEARCH_BOARD_RAW, QUOTED_CSV, header=True)),
     "research_forum": lambda spark, paths: research_forum_posts(
-        read_csv(spark, paths, RESEARCH_FORUM_RAW, QUOTED_CSV)),
+        read_csv(spark, paths, RESEARCH_FORUM_RAW, QUOTED_CSV, header=True)),
     "submissions": lambda spark, paths: submission_posts(read_json(spark, paths, SUBMISSION_RAW)),
     "comments": lambda spark, paths: comment_posts(read_json(spark, paths, COMMENT_RAW)),
     "board_dump": lambda spark, paths: board_dump_posts(

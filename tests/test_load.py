@@ -88,7 +88,7 @@ def test_forum_files(spark, folders):
     assert set(got) == {("submission", "s1", "a"), ("submission", "s2", "a"), ("comment", "c1", "a"),
                         ("comment", "c1", "z"), ("comment", "c2", "a")}
     first = got[("submission", "s1", "a")]
-    assert json.loads(json.loads(first.extras)["media"]) == {"type": "v"}
+    assert json.loads(first.extras)["media"] == {"type": "v"}
     assert json.loads(got[("submission", "s2", "a")].extras)["media"] is None
     assert first.subject == "t" and first.body is None and first.parent_id is None
     assert got[("submission", "s2", "a")].parent_id == "x"
@@ -168,3 +168,27 @@ def test_images(spark, tmp_path):
     assert catalogue.count() == 2 and {r.thumb_size for r in catalogue.collect()} == {8}
     data = spark.read.parquet(f"{out}/thumbs")
     assert data.count() == 2 and data.where(F.octet_length("data") != 8).count() == 0
+
+
+def test_names_of_header_fields_are_data(spark, tmp_path):
+    gz(tmp_path / "b.csv.gz", "thread_id,post_id,author,subject,body,time\n" + f"thread_id,7,a,s,b,{T}\n")
+    gz(tmp_path / "f.csv.gz", "post_id,parent_id,subreddit,body,time\n" + f"1,p,subreddit,b,{T}\n2,p,two,b,{T}\n")
+    board = sources.accepted(sources.read_posts(spark, "research_board", str(tmp_path / "b.csv.gz")))
+    forum = sources.accepted(sources.read_posts(spark, "research_forum", str(tmp_path / "f.csv.gz")))
+    assert [(r.post_id, r.thread_id) for r in board.collect()] == [("7", "thread_id")]
+    assert sorted(r.board for r in forum.collect()) == ["r/subreddit", "r/two"]
+
+
+def test_float_times_open_ranges_and_raw_records(spark, tmp_path):
+    def line(name, time):
+        return f'{{"subreddit":"one","id":"{name}","created_utc":{time},"author":"a","body":"b"}}\n'
+
+    gz(tmp_path / "c.gz", line("f", f"{T}.0") + line("e", f"{T / 1e9}e9") + line("q", f'"{T}"') + line("bad", '"soon"')
+       + '{"subreddit": broken\n')
+    read = lambda *ends: sources.read_posts(spark, "comments", str(tmp_path / "c.gz"), *ends)
+    assert {r.post_id for r in sources.accepted(read()).collect()} == {"f", "e", "q"}
+    raw = {r.raw for r in sources.rejected(read()).collect()}
+    assert '{"subreddit": broken' in raw and any('"soon"' in r for r in raw) and len(raw) == 2
+    assert sources.accepted(read("2030-01-01T00:00:00", None)).count() == 0
+    assert sources.accepted(read(None, "2030-01-01T00:00:00")).count() == 3
+    assert sources.accepted(read(None, "2010-01-01T00:00:00")).count() == 0
