@@ -18,7 +18,7 @@ def _hooked(edges: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("low")).select(
         "u", F.least("u", "low").alias("m"))
     moved = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
 def _folded(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     def state(rows: DataFrame):
         return rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    edges = settled(edges.where("a <> b").distinct())
+    edges = settled(edges.toDF("a", "b").where("a <> b"))
     before = None
     while True:
         edges = settled(_folded(_hooked(edges)))
@@ -48,4 +48,4 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label"))
-    return labels.union(roots).distinct()
+    return settled(labels.union(roots).distinct())

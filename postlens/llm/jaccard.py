@@ -2,49 +2,51 @@
 
 Sets of shingles with equal content are one node. In an order of all shingles that puts frequent
 ones last, two sets above the threshold share a shingle among the first few of each (prefix
-filter), so a tile is all nodes with that shingle, cut into bands of compatible sizes. The order
-comes from a histogram of hashed shingles over all texts; any order is right, a good one keeps
-tiles small.
-
-1. Star round: every node of a tile is compared with the tile's leader only. Tiles that many copies
-   share are thereby linked in linear work. Leaders of very frequent shingles are found in salted
-   parts first.
-2. Tile round: nodes that are still in different components meet in their tile, in blocks of
-   bounded size. A bitmap of each set bounds the overlap from above: members of one set whose bit is
-   clear in the other cannot be shared. Pairs inside a component need no further comparison.
-3. Pairs that pass the bound are compared exactly, by intersection of the sorted shingle hashes
-   of their whole texts, and the links give the components.
+filter), so a tile is all nodes with that shingle in one band of sizes: a band ends where the next
+size is too large for a link. The order comes from a histogram of hashed shingles over all texts;
+any order is right, a good one keeps tiles small.
+
+1. Star round: every node of a tile is compared with the tile's leader only, the set with most
+   frequent shingles. Tiles that many copies share are thereby linked in linear work. Tiles of very
+   frequent shingles are salted: their parts have leaders of their own, which meet the least of them.
+2. Tile rounds: nodes that are still in different components meet in their tile, in blocks of
+   bounded size. A bitmap of each set, as wide as its size asks for, bounds the overlap from above:
+   members of one set whose bit is clear in the other cannot be shared. Pairs inside a component
+   need no further comparison; so the first tile round takes the likeliest pair of each two
+   components in a meeting, and only the last round all that are left.
+3. In each round, pairs that pass the bound are compared exactly, by intersection of the sorted
+   shingle hashes of their whole texts, and the links give the components.
 
 No partner, bin or candidate is capped. Words are compared with A-Z lower-cased. A text of fewer
 words than a shingle is one shingle; null, empty and blank texts have none and link with nothing,
-not even each other. A null doc_id counts as larger than all others for the name of a component; if all are
-null the name is null. Repeated rows share a component. Nodes are 64-bit hashes of sets.
+not even each other. A component is named by its least doc_id, nulls left out; if all are null the
+name is null. Repeated rows share a component. Nodes are 64-bit hashes of sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.components import components
+from postlens.llm.store import once, sent_if_small, settled, without, written
 from postlens.llm.words import chunks, mix, shingles
-from postlens.sources.layout import settled
 
 SHINGLE, PERCENT = 4, 85
-BITS = 2048
-# Buckets of the histogram behind the order; its memory is fixed.
-BUCKETS = 1 << 21
-# A frequent shingle's tile has a part for every so many (counted) documents.
+# Bits of a signature for each shingle, rounded up to a power of two.
+BITS_EACH, LEAST_BITS = 2, 256
+# Buckets of the histogram behind the order, and slices it is summed in; its memory is fixed.
+BUCKETS, SLICES = 1 << 23, 64
+# A frequent shingle's tile has a part for every so many documents.
 SALT_ROWS = 50_000
-# Nodes of a tile that meet in one task at most: two blocks.
+# Two blocks of about this many nodes meet at a time.
 BLOCK = 1024
-
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint16)
+# Rows unpacked at a time.
+SLICE = 2048
 
 
 def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -69,145 +71,201 @@ def bucket(features: np.ndarray) -> np.ndarray:
     return (features & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that stand out in some task, and the sum of their counts in those tasks."""
+class Order:
+    """Rank of a shingle by the count of its bucket, and the buckets whose tiles are salted."""
+
+    def __init__(self, total: np.ndarray):
+        noise = total.mean() + 6 * np.sqrt(total.mean())
+        self.rank = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
+        self.frequent = min(255, int(8 * np.log2(1.0 + noise)) + 1)
+        extra = np.maximum(total - noise, 0)
+        self.hot = np.flatnonzero(extra > SALT_ROWS)  # few: their counts add up to the rows
+        self.parts = (1 + extra[self.hot] // SALT_ROWS).astype(np.int32)
+
+    def salts(self, buckets: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.ones(len(buckets), np.int32)
+        at = np.minimum(np.searchsorted(self.hot, buckets), len(self.hot) - 1)
+        return np.where(self.hot[at] == buckets, self.parts[at], 1).astype(np.int32)
+
+
+def shingle_order(docs: DataFrame, size: int) -> Order:
+    """The order from a histogram of the sets of all documents."""
+    width = BUCKETS // SLICES
+
+    def out(slices: dict[int, np.ndarray]) -> pa.RecordBatch:
+        data = [pa.compress(x.astype(np.int64).tobytes(), "zstd", asbytes=True) for x in slices.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array(data, pa.binary())],
+                                          ["slice", "counts"])
+
+    def read(data: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(data, 8 * width, "zstd", asbytes=True), np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for own in sets_of(batch.column("text"), size):
                 total[bucket(own)] += 1
-        mean = total.mean()
-        high = np.flatnonzero(total > mean + 4 * np.sqrt(mean) + 4)
-        yield pa.RecordBatch.from_arrays([pa.array(high), pa.array(total[high].astype(np.int64))],
-                                         ["bucket", "n"])
+        yield out(dict(enumerate(total.reshape(SLICES, width))))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = sums[k] + read(data) if k in sums else read(data)
+        yield out(sums)
+
+    schema = "slice int, counts binary"
+    summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema).repartition(
+        SLICES, "slice").mapInArrow(add, schema)
+    total = np.zeros((SLICES, width), np.int64)
+    for row in summed.toLocalIterator():  # SLICES rows of fixed size
+        total[row.slice] = read(bytes(row.counts))
+    return Order(total.ravel())
+
+
+def signature(own: np.ndarray) -> bytes:
+    """One bit for each member, in a bitmap whose size is a power of two."""
+    grid = np.zeros(max(LEAST_BITS, 1 << int(BITS_EACH * len(own) - 1).bit_length()), bool)
+    grid[(own >> np.uint64(21)) & np.uint64(len(grid) - 1)] = True
+    return np.packbits(grid).tobytes()
+
 
-    table = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    return table["bucket"].to_numpy(), table["n"].to_numpy()  # BUCKETS rows at most
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (last axis) brought to a smaller width."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
-def described(docs: DataFrame, size: int, percent: int,
-              often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, body, n, node of each row; bits and prefix where a task first meets the node."""
-    sent = docs.sparkSession.sparkContext.broadcast(often)
+def overlap_bound(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most shingles that sets with these sizes and bitmaps of one width can share."""
+    only_a = np.bitwise_count(a & ~b).sum(-1, dtype=np.int64)
+    only_b = np.bitwise_count(b & ~a).sum(-1, dtype=np.int64)
+    return np.minimum(na - only_a, nb - only_b)
+
+
+def reaches(overlap, na, nb, percent: int):
+    return 100 * overlap >= percent * (na + nb - overlap)
+
+
+def compatible(a: str, b: str, percent: int) -> Column:
+    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+
+
+def described(docs: DataFrame, size: int, percent: int, order: Order) -> DataFrame:
+    """doc_id, body, n, node of each row; what tiles need where a task first meets the node.
+
+    ``common`` is the share of frequent shingles in the set, from 0 to 255.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(order)
+
+    def prefix(own: np.ndarray) -> tuple[int, bytes, bytes]:
+        rank = sent.value.rank[bucket(own)]
+        first = own[np.lexsort((own, rank))[: len(own) - -(-percent * len(own) // 100) + 1]]
+        salts = sent.value.salts(bucket(first))
+        common = int(255 * (rank >= sent.value.frequent).mean())
+        return common, first.tobytes(), salts.tobytes() if salts.max() > 1 else b""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.zeros(BUCKETS, np.int64)
-        weight[sent.value[0]] = sent.value[1]
         seen = set()
         for batch in batches:
-            n, node, bits, keys = [], [], [], []
+            rows = []
             for own in sets_of(batch.column("text"), size):
-                n.append(len(own))
-                name = int((mix(own ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64)
-                            + np.uint64(len(own))).astype(np.int64)) if len(own) else None
-                node.append(name)
-                if name is None or name in seen:
-                    bits.append(None)
-                    keys.append(None)
-                    continue
-                seen.add(name)
-                grid = np.zeros(BITS, bool)
-                grid[own >> np.uint64(53)] = True
-                bits.append(np.packbits(grid).tobytes())
-                heavy = weight[bucket(own)]
-                order = np.lexsort((own, heavy)) if heavy.any() else slice(None)
-                length = len(own) - -(-percent * len(own) // 100) + 1
-                first = own[order][:length]
-                parts = 1 + heavy[order][:length] // SALT_ROWS
-                keys.append(np.stack([first.view(np.int64), parts]).T.tobytes())
+                node = None
+                if len(own):
+                    total = mix(own ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64) + np.uint64(len(own))
+                    node = int(total.astype(np.int64))
+                if node is None or node in seen:
+                    rows.append((len(own), node, None, None, None, None))
+                else:
+                    seen.add(node)
+                    rows.append((len(own), node, signature(own), *prefix(own)))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("body"), pa.array(n, pa.int64()),
-                 pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())],
-                ["doc_id", "body", "n", "node", "bits", "keys"])
+                [batch.column("doc_id"), batch.column("body"),
+                 *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))],
+                ["doc_id", "body", "n", "node", "bits", "common", "keys", "salts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(
-        describe, "doc_id long, body long, n long, node long, bits binary, keys binary")
+        describe, "doc_id long, body long, n long, node long, bits binary, common long, keys binary, salts binary")
 
 
 def tile_rows(nodes: DataFrame) -> DataFrame:
-    """key, salt, node, n: one row for each shingle of a node's prefix."""
+    """key, part, node, size: one row for each shingle of a node's prefix; part 0 if it is not salted.
+
+    ``size`` holds n and, above 40 bits, ``common``.
+    """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
-                flat = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in part.column("keys").to_pylist()]
-                times = [len(x) for x in flat]
-                if not flat:
-                    continue
-                keys = np.concatenate(flat)
-                node = np.repeat(part.column("node").to_numpy(), times)
+            for k in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(k, SLICE)
+                keys = [np.frombuffer(x, np.int64) for x in rows.column("keys").to_pylist()]
+                times = [len(x) for x in keys]
+                salts = np.concatenate([
+                    np.frombuffer(x, np.int32) if x else np.ones(t, np.int32)
+                    for x, t in zip(rows.column("salts").to_pylist(), times, strict=True)])
+                node = np.repeat(rows.column("node").to_numpy(), times)
+                part = np.where(salts > 1, 1 + node % salts, 0).astype(np.int32)
+                own = rows.column("n").to_numpy() + (rows.column("common").to_numpy() << 40)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:, 0]), pa.array((node % keys[:, 1]).astype(np.int32)),
-                     pa.array(keys[:, 1] > 1), pa.array(node),
-                     pa.array(np.repeat(part.column("n").to_numpy(), times))],
-                    ["key", "salt", "hot", "node", "n"])
-    return nodes.select("node", "n", "keys").mapInArrow(
-        spread, "key long, salt int, hot boolean, node long, n long")
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
-    return starts, np.diff(np.r_[starts, len(values)])
+                    [pa.array(x) for x in (np.concatenate(keys), part, node, np.repeat(own, times))],
+                    ["key", "part", "node", "size"])
+    return nodes.select("node", "n", "common", "keys", "salts").mapInArrow(
+        spread, "key long, part int, node long, size long")
 
 
-def shared_tiles(rows: DataFrame) -> DataFrame:
-    """The rows of tiles (or salted parts of one) with a second node, and their leader.
+def shared_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """tile, node, n, leader, hot: the rows that have a second node in their tile.
 
-    Rows of a salted part stay even if they are alone there: other parts may hold partners.
+    A part of a salted tile (``hot``) is kept whole, for its partners may be in other parts.
     """
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A partition of narrow rows, as large as the shuffle makes it; frequent keys are salted.
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        if not table.num_rows:
+        rows = [batch for batch in batches if batch.num_rows]
+        if not rows:
             return
-        key, salt, node, n, hot = (table[c].to_numpy() for c in ("key", "salt", "node", "n", "hot"))
-        order = np.lexsort((node, n, salt, key))
-        group = np.r_[0, np.cumsum((np.diff(key[order]) != 0) | (np.diff(salt[order]) != 0))]
-        starts, sizes = _runs(group)
-        keep = (np.repeat(sizes, sizes) > 1) | hot[order]
-        # The middle size reaches most others of the tile.
-        leader = np.repeat(node[order][starts + sizes // 2], sizes)
-        at = order[keep]
-        many = np.repeat(sizes, sizes)[keep]
+        table = pa.Table.from_batches(rows)
+        key, part, node, n = (table[c].to_numpy() for c in ("key", "part", "node", "size"))
+        n, common = n & ((1 << 40) - 1), n >> 40
+        order = np.lexsort((node, n, part, key))
+        key, part, node, n, common = key[order], part[order], node[order], n[order], common[order]
+        other = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+        fresh = other | np.r_[True, node[1:] != node[:-1]]  # several tasks may have met a node
+        key, part, node, n, common, other = (x[fresh] for x in (key, part, node, n, common, other))
+        gap = np.r_[True, (part[1:] == 0) & (100 * n[:-1] < percent * n[1:])]
+        starts = np.flatnonzero(other | gap)
+        sizes = np.diff(np.r_[starts, len(key)])
+        at = np.flatnonzero((np.repeat(sizes, sizes) > 1) | (part > 0))
+        band = mix((key[starts] ^ (n[starts] * 0x9E3779B1)).view(np.uint64)).view(np.int64)
+        tile = np.where(part > 0, key, np.repeat(band, sizes))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        best = np.lexsort((node, -common, group))[starts]  # starts are where groups begin in any such order
+        leader = np.repeat(node[best], sizes)
         for k in range(0, len(at), 65536):
-            s = slice(k, k + 65536)
+            s = at[k: k + 65536]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[at[s]]), pa.array(node[at[s]]), pa.array(n[at[s]]),
-                 pa.array(leader[keep][s]), pa.array(hot[at[s]]), pa.array(many[s])],
-                ["key", "node", "n", "leader", "hot", "many"])
-
-    return rows.repartition("key", "salt").mapInArrow(
-        lead, "key long, node long, n long, leader long, hot boolean, many long")
-
-
-def compatible(a: str, b: str, percent: int):
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
+                [pa.array(x) for x in (tile[s], node[s], n[s].astype(np.int32), leader[s], part[s] > 0)],
+                ["tile", "node", "n", "leader", "hot"])
 
-def overlap_bound(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Most shingles that sets with these sizes and bitmaps can share."""
-    only_a = _ONES[a & ~b].sum(-1, dtype=np.int64)
-    only_b = _ONES[b & ~a].sum(-1, dtype=np.int64)
-    return np.minimum(na - only_a, nb - only_b)
-
-
-def reaches(overlap, na, nb, percent: int):
-    return 100 * overlap >= percent * (na + nb - overlap)
+    return rows.repartition("key", "part").mapInArrow(
+        lead, "tile long, node long, n int, leader long, hot boolean")
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes whose bitmaps allow a link."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            def grid(name, batch=batch):
-                return np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint8).reshape(
-                    batch.num_rows, BITS // 8)
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = reaches(overlap_bound(na, nb, grid("bits_a"), grid("bits_b")), na, nb, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            ok = []
+            for na, nb, a, b in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b")),
+                                    strict=True):
+                width = min(len(a), len(b))
+                a, b = (folded(np.frombuffer(x, np.uint8), width) for x in (a, b))
+                ok.append(reaches(overlap_bound(na, nb, a, b), na, nb, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
@@ -218,65 +276,104 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough, by exact intersection."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    holders = nodes.join(needed, "node").select(
-        F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "node")
+    wanted = sent_if_small(settled(nodes.join(needed, "node").select(
+        F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "node")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
-    texts = settled(texts.join(
-        holders, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
+    texts = written(texts.join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
         .select("node", "text").dropDuplicates(["node"]))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for a, b in zip(sets_of(batch.column("text_a"), size), sets_of(batch.column("text_b"), size),
-                            strict=True):
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(reaches(shared, len(a), len(b), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for k in range(0, batch.num_rows, 256):
+                part, ok = batch.slice(k, 256), []
+                for a, b in zip(sets_of(part.column("text_a"), size), sets_of(part.column("text_b"), size),
+                                strict=True):
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    ok.append(reaches(shared, len(a), len(b), percent))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
 
 
-def tile_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet in a tile, not yet compared, within the bound."""
-    label = labels.select("node", "label")
-    rows = tiles.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = rows.groupBy("key").agg(
+def meeting(rows: list[tuple], percent: int, likeliest: bool) -> np.ndarray:
+    """Pairs of one meeting: rows of (own, node, n, leader, label, bits) by size; two blocks meet if
+    ``own`` differs among them. ``likeliest``: one pair, of the greatest bound, for each two labels."""
+    own, node, n, leader, label = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
+    widths = [len(r[5]) for r in rows]
+    levels = {w: np.stack([folded(np.frombuffer(r[5], np.uint8), w) if len(r[5]) >= w
+                           else np.zeros(w, np.uint8) for r in rows]) for w in set(widths)}
+    across = bool((own != own[0]).any())
+    found = [np.zeros((5, 0), np.int64)]
+    ends = np.searchsorted(n, 100 * n // percent, "right")
+    for k, end in enumerate(ends):  # the band of larger sets that can still reach the threshold
+        band = np.arange(k + 1, end)
+        fit = (label[band] != label[k]) & (node[band] != leader[k]) & (leader[band] != node[k])
+        band = band[fit & (own[band] != own[k])] if across else band[fit]
+        if len(band):
+            grid = levels[widths[k]]
+            bound = overlap_bound(n[k], n[band], grid[k], grid[band])
+            ok = reaches(bound, n[k], n[band], percent)
+            band, bound = band[ok], bound[ok]
+            if likeliest and len(band):  # of each other label the greatest bound, in parts of the union
+                order = np.lexsort((node[band], -bound * 1000 // (n[k] + n[band] - bound), label[band]))
+                band = band[order][np.r_[True, np.diff(label[band][order]) != 0]]
+                bound = overlap_bound(n[k], n[band], grid[k], grid[band])
+            found.append(np.stack([
+                np.minimum(node[k], node[band]), np.maximum(node[k], node[band]),
+                np.minimum(label[k], label[band]), np.maximum(label[k], label[band]),
+                -bound * 1000 // (n[k] + n[band] - bound)]))
+    a, b, low, high, rank = np.concatenate(found, 1)
+    if likeliest and len(a):
+        order = np.lexsort((b, a, rank, high, low))
+        a, b, low, high = a[order], b[order], low[order], high[order]
+        first = np.r_[True, (np.diff(low) != 0) | (np.diff(high) != 0)]
+        a, b = a[first], b[first]
+    return np.stack([a, b])
+
+
+def tile_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int,
+               likeliest: bool) -> DataFrame:
+    """Pairs of different components that meet in a tile, not yet compared in stars, within the bound."""
+    rows = tiles.join(sent_if_small(labels), "node", "left").withColumn(
+        "label", F.coalesce("label", "node"))
+    mixed = rows.groupBy("tile").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-    mixed = mixed.where("low <> high and members > 2").select("key", "members")
-    rows = rows.join(mixed, "key").withColumn("blocks", F.expr(f"int((members - 1) div {BLOCK}) + 1"))
-    bits = nodes.select("node", "bits")
-    rows = rows.withColumn("own", F.pmod("node", "blocks").cast("int")).join(bits, "node")
+    mixed = settled(mixed.where("low <> high and members > 2").select("tile", "members"))
+    rows = rows.join(sent_if_small(mixed), "tile").withColumn(
+        "blocks", F.expr(f"int((members - 1) div {BLOCK}) + 1"))
+    rows = rows.withColumn("own", F.pmod("node", "blocks").cast("int")).join(
+        nodes.select("node", "bits"), "node")
     # A block meets itself and every other one; a tile of up to BLOCK nodes has one block.
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "node", "n", "leader", "label", "bits")
-
-    def meet(frame: pa.Table) -> pa.Table:
-        n, node, label, leader = (frame[c].to_numpy() for c in ("n", "node", "label", "leader"))
-        own, i, j = (frame[c].to_numpy() for c in ("own", "i", "j"))
-        order = np.argsort(n, kind="stable")
-        n, node, label, leader, own = n[order], node[order], label[order], leader[order], own[order]
-        grid = np.frombuffer(b"".join(frame["bits"].to_pylist()), np.uint8).reshape(len(n), -1)[order]
-        across = len(n) > 0 and i[0] != j[0]
-        found: list[np.ndarray] = []
-        for k in range(len(n)):  # the band of larger sets that can still reach the threshold
-            end = np.searchsorted(n, 100 * n[k] // percent, "right")
-            band = np.arange(k + 1, end)
-            band = band[(label[band] != label[k]) & (node[band] != leader[k]) & (leader[band] != node[k])]
-            if across:
-                band = band[own[band] != own[k]]
-            if len(band):
-                ok = reaches(overlap_bound(n[k], n[band], grid[k], grid[band]), n[k], n[band], percent)
-                band = band[ok]
-                found.append(np.stack([np.minimum(node[k], node[band]), np.maximum(node[k], node[band])]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+        "tile", F.least("own", "other").cast("int").alias("i"),
+        F.greatest("own", "other").cast("int").alias("j"), "own", "node", "n", "leader", "label", "bits")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, place = [], None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            pairs = meeting(group, percent, likeliest) if len(group) > 1 else np.zeros((2, 0), np.int64)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                columns = batch.slice(k, SLICE).to_pydict()
+                for here, *row in zip(
+                        zip(columns["tile"], columns["i"], columns["j"], strict=True),
+                        *(columns[c] for c in ("own", "node", "n", "leader", "label", "bits")), strict=True):
+                    if here != place:
+                        yield from closed()
+                        group, place = [], here
+                    group.append(row)
+        yield from closed()
+
+    gathered = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "n", "node")
+    return gathered.mapInArrow(meet, "a long, b long").distinct()
 
 
 def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -286,20 +383,32 @@ def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, body, n, node of each row; node, label of each node with a link)."""
-    rows = settled(described(docs, size, percent, frequent(docs, size)))
-    nodes = settled(rows.where(F.col("keys").isNotNull()).dropDuplicates(["node"]))
-    tiles = settled(shared_tiles(tile_rows(nodes)))
-
-    # Leaders of the parts of one frequent shingle meet in a tile of their own.
-    parts = tiles.where("hot").select("key", "leader").distinct()
-    heads = parts.groupBy("key").agg(F.min("leader").alias("head"))
-    stars = ordered(tiles, "node", "leader").union(
-        ordered(parts.join(heads, "key"), "leader", "head")).distinct()
-    links = [settled(verified(settled(bounded(stars, nodes, percent)), nodes, docs, size, percent))]
-    labels = components(links[0])
-    rest = settled(tile_pairs(tiles, nodes, labels, percent).join(stars, ["a", "b"], "left_anti"))
-    links.append(verified(rest, nodes, docs, size, percent))
-    return rows.select("doc_id", "body", "n", "node"), components(reduce(DataFrame.union, links))
+    rows = written(described(docs, size, percent, shingle_order(docs, size)))
+    firsts = rows.where(F.col("keys").isNotNull())
+    tiles = written(shared_tiles(tile_rows(firsts), percent))
+    nodes = firsts.select("doc_id", "body", "node", "n", "bits").dropDuplicates(["node"])
+
+    parts = tiles.where("hot").select("tile", "leader").distinct()
+    heads = parts.groupBy("tile").agg(F.min("leader").alias("head"))
+    stars = settled(ordered(tiles, "node", "leader").union(
+        ordered(parts.join(heads, "tile"), "leader", "head")).distinct())
+    compared, labels = [stars], None
+    pairs = settled(bounded(stars, nodes, percent))
+    for likeliest in (True, False, None):
+        links = verified(pairs, nodes, docs, size, percent)
+        if labels is not None:
+            links = links.union(labels.select("node", "label"))
+        labels = components(links)
+        if likeliest is None:
+            break
+        pairs = tile_pairs(tiles, nodes, labels, percent, likeliest)
+        for done in compared:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = settled(pairs)
+        if pairs.isEmpty():
+            break
+        compared.append(pairs)
+    return rows.select("doc_id", "body", "n", "node"), labels
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -317,3 +426,17 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
 
 def components_of(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents without all but one of each component, the one with the smallest doc_id.
+
+    Texts without shingles stay. Rows that repeat an id with another text count as other documents.
+    """
+    found = settled(classes(docs, size, percent).where("n > 0"))
+    keys = found.groupBy("doc_id", "body", "component_id").agg(F.count("*").alias("rows"))
+    named = keys.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = named.groupBy("component_id").agg(F.min("body").alias("stays"))
+    marked = keys.join(least, keys.component_id.eqNullSafe(least.component_id)).drop(least.component_id)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("body") == F.col("stays"))
+    return once(without(docs, marked.where(~stays)), marked.where(stays & (F.col("rows") > 1)))
