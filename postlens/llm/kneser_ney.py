@@ -238,9 +238,10 @@ def summary(counted: DataFrame, words: int, unknown_types: int) -> Model:
 
     table = counted.mapInArrow(describe, "what int, word int, n long").groupBy("what", "word").agg(
         F.sum("n").alias("n")).toArrow()  # seven numbers for each word of the vocabulary at most
-    found = np.zeros((8, size))
+    found = np.zeros((8, max(size, 5)))
     found[table["what"].to_numpy(), table["word"].to_numpy()] = table["n"].to_numpy()
     cuts = discounts(found[7, :4].tolist())
+    found = found[:, :size]
     totals = found[0]
     left = np.where(totals > 0, (cuts[1:, None] * found[1:4]).sum(0) / np.maximum(totals, 1), 1.0)
     seen = found[4]
