@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.sql import upto
-from postlens.operators.matching import hits, match, with_length
-from postlens.sources.layout import settled
+from postlens.operators.matching import in_scope, match, with_length
+from postlens.sources.layout import settled, stored
 from postlens.sources.markers import Markers
 
 # Fixed values of the ranking formula.
@@ -16,18 +16,18 @@ B = 0.75
 LEAST_IDF = 1e-6
 
 
-def phrase_weights(posts: DataFrame, markers: Markers) -> DataFrame:
+def phrase_weights(posts: DataFrame, matched: DataFrame) -> DataFrame:
     """(marker, weights, mean_length): inverse document frequencies over all posts.
 
-    The corpus counts every post of every platform, also those without a body. What comes out
-    of the shuffle is one row per phrase.
+    ``matched(marker, seen)`` tells which phrases each candidate post holds. The corpus counts
+    every post of every platform, also those without a body. What comes out of the shuffle is one
+    row per phrase.
     """
     corpus = with_length(posts).agg(F.struct(
         F.count("*").cast("double").alias("n"), F.avg("dl").alias("length"))).scalar()
     total, mean_length = corpus["n"], corpus["length"]
     frequency = (
-        match(posts, markers, [])
-        .select("marker", F.posexplode("result.seen").alias("phrase", "seen"))
+        matched.select("marker", F.posexplode("seen").alias("phrase", "seen"))
         .where("seen")
         .groupBy("marker", "phrase").agg(F.count("*").alias("posts"))
     )
@@ -55,9 +55,21 @@ def ranked_hits(
     posts: DataFrame, markers: Markers, keep: list[str],
     with_ends: bool = False, scoped: bool = False,
 ) -> DataFrame:
-    """Hits with their ``rank``: one pass for the corpus statistics, one for the rows."""
-    found = hits(posts, markers, list(dict.fromkeys([*keep, "dl"])), with_ends, scoped)
-    weights = settled(phrase_weights(posts, markers))
+    """Hits with their ``rank``, from one pass over the texts.
+
+    Frequencies count posts of all platforms, so all candidates are matched and stored, but
+    only those that hold in their scope carry the columns of the post.
+    """
+    carried = list(dict.fromkeys([*keep, "dl", *(["platform"] if scoped else [])]))
+    found = match(posts, markers, carried, with_ends)
+    holds = F.col("result.holds") & in_scope() if scoped else F.col("result.holds")
+    table = stored(found.withColumn("holds", holds).select(
+        "marker", "marker_platform", "uid", "holds", F.col("result.seen").alias("seen"),
+        *[F.when(F.col("holds"), F.col(c)).alias(c) for c in carried],
+        F.when(F.col("holds"), F.struct("result.f", "result.spans")).alias("result")))
+    weights = settled(phrase_weights(posts, table))
     if markers.small:  # one row per marker, and their number was checked
         weights = F.broadcast(weights)
-    return found.join(weights, "marker").withColumn("rank", rank()).drop("weights", "mean_length")
+    hit = table.where("holds").withColumn("spans", F.size("result.spans.starts"))
+    return hit.join(weights, "marker").withColumn("rank", rank()).drop(
+        "weights", "mean_length", "holds", "seen")

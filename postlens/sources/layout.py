@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +31,12 @@ def spread_small(rows: DataFrame, paths: str | list[str]) -> DataFrame:
     return rows
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and continue from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate data, from ``spark.checkpoint.dir``.
 
-    Used for results that several later steps read: they are computed once, survive the loss
-    of executors, and keep the plans of the later steps short. The folder is the cluster's
-    ``spark.checkpoint.dir``; only a local session may fall back to a temporary one.
+    Only a local session may go without that setting; it gets a temporary folder.
     """
-    context = rows.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -45,6 +44,23 @@ def settled(rows: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="postlens-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Like ``settled`` for wide results: Parquet in the same folder, of which columns can be read."""
+    path = f"{checkpoint_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder and continue from there.
+
+    Used for results that several later steps read: they are computed once, survive the loss
+    of executors, and keep the plans of the later steps short.
+    """
+    checkpoint_folder(rows.sparkSession)
     return rows.checkpoint(eager=True)
 
 
