@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from postlens.sources.layout import settled
 
 BROADCAST_BYTES = 8 << 20
+ROW_GROUP = 16 << 20
 _WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.BooleanType: 1}
 
 __all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "sent_if_small", "settled", "without", "written"]
@@ -27,7 +28,7 @@ def written(rows: DataFrame) -> DataFrame:
     """Write rows as Parquet beside the checkpoints and read them back: columns can be pruned."""
     spark = rows.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.option("parquet.block.size", ROW_GROUP).parquet(path)  # a writer buffers one row group
     return spark.read.schema(rows.schema).parquet(path)
 
 
