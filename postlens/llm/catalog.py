@@ -78,6 +78,21 @@ def op9_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_chars", F.length("text").cast("long"))
 
 
+@query
+def language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of op8 that only pages have: markup language, address suffix, host and domain."""
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1))
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), host.alias("host"),
+        F.regexp_extract("html", r"(?i)<html[^>]*\blang=\"?([a-zA-Z]+)", 1).alias("markup"),
+        F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ").alias("text"))
+    found = language.identify(
+        pages, F.nullif(F.lower("markup"), F.lit("")),
+        [F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.nullif("host", F.lit(""))],
+        F.nullif(F.regexp_extract("host", r"\.([^.]+)$", 1), F.lit("")))
+    return found.withColumnRenamed("doc_id", "page_id").drop("body")
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -38,7 +38,7 @@ from postlens.llm.words import chunks, mix, shingles
 
 SHINGLE, PERCENT = 4, 85
 # Bits of a signature for each shingle, rounded up to a power of two.
-BITS_EACH, LEAST_BITS = 2, 256
+BITS_EACH, LEAST_BITS = 6, 256
 # Buckets of the histogram behind the order, and slices it is summed in; its memory is fixed.
 BUCKETS, SLICES = 1 << 23, 64
 # A frequent shingle's tile has a part for every so many documents.

@@ -423,7 +423,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     rows = settled(perplexities(docs, labels))
     known = rows.where("trusted and events > 0").withColumn(
         "language", F.coalesce("language", F.lit("")))
-    means = known.groupBy("language").agg((F.sum("log") / F.sum("events")).alias("mean"))
+    means = sent_if_small(settled(known.groupBy("language").agg(
+        (F.sum("log") / F.sum("events")).alias("mean"))))
     overall = known.agg((F.sum("log") / F.sum("events")).alias("mean")).first().mean
 
     def smoothed(part: DataFrame) -> DataFrame:
@@ -435,9 +436,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     judged = smoothed(rows).drop("mean")
     sure = judged.where("trusted and events > 0")
     everywhere = sure.agg(F.percentile_approx("score", quantile, 10_000).alias("q")).first().q
-    limits = sure.groupBy(F.coalesce("language", F.lit("")).alias("_language")).agg(
+    limits = sent_if_small(settled(sure.groupBy(F.coalesce("language", F.lit("")).alias("_language")).agg(
         F.percentile_approx("score", quantile, 10_000).alias("q"), F.count("*").alias("_n")).where(
-        F.col("_n") >= LEAST_TRUSTED).drop("_n")
+        F.col("_n") >= LEAST_TRUSTED).drop("_n")))
     limit = F.coalesce("q", F.lit(everywhere if everywhere is not None else -1e9))
     return judged.join(limits, F.coalesce("language", F.lit("")) == F.col("_language"), "left").select(
         "doc_id", "language", "n_words",

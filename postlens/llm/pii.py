@@ -16,6 +16,8 @@ repeated rows get equal results; other columns are ignored.
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,20 +40,23 @@ BASE = {
 }
 _AT = r"(?:\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?)"
-# Kind and pattern of each generator; they may overlap.
+DIGIT, BRACKETS, AT_SIGN, DOT_WORD, COLON, PLUS = "0-9", "[({<", "@", ("dot", "DOT"), ":", "+"
+# What a text must hold for a pattern to match at all: a digit, or one of these strings.
+BASE_NEEDS = {"email": AT_SIGN, "ip": DIGIT, "card": DIGIT, "phone": PLUS}
+# Kind, need and pattern of each generator; they may overlap.
 GENERATORS = [
-    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]++(?:(?:{_DOT}|\.|\sdot\s)[A-Za-z0-9-]++){{1,8}}+"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s(?:at|AT)\s[A-Za-z0-9-]++(?:\s(?:dot|DOT)\s[A-Za-z0-9-]++){1,8}+"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?@\s?[A-Za-z0-9-]++(?:\s?\.\s?[A-Za-z0-9-]++){1,8}+"),
-    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+@[A-Za-z0-9-]++(?:(?:{_DOT}|\sdot\s)[A-Za-z0-9-]++){{1,8}}+"),
-    ("ip", rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\sdot\s|\s\.\s)[0-9]{{1,3}}){{3}}(?![0-9])"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[\s._/-]{1,3}[0-9]{4}){3}(?![0-9A-Za-z])"),
-    ("card", r"(?<![0-9A-Za-z])3[0-9]{3}[\s.-]?[0-9]{6}[\s.-]?[0-9]{4,5}(?![0-9A-Za-z])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z.+])\(?[2-9][0-9]{2}\)?[\s./-]{1,2}[0-9]{3}[\s./-][0-9]{4}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z.])(?:00|1[\s.-])[\s(]{0,2}[0-9](?:[\s().-]{0,2}[0-9]){7,14}+(?![0-9A-Za-z])"),
-    ("phone", r"\+\s[0-9](?:[\s().-]{0,2}[0-9]){7,14}+"),
+    ("email", BRACKETS, rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]++(?:(?:{_DOT}|\.|\sdot\s)[A-Za-z0-9-]++){{1,8}}+"),
+    ("email", DOT_WORD, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s(?:at|AT)\s[A-Za-z0-9-]++(?:\s(?:dot|DOT)\s[A-Za-z0-9-]++){1,8}+"),
+    ("email", AT_SIGN, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?@\s?[A-Za-z0-9-]++(?:\s?\.\s?[A-Za-z0-9-]++){1,8}+"),
+    ("email", AT_SIGN, rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+@[A-Za-z0-9-]++(?:(?:{_DOT}|\sdot\s)[A-Za-z0-9-]++){{1,8}}+"),
+    ("ip", DIGIT, rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\sdot\s|\s\.\s)[0-9]{{1,3}}){{3}}(?![0-9])"),
+    ("ip", COLON, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    ("card", DIGIT, r"(?<![0-9A-Za-z])[0-9]{4}(?:[\s._/-]{1,3}[0-9]{4}){3}(?![0-9A-Za-z])"),
+    ("card", DIGIT, r"(?<![0-9A-Za-z])3[0-9]{3}[\s.-]?[0-9]{6}[\s.-]?[0-9]{4,5}(?![0-9A-Za-z])"),
+    ("card", DIGIT, r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])"),
+    ("phone", DIGIT, r"(?<![0-9A-Za-z.+])\(?[2-9][0-9]{2}\)?[\s./-]{1,2}[0-9]{3}[\s./-][0-9]{4}(?![0-9A-Za-z])"),
+    ("phone", DIGIT, r"(?<![0-9A-Za-z.])(?:00|1[\s.-])[\s(]{0,2}[0-9](?:[\s().-]{0,2}[0-9]){7,14}+(?![0-9A-Za-z])"),
+    ("phone", PLUS, r"\+\s[0-9](?:[\s().-]{0,2}[0-9]){7,14}+"),
 ]
 KEYWORDS = {
     "email": "mail|contact|write|reach|address|kontakt|correo|courriel",
@@ -114,10 +119,24 @@ def valid(kind: int, value: Column) -> Column:
         "phone": count.between(8, 15)}[KINDS[kind]]
 
 
+def gated(text: Column, patterns: list[tuple[int, str | tuple, str]], pick=None) -> Column:
+    """Spans of (kind, need, pattern) in that order; patterns whose need the text lacks are not tried."""
+    groups: dict = {}
+    for kind, need, pattern in patterns:
+        groups.setdefault(need, []).append((kind, pattern))
+    parts = []
+    for need, own in groups.items():
+        there = F.regexp_like(text, F.lit("[0-9]")) if need == DIGIT else reduce(
+            or_, (F.contains(text, F.lit(x)) for x in need))
+        spans = F.concat(*[pick(k, found(text, k, p)) if pick else found(text, k, p) for k, p in own])
+        parts.append(F.when(there, spans).otherwise(F.array().cast(SPANS)))
+    return F.concat(*parts)
+
+
 def base_spans(text: Column) -> Column:
-    def of(kind: int) -> Column:
-        return F.filter(found(text, kind, BASE[KINDS[kind]]), lambda s: valid(kind, s["value"]))
-    return F.concat(*map(of, range(len(KINDS))))
+    def checked(kind: int, spans: Column) -> Column:
+        return F.filter(spans, lambda s: valid(kind, s["value"]))
+    return gated(text, [(k, BASE_NEEDS[name], BASE[name]) for k, name in enumerate(KINDS)], checked)
 
 
 def features(text: Column, span: Column) -> list[Column]:
@@ -150,7 +169,7 @@ def _apart(span: Column, others: Column) -> Column:
 
 def proposals(text: Column, base: Column) -> Column:
     """Proposed spans that do not touch a base span."""
-    every = F.concat(*[found(text, KINDS.index(k), p) for k, p in GENERATORS])
+    every = gated(text, [(KINDS.index(k), need, p) for k, need, p in GENERATORS])
     return F.array_distinct(F.filter(every, lambda s: _apart(s, base)))
 
 

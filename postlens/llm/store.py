@@ -33,12 +33,14 @@ def written(rows: DataFrame) -> DataFrame:
 
 
 def sent_if_small(rows: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a stored table of fixed-width columns for broadcast if all its bytes fit the limit.
+    """Mark a stored table of numbers and short texts for broadcast if all its bytes fit the limit.
 
     A larger one is left alone: the join shuffles, and skewed keys are split at run time.
     """
-    width = sum(_WIDTHS[type(f.dataType)] for f in rows.schema)
-    return F.broadcast(rows) if rows.count() * width <= limit else rows
+    texts = [F.octet_length(f.name) for f in rows.schema if isinstance(f.dataType, T.StringType)]
+    width = sum(_WIDTHS[type(f.dataType)] for f in rows.schema if not isinstance(f.dataType, T.StringType))
+    size = rows.agg(F.sum(F.lit(width) + sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0)))).first()[0]
+    return F.broadcast(rows) if (size or 0) <= limit else rows
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
