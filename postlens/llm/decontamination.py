@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm.store import whole_texts
 from postlens.llm.words import Texts, chunks, mix, shingles
 
 SHINGLE = 5
@@ -156,6 +157,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, body long, item_id long, word long, similarity double"
     spark, parts, block = docs.sparkSession, [], []
+    whole_texts(spark)
 
     def searched(block: list[tuple[int, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)

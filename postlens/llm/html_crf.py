@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm.store import whole_texts
+
 MAX_TRAINING_PAGES = 200
 # A training page is cut to this many blocks.
 TRAINING_BLOCKS = 120
@@ -350,6 +352,7 @@ def train(pages: DataFrame, limit: int = MAX_TRAINING_PAGES) -> Field:
 
 def extract(pages: DataFrame, limit: int = MAX_TRAINING_PAGES) -> DataFrame:
     """page_id, url and text of every page."""
+    whole_texts(pages.sparkSession)
     field = train(pages, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

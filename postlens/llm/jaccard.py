@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.components import components
-from postlens.llm.store import once, sent_if_small, settled, without, written
+from postlens.llm.store import once, sent_if_small, settled, whole_texts, without, written
 from postlens.llm.words import chunks, mix, shingles
 
 SHINGLE, PERCENT = 4, 85
@@ -383,6 +383,7 @@ def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, body, n, node of each row; node, label of each node with a link)."""
+    whole_texts(docs.sparkSession)
     rows = written(described(docs, size, percent, shingle_order(docs, size)))
     firsts = rows.where(F.col("keys").isNotNull())
     tiles = written(shared_tiles(tile_rows(firsts), percent))

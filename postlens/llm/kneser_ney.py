@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.store import sent_if_small, settled, written
+from postlens.llm.store import sent_if_small, settled, whole_texts, written
 from postlens.llm.words import Texts, chunks, mix
 
 VOCABULARY = 65_000
@@ -401,6 +401,7 @@ def scored(rows: DataFrame, vocabularies: list[np.ndarray], counted: DataFrame,
 
 def perplexities(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """doc_id, body, language, trusted, n_words, events, log of every document (log null without a model)."""
+    whole_texts(docs.sparkSession)
     good = settled(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("_id")).distinct())
     rows = docs.select(

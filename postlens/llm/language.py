@@ -17,13 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.llm.store import settled, whole_texts
 from postlens.llm.words import Texts, chunks
-from postlens.sources.layout import settled
 
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
@@ -66,7 +66,7 @@ def gram_counts(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), GRAMS), np.int64)
         for batch in batches:
-            spoken = pd.Categorical(batch.column("declared").to_pandas(), languages).codes
+            spoken = pc.index_in(batch.column("declared"), pa.array(languages)).to_numpy()
             for piece in chunks(batch.column("text")):
                 gram, row = grams(piece)
                 code = spoken[piece.first: piece.first + piece.rows][row].astype(np.int64)
@@ -131,6 +131,7 @@ def identify(docs: DataFrame, declared: Column, levels: list[Column], suffix: Co
 
     ``levels`` are the host's keys from coarse to fine (none repeats a value under two parents).
     """
+    whole_texts(docs.sparkSession)
     names = [*languages, UNKNOWN]
     keys = [f"level{k}" for k in range(len(levels))]
     no_suffix = F.lit(None).cast("string")

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import trees
+from postlens.llm.store import settled, whole_texts
 from postlens.llm.words import Texts, chunks, mix, per_row, shingles
-from postlens.sources.layout import settled
 
 MAX_TRAINING_ROWS = 20_000
 KEEP_PROBABILITY = 0.5
@@ -103,6 +103,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """The counts and statistics of every document."""
+    whole_texts(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")
                        .alias("text")).mapInArrow(_measured, SCHEMA)
 

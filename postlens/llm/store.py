@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.sources.layout import settled
+from postlens.sources.layout import checkpoint_folder, settled
 
 BROADCAST_BYTES = 8 << 20
 ROW_GROUP = 16 << 20
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.BooleanType: 1}
 
-__all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "sent_if_small", "settled", "without", "written"]
+__all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "sent_if_small", "settled", "whole_texts", "without", "written"]
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's shared folder for intermediate data."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        settled(spark.range(0))  # sets it
-    return spark.sparkContext.getCheckpointDir()
+def whole_texts(spark: SparkSession) -> None:
+    """Make the session send rows to Python in batches that whole texts do not swell."""
+    spark.conf.set(BATCH, str(min(int(spark.conf.get(BATCH)), BATCH_ROWS)))
 
 
 def written(rows: DataFrame) -> DataFrame:

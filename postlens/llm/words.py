@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are handled in pieces of about this many bytes; one longer text is one piece.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
