@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from postlens.operators import (
     counts, dedupe, dimensions, matching, ranking, report, rollups, sampling, views,
 )
 from postlens.schema import ARCHIVE_KEY, CLOSE_TAG, FULL_VIEW, IMAGE_KEY, OPEN_TAG, POST_KEY
+from postlens.sinks import tables
 from postlens.sources import images, posts as sources, selection
-from postlens.sources.layout import settled
+from postlens.sources.layout import checkpoint_folder, settled, stored
 from postlens.sources.markers import any_of, atom, none_of, prepare
 
 SEED = fx.SEED
@@ -602,7 +605,7 @@ def marker_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def marker_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = report.uid_lists(settled(_uids(spark, sf_dir)), LIST_LENGTH)
+    lists = report.uid_lists(stored(_uids(spark, sf_dir)), LIST_LENGTH)
     return lists.withColumn("uids", F.concat_ws(",", F.transform("uids", lambda u: u.cast("string"))))
 
 
@@ -613,7 +616,10 @@ def marker_hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(report.drilldown(_hit_rows(spark, sf_dir), "m10", "sample"))
+    """Reads the folder of one marker in a stored table of hit rows."""
+    path = f"{checkpoint_folder(spark)}/hit-rows-{uuid.uuid4().hex}"
+    tables.store_hit_rows(_hit_rows(spark, sf_dir), path)
+    return plain(report.drilldown(tables.stored_hit_rows(spark, path), "m10", "sample"))
 
 
 @query

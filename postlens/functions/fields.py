@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Spellings of the input formats.
+QUOTED_PARENT = "^>>([0-9]+)"
+MISSING = "N"
+DUMP_NAME = r"/([a-zA-Z0-9]+)(_[0-9]+)?\.csv(\.gz)?"
+
 
 def parent_from_quote(body: Column) -> Column:
     """Post id quoted at the very start of a body (``>>123``), else null."""
-    return F.nullif(F.regexp_extract(body, "^>>([0-9]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(body, QUOTED_PARENT, 1), F.lit(""))
 
 
 def null_marker(text: Column) -> Column:
     """The dump writes a missing value as ``N``."""
-    return F.nullif(text, F.lit("N"))
+    return F.nullif(text, F.lit(MISSING))
 
 
 def board_from_path(path: Column) -> Column:
     """``.../pol_01.csv.gz`` and ``.../pol.csv`` both name the board ``/pol/``."""
-    name = F.nullif(F.regexp_extract(path, r"/([a-zA-Z0-9]+)(_[0-9]+)?\.csv(\.gz)?", 1), F.lit(""))
+    name = F.nullif(F.regexp_extract(path, DUMP_NAME, 1), F.lit(""))
     return F.concat(F.lit("/"), name, F.lit("/"))
 
 

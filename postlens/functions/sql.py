@@ -6,8 +6,6 @@ expression built column by column takes thousands of calls into the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 
 def let(name: str, value: str, body: str) -> str:
     """``body`` with ``name`` bound to ``value``, which is evaluated once per row.
@@ -23,10 +21,6 @@ def upto(first: str | int, last: str) -> str:
     return f"if({last} >= {first}, sequence({first}, {last}), cast(array() as array<int>))"
 
 
-def each(array: str, name: str, body: str | Callable[[str], str]) -> str:
-    return f"transform({array}, {name} -> {body if isinstance(body, str) else body(name)})"
-
-
 def text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -9,7 +9,7 @@ from postlens.operators import counts, report, rollups, sampling, views
 from postlens.schema import BOARD_PLATFORM, FORUM_PLATFORM
 from postlens.session import pin_utc
 from postlens.sinks import tables
-from postlens.sources.layout import settled
+from postlens.sources.layout import settled, stored
 from postlens.sources.markers import prepare
 
 PLATFORMS = (BOARD_PLATFORM, FORUM_PLATFORM)
@@ -35,8 +35,8 @@ def analyse(
 ) -> DataFrame:
     """Write all results below ``out`` and return the report.
 
-    The texts are matched twice: once for the corpus statistics behind the rank, once for the
-    hit rows. The hit rows are stored, and every count, list and rollup is made from them.
+    The texts are matched once; the sample and the hit rows are stored, and every export, count,
+    list and rollup is made from them.
     A dry run computes the report without writing any of it.
     """
     pin_utc(spark)
@@ -51,9 +51,8 @@ def analyse(
         counted = report.marker_counts(report.scoped_hits(flagged, prepared))
         return report.marker_report(prepared, counted, totals, sample_sizes)
 
-    sample = flagged.where("in_sample")
-    tables.export_json(sample.select("platform", "uid"), f"{out}/sample", by=["platform"])
-    full = views.full_view(sample)
+    full = stored(views.full_view(flagged.where("in_sample")))
+    tables.export_json(full.select("platform", "uid"), f"{out}/sample", by=["platform"])
     tables.export_json(full, f"{out}/sample_full_json")
     tables.export_csv(full, f"{out}/sample_full_csv")
 

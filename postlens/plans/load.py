@@ -78,6 +78,9 @@ def load_posts(
     columns = [*FULL_VIEW, "added", "source_file", "dl"]
     tables.store_posts(with_length(fresh).select(*columns), table)
     _extend_boards(spark, sources.accepted(staged), f"{out}/boards")
+    # The other two dimensions are fixed rows.
+    dimensions.platforms(spark).write.mode("overwrite").parquet(f"{out}/platforms")
+    dimensions.post_types(spark).write.mode("overwrite").parquet(f"{out}/types")
     counts.load_summary(sources.accepted(staged)).write.mode("overwrite").json(
         f"{out}/load_summary/{load_id}")
 

@@ -139,6 +139,9 @@ def test_load_twice_and_more(spark, folders, tmp_path):
     boards = spark.read.parquet(f"{out}/boards").orderBy("uid").collect()
     assert [b.uid for b in boards] == list(range(1, len(boards) + 1))
     assert {b.name for b in boards} == {"/pol/", "/tv/", "r/one", "r/two"}
+    known = spark.read.parquet(f"{out}/platforms").select("name").collect()
+    assert {r.platform for r in stored.select("platform").distinct().collect()} <= {r.name for r in known}
+    assert spark.read.parquet(f"{out}/types").count() == 3
     quarantine = spark.read.parquet(f"{out}/quarantine/more")
     assert quarantine.count() == 4
     summary = spark.read.json(f"{out}/load_summary/more").where("board = '/tv/'").first()
