@@ -60,7 +60,7 @@ NAMES = [f"in {t}" for t in BLOCKS] + [f"at {t}" for t in BLOCKS] + \
 _AT = {name: k for k, name in enumerate(NAMES)}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<[/!?A-Za-z][^<>]*+\Z|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _CLASSES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CLOSES = {  # an open element of these ends where another of these begins
@@ -194,7 +194,7 @@ class Field:
         return "\n".join(b[0] for b, s in zip(blocks, states, strict=True) if s)
 
 
-def fit(pages: list[tuple[list, list[int]]], rounds: int = 150, penalty: float = 0.02) -> Field:
+def fit(pages: list[tuple[list, list[int]]], rounds: int = 250, penalty: float = 0.0005) -> Field:
     """Field of greatest penalised likelihood for (feature lists, states) of labelled pages."""
     pages = [(x[:TRAINING_BLOCKS], y[:TRAINING_BLOCKS]) for x, y in pages if x]
     count, length = len(pages), max(len(y) for _, y in pages)
