@@ -1,12 +1,16 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Words are counted over all trusted texts; the ``VOCABULARY`` most frequent have numbers, the rest
-is one class whose probability is shared among the words in it. Bigrams are counted over all
-trusted texts, in shards of their first word. Documents never meet the model as a whole: a task
-turns its texts into blocks of sorted bigram requests with the places that asked, each request
+All words of the trusted texts are counted; words in none of them share what the discounts leave to
+the uniform distribution. A word is its 64-bit hash; the ``FREQUENT`` most frequent have short numbers
+instead, which only saves bytes. Bigrams are counted over all trusted texts, in shards of their first
+word; c(u .), N(u .) and N(. w) come from the shards, too. Documents never meet the model as a whole: a
+task turns its texts into blocks of sorted bigram requests with the places that asked, each request
 goes to its shard, is answered there from the counts, and returns as sums per document. So the model
 and what is shuffled grow with the corpus, while a task holds one shard and one request at a time.
-Tables with one number per word of the vocabulary are sent to all tasks.
+
+A request asks only the shard of its first word. Of log p(w | u), the part of an unseen bigram that
+depends on w is log lower(w); a text opens and closes with the same border, so its words are as often
+first as second in a bigram, and the shard adds log lower(u) instead. Seen bigrams carry N(. w).
 
 The trusted texts are dealt into two folds by content, and every document, trusted or not, is
 scored by the model of the other fold: so no text is judged by counts of its own, trusted and new
@@ -33,9 +37,12 @@ from pyspark.sql import functions as F
 from postlens.llm.store import sent_if_small, settled, whole_texts, written
 from postlens.llm.words import Texts, chunks, mix
 
-VOCABULARY = 65_000
-UNKNOWN, EDGE, FIRST = 0, 1, 2  # numbers of unknown words, text borders and the first word
-SHARDS = 64
+FREQUENT = 65_000  # words with a 16-bit number; the others are known by their hashes
+UNKNOWN, EDGE, FIRST = 0, 1, 2  # numbers of words outside a limited vocabulary, borders and the first word
+ESCAPE = 65_535
+HASHED = np.uint64(1 << 63)  # set in the hash of a word without a number
+SHARD_BITS = 6
+SHARDS = 1 << SHARD_BITS
 BLOCK_WORDS, BLOCK_TEXTS = 2_500_000, 60_000
 MERGE_KEYS = 2_000_000
 QUANTILE = 0.005
@@ -51,27 +58,98 @@ def by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
             yield f, own
 
 
-def numbered(texts: Texts, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number and text of every word."""
-    starts, ends, row = texts.words()
-    hashes = texts.hashes(starts, ends, lower=True)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
-    known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-    return np.where(known, at + FIRST, UNKNOWN), row
+def among(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
+@dataclass
+class Vocabulary:
+    """How words are named: sorted hashes of the frequent ones, and of all allowed ones of each fold if limited."""
+
+    frequent: np.ndarray
+    allowed: list[np.ndarray] | None
+
+    def numbered(self, texts: Texts, fold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number and text of every word."""
+        starts, ends, row = texts.words()
+        hashes = texts.hashes(starts, ends, lower=True)
+        at, short = among(hashes, self.frequent)
+        ids = np.where(short, (at + FIRST).astype(np.uint64), hashes | HASHED)
+        if self.allowed is not None:
+            ids[~among(hashes, self.allowed[fold])[1]] = UNKNOWN
+        return ids, row
 
 
-def bigrams(ids: np.ndarray, row: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key (first number * 65536 + second) and text of every bigram, borders included."""
+def bigrams(ids: np.ndarray, row: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, second word and text of every bigram, borders included."""
     filled = np.bincount(row, minlength=texts) > 0
     ends = np.searchsorted(row, np.flatnonzero(filled), "right")
-    padded = np.insert(ids, ends, EDGE)  # one border after each text with words
+    padded = np.insert(ids, ends, np.uint64(EDGE))  # one border after each text with words
     rows = np.insert(row, ends, np.flatnonzero(filled))
-    before = np.r_[EDGE, padded[:-1]] if len(padded) else padded
-    return (before * 65536 + padded).astype(np.uint32), rows
+    before = np.roll(padded, 1)  # the last is a border
+    return before, padded, rows
+
+
+def shard_of(ids: np.ndarray) -> np.ndarray:
+    """Shards are ranges of mixed ids: what is sorted by ``mix`` has them one after another."""
+    return (mix(ids) >> np.uint64(64 - SHARD_BITS)).astype(np.int32)
+
+
+def sorted_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of bigrams by mixed first word and second word, and where each distinct one starts."""
+    order = np.lexsort((w, mix(u)))
+    u, w = u[order], w[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
+    return order, np.flatnonzero(new)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal values."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.r_[first, len(values)])
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """The bytes of each significance lie together, which compresses better."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, dtype) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(dtype)
+
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Short numbers in two bytes, hashes apart in eight."""
+    hashed = ids >= HASHED
+    short = _pack(np.where(hashed, np.uint64(ESCAPE), ids).astype(np.uint16))
+    return len(short).to_bytes(8, "little") + short + _pack(ids[hashed])
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
-    return (mix((keys >> np.uint32(16)).astype(np.uint64) + np.uint64(77)) % np.uint64(SHARDS)).astype(np.int32)
+
+def _unpack_ids(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    ids = _unpack(data[8:end], np.uint16).astype(np.uint64)
+    ids[ids == ESCAPE] = _unpack(data[end:], np.uint64)
+    return ids
+
+
+def _pack_pairs(u: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """First words, how many bigrams each has, and second words of sorted distinct bigrams."""
+    first, length = runs(u)
+    return _pack_ids(u[first]), _pack(length.astype(np.uint32)), _pack_ids(w)
+
+
+def _unpack_pairs(heads: bytes, lengths: bytes, seconds: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(_unpack_ids(heads), _unpack(lengths, np.uint32)), _unpack_ids(seconds)
 
 
 class Tally:
@@ -100,8 +178,32 @@ class Tally:
         return self.keys, self.counts
 
 
-def vocabularies_of(trusted: DataFrame, size: int) -> list[tuple[np.ndarray, int]]:
-    """Sorted hashes of the most frequent words of each fold, and how many others there are."""
+class Pairs:
+    """Counts of bigrams in bounded memory, sorted once merged."""
+
+    def __init__(self):
+        self.u, self.w, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> None:
+        self.pending.append((u, w, n))
+        self.size += len(u)
+        if self.size > MERGE_KEYS:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.pending:
+            u, w, n = (np.concatenate(x) for x in zip((self.u, self.w, self.n), *self.pending, strict=True))
+            self.pending, self.size = [], 0
+            order, first = sorted_pairs(u, w)
+            self.u, self.w = u[order[first]], w[order[first]]
+            self.n = np.add.reduceat(n[order], first) if len(first) else n[:0]
+        return self.u, self.w, self.n
+
+
+def vocabulary_of(trusted: DataFrame, size: int | None) -> tuple[Vocabulary, list[tuple[int, int]]]:
+    """How words are named, and the number of words with and without a name of their own in each fold."""
     def rows(fold: int, tally: Tally) -> pa.RecordBatch:
         keys, counts = tally.merge()
         return pa.RecordBatch.from_arrays(
@@ -123,60 +225,113 @@ def vocabularies_of(trusted: DataFrame, size: int) -> list[tuple[np.ndarray, int
 
     counted = written(trusted.select("fold", "text").mapInArrow(count, "fold int, word long, n long").groupBy(
         "fold", "word").agg(F.sum("n").alias("n")))
-    out = []
-    for fold in (0, 1):
-        own = counted.where(F.col("fold") == fold)
-        top = own.orderBy(F.col("n").desc(), "word").limit(size).select("word").toArrow()
-        words = np.sort(top["word"].to_numpy().view(np.uint64))
-        out.append((words, max(1, own.count() - len(words))))
-    return out
 
+    def top(words: DataFrame, most: int) -> np.ndarray:
+        table = words.orderBy(F.col("n").desc(), "word").limit(most).select("word").toArrow()
+        return np.sort(table["word"].to_numpy().view(np.uint64))
 
-def counted_bigrams(trusted: DataFrame, vocabularies: list[np.ndarray]) -> DataFrame:
-    """shard, keys, counts: one row for each shard (two for each hash: fold 0 is even)."""
-    sent = trusted.sparkSession.sparkContext.broadcast(vocabularies)
-    schema = "shard int, keys binary, counts binary"
+    kinds = {r.fold: r.kinds for r in counted.groupBy("fold").agg(F.count("*").alias("kinds")).collect()}
+    frequent = top(counted.groupBy("word").agg(F.sum("n").alias("n")), FREQUENT)
+    allowed = None if size is None else [top(counted.where(F.col("fold") == fold), size) for fold in (0, 1)]
+    named = [kinds.get(f, 0) if allowed is None else len(allowed[f]) for f in (0, 1)]
+    return Vocabulary(frequent, allowed), [(named[f], kinds.get(f, 0) - named[f]) for f in (0, 1)]
 
-    def rows(fold: int, tally: Tally) -> Iterator[pa.RecordBatch]:
-        keys, counts = tally.merge()
-        shard = shard_of(keys)
+
+PAIRS = "shard int, heads binary, lengths binary, seconds binary, counts binary"
+
+
+def counted_bigrams(trusted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """PAIRS: one row for each shard (two for each range of first words: fold 0 is even)."""
+    sent = trusted.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def rows(fold: int, tally: Pairs) -> Iterator[pa.RecordBatch]:
+        u, w, n = tally.merge()
+        bounds = np.searchsorted(shard_of(u), np.arange(SHARDS + 1))
         for k in range(SHARDS):
-            own = shard == k
-            if own.any():
-                yield packed(2 * k + fold, keys[own], counts[own])
+            own = slice(bounds[k], bounds[k + 1])
+            if own.start < own.stop:
+                yield packed(2 * k + fold, u[own], w[own], n[own])
 
-    def packed(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    def packed(shard: int, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([keys.tobytes()]), pa.array([counts.tobytes()])],
-            ["shard", "keys", "counts"])
+            [pa.array([shard], pa.int32()), *(pa.array([x]) for x in (*_pack_pairs(u, w), _pack(n)))],
+            ["shard", "heads", "lengths", "seconds", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = [Tally(np.uint32), Tally(np.uint32)]
+        tallies = [Pairs(), Pairs()]
         for batch in batches:
             for fold, own in by_fold(batch):
                 for piece in chunks(own.column("text")):
-                    tallies[fold].add(bigrams(*numbered(piece, sent.value[fold]), piece.rows)[0])
-                if len(tallies[fold].keys) > 2 * MERGE_KEYS:
+                    u, w, _ = bigrams(*sent.value.numbered(piece, fold), piece.rows)
+                    tallies[fold].add(u, w, np.ones(len(u), np.int64))
+                if len(tallies[fold].u) > 2 * MERGE_KEYS:
                     yield from rows(fold, tallies[fold])
-                    tallies[fold] = Tally(np.uint32)
+                    tallies[fold] = Pairs()
         for fold, tally in enumerate(tallies):
             yield from rows(fold, tally)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, tally = None, Tally(np.uint32)
+        place, tally = None, Pairs()
         for batch in batches:
-            for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, heads, lengths, seconds, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != place:
                     if place is not None:
                         yield packed(place, *tally.merge())
-                    place, tally = shard, Tally(np.uint32)
-                tally.add(np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64))
+                    place, tally = shard, Pairs()
+                tally.add(*_unpack_pairs(heads, lengths, seconds), _unpack(counts, np.int64))
         if place is not None:
             yield packed(place, *tally.merge())
 
-    partial = trusted.select("fold", "text").mapInArrow(count, schema)
+    partial = trusted.select("fold", "text").mapInArrow(count, PAIRS)
     return written(partial.repartition(2 * SHARDS, "shard").sortWithinPartitions("shard").mapInArrow(
-        merge, schema))
+        merge, PAIRS))
+
+
+OWN, ASKED = 1, 2
+
+
+def continuations(counted: DataFrame) -> DataFrame:
+    """shard, kind, words, kinds: N(. w) of the words of each shard (OWN) and of the second words of its bigrams.
+
+    The bigrams of a shard send their second words to the shards of those, which add up and send back.
+    """
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, seconds in zip(batch.column("shard").to_pylist(), batch.column("seconds").to_pylist(),
+                                       strict=True):
+                words, kinds = np.unique(_unpack_ids(seconds), return_counts=True)
+                shard = shard_of(words)
+                for k in np.unique(shard):
+                    own = shard == k
+                    yield row(2 * int(k) + source % 2, source, words[own], kinds[own])
+
+    def row(shard: int, other: int, words: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.array([other], pa.int32()), pa.array([_pack_ids(words)]),
+             pa.array([_pack(kinds.astype(np.int64))])], ["shard", "kind", "words", "kinds"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, pieces = None, []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if pieces:
+                words, at = np.unique(np.concatenate([w for _, w, _ in pieces]), return_inverse=True)
+                kinds = np.bincount(at, np.concatenate([n for _, _, n in pieces]), len(words))
+                yield row(place, OWN, words, kinds)
+                for source, asked, _ in pieces:
+                    yield row(source, ASKED, asked, kinds[np.searchsorted(words, asked)])
+
+        for batch in batches:
+            for shard, source, words, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != place:
+                    yield from closed()
+                    place, pieces = shard, []
+                pieces.append((source, _unpack_ids(words), _unpack(kinds, np.int64)))
+        yield from closed()
+
+    schema = "shard int, kind int, words binary, kinds binary"
+    return written(counted.mapInArrow(send, schema).repartition(2 * SHARDS, "shard").sortWithinPartitions(
+        "shard").mapInArrow(add, schema))
 
 
 def discounts(ones: list[float]) -> np.ndarray:
@@ -191,81 +346,98 @@ def discounts(ones: list[float]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What every task needs besides the sharded counts: one number per word of the vocabulary."""
-
-    totals: np.ndarray  # c(u .)
-    left: np.ndarray  # weight of the lower order after u
-    lower: np.ndarray  # continuation probability of w
-    cuts: np.ndarray  # discounts
-    after_unknown: np.ndarray  # c(unknown w)
-    before_unknown: np.ndarray  # c(u unknown)
-    unknown_log: float  # log of the number of words in the unknown class
-
-    def logs(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        u, w = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(65535)).astype(np.int64)
-        high = np.maximum(counts - self.cuts[np.minimum(counts, 3)], 0) / np.maximum(self.totals[u], 1)
-        return np.log(high + self.left[u] * self.lower[w]) - np.where(w == UNKNOWN, self.unknown_log, 0.0)
-
-    def near_unknown(self, keys: np.ndarray) -> np.ndarray:
-        u, w = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(65535)).astype(np.int64)
-        return self.logs(keys, np.where(u == UNKNOWN, self.after_unknown[w], self.before_unknown[u]))
-
-
-def summary(counted: DataFrame, words: int, unknown_types: int) -> Model:
-    """The vocabulary-sized tables from the sharded counts of a fold."""
-    size = words + FIRST
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((7, size), np.int64)  # c(u.), N1(u.), N2(u.), N3+(u.), N(.w), c(0 w), c(u 0)
-        ones = np.zeros(5, np.int64)
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(),
-                                    strict=True):
-                keys, counts = np.frombuffer(keys, np.uint32), np.frombuffer(counts, np.int64)
-                u, w = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(65535)).astype(np.int64)
-                found[0] += np.bincount(u, counts, size).astype(np.int64)
-                for k in (1, 2, 3):
-                    found[k] += np.bincount(u[np.minimum(counts, 3) == k], minlength=size)
-                found[4] += np.bincount(w, minlength=size)
-                found[5] += np.bincount(w[u == UNKNOWN], counts[u == UNKNOWN], size).astype(np.int64)
-                found[6] += np.bincount(u[w == UNKNOWN], counts[w == UNKNOWN], size).astype(np.int64)
-                ones += np.bincount(np.minimum(counts, 5), minlength=6)[1:]
-        what, word = np.nonzero(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[what, np.full(5, 7)].astype(np.int32)),
-             pa.array(np.r_[word, np.arange(5)].astype(np.int32)), pa.array(np.r_[found[what, word], ones])],
-            ["what", "word", "n"])
-
-    table = counted.mapInArrow(describe, "what int, word int, n long").groupBy("what", "word").agg(
-        F.sum("n").alias("n")).toArrow()  # seven numbers for each word of the vocabulary at most
-    found = np.zeros((8, max(size, 5)))
-    found[table["what"].to_numpy(), table["word"].to_numpy()] = table["n"].to_numpy()
-    cuts = discounts(found[7, :4].tolist())
-    found = found[:, :size]
-    totals = found[0]
-    left = np.where(totals > 0, (cuts[1:, None] * found[1:4]).sum(0) / np.maximum(totals, 1), 1.0)
-    seen = found[4]
-    low = discounts([float((seen == k).sum()) for k in (1, 2, 3, 4)])
-    kinds = np.array([(seen == 1).sum(), (seen == 2).sum(), (seen > 2).sum()])
-    lower = (np.maximum(seen - low[np.minimum(seen, 3).astype(int)], 0)
-             + (low[1:] * kinds).sum() / size) / max(1.0, seen.sum())
-    return Model(totals, np.maximum(left, 1e-9), np.maximum(lower, 1e-12), cuts,
-                 found[5].astype(np.int64), found[6].astype(np.int64), float(np.log(unknown_types)))
-
-
-ROUTED = "shard int, kind int, block long, keys binary, counts binary, places binary, card binary"
+    """What every task needs besides the sharded counts: a few numbers."""
+
+    cuts: np.ndarray  # discounts of bigrams
+    low: np.ndarray  # discounts of N(. w)
+    spread: float  # what each word gets of the discounted N(. w)
+    pairs: float  # number of distinct bigrams
+    unknown_log: float  # log of the number of words that UNKNOWN stands for
+
+    def lower(self, kinds: np.ndarray) -> np.ndarray:
+        """Continuation probability of words with the given N(. w)."""
+        return np.maximum((np.maximum(kinds - self.low[np.minimum(kinds, 3)], 0) + self.spread)
+                          / max(1.0, self.pairs), 1e-12)
+
+
+class Shard:
+    """The counts of a shard, ready to answer."""
+
+    def __init__(self, model: Model, pairs: tuple[bytes, bytes, bytes, bytes] | None,
+                 own: tuple[bytes, bytes] | None, asked: list[tuple[bytes, bytes]]):
+        self.model = model
+        self.words, self.kinds = (_unpack_ids(own[0]), _unpack(own[1], np.int64)) if own else (
+            np.zeros(0, np.uint64), np.zeros(0, np.int64))  # sorted
+        self.heads, self.left, self.keys, self.gain = np.zeros(0, np.uint64), *np.zeros((1, 0)), self.words[:0], np.zeros(0)
+        if pairs is None:
+            return
+        u, w = _unpack_pairs(*pairs[:3])
+        counts = _unpack(pairs[3], np.int64)
+        first, length = runs(u)
+        totals = np.add.reduceat(counts, first)
+        left = np.maximum(np.add.reduceat(model.cuts[np.minimum(counts, 3)], first) / totals, 1e-9)
+        seconds = np.concatenate([_unpack_ids(x) for x, _ in asked])
+        order = np.argsort(seconds)
+        kinds = np.concatenate([_unpack(n, np.int64) for _, n in asked])[order]
+        lower = model.lower(kinds[np.searchsorted(seconds[order], w)])
+        high = np.maximum(counts - model.cuts[np.minimum(counts, 3)], 0) / np.repeat(totals, length)
+        gain = np.log(high + np.repeat(left, length) * lower) - np.log(lower)
+        keys = self.key(u, w)
+        order = np.argsort(keys)
+        self.keys, self.gain = keys[order], gain[order]
+        order = np.argsort(u[first])
+        self.heads, self.left = u[first][order], np.log(left[order])
+
+    @staticmethod
+    def key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return mix(mix(u) + mix(w ^ np.uint64(0x5851F42D4C957F2D)))
+
+    def logs(self, heads: np.ndarray, lengths: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log p(w | u) - log lower(w) + log lower(u) of bigrams, by first words and their numbers of bigrams."""
+        at, known = among(heads, self.heads)
+        left = np.zeros(len(heads))
+        left[known] = self.left[at[known]]
+        at, known = among(heads, self.words)
+        kinds = np.zeros(len(heads), np.int64)
+        kinds[known] = self.kinds[at[known]]
+        base = np.log(self.model.lower(kinds)) - np.where(heads == UNKNOWN, self.model.unknown_log, 0.0)
+        logs = np.repeat(left, lengths)
+        at, seen = among(self.key(np.repeat(heads, lengths), w), self.keys)
+        logs[seen] = self.gain[at[seen]]
+        return logs + np.repeat(base, lengths)
+
+
+def model_of(counted: DataFrame, continued: DataFrame, words: int, others: int, fold: int) -> Model:
+    """The few numbers of a fold from its sharded counts."""
+    def describe(column: str):
+        def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.zeros(6, np.int64)
+                for data in batch.column(column).to_pylist():
+                    found += np.bincount(np.minimum(_unpack(data, np.int64), 5), minlength=6)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(6, dtype=np.int32)), pa.array(found)], ["k", "n"])
+        return ones
+
+    def summed(rows: DataFrame, column: str) -> list[float]:
+        table = rows.where(F.col("shard") % 2 == fold).select(column).mapInArrow(
+            describe(column), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+        found = {r.k: float(r.n) for r in table}
+        return [found.get(k, 0.0) for k in range(1, 6)]
+
+    ones, kinds = summed(counted, "counts"), summed(continued.where(F.col("kind") == OWN), "kinds")
+    low = discounts(kinds[:4])
+    spread = low[1] * kinds[0] + low[2] * kinds[1] + low[3] * sum(kinds[2:])
+    return Model(discounts(ones[:4]), low, spread / (words + FIRST), sum(ones), float(np.log(max(1, others))))
+
+
+PAIR, WORDS, SECONDS, REQUEST, PLACES = 0, OWN, ASKED, 3, 4
+ROUTED = ("shard int, kind int, block long, heads binary, lengths binary, seconds binary, counts binary, "
+          "places binary, card binary")
+BLOBS = ["heads", "lengths", "seconds", "counts", "places", "card"]
 CARD = ["doc_id", "body", "language", "trusted"]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), "zstd", asbytes=True)
-
-
-def _unpack(data: bytes, dtype) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype)
-
-
 def _routed(shard: int, kind: int, block: int, *parts: bytes | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.int64()),
@@ -277,51 +449,49 @@ class Asked:
 
     def __init__(self, fold: int, number: int):
         self.fold, self.number = fold, number
-        self.keys, self.places, self.cards = [], [], []
+        self.u, self.w, self.places, self.cards = [], [], [], []
         self.texts = self.words = 0
 
     def full(self, more: int) -> bool:
-        return bool(self.keys) and (self.words > BLOCK_WORDS or self.texts + more > BLOCK_TEXTS)
-
-    def add(self, texts: Texts, own: pa.RecordBatch, vocabulary: np.ndarray) -> None:
-        ids, row = numbered(texts, vocabulary)
-        keys, places = bigrams(ids, row, texts.rows)
-        self.keys.append(keys)
-        self.places.append(places + self.texts)
+        return bool(self.cards) and (self.words > BLOCK_WORDS or self.texts + more > BLOCK_TEXTS)
+
+    def add(self, texts: Texts, own: pa.RecordBatch, vocabulary: Vocabulary) -> None:
+        ids, row = vocabulary.numbered(texts, 1 - self.fold)
+        u, w, places = bigrams(ids, row, texts.rows)
+        self.u.append(u)
+        self.w.append(w)
+        self.places.append((places + self.texts).astype(np.uint16))
         self.cards.append(own.append_column("n_words", pa.array(np.bincount(row, minlength=texts.rows))))
-        self.texts, self.words = self.texts + texts.rows, self.words + len(keys)
+        self.texts, self.words = self.texts + texts.rows, self.words + len(u)
 
-    def rows(self, model: Model) -> Iterator[pa.RecordBatch]:
+    def rows(self) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() * (1 << 24) + 2 * self.number + self.fold
-        key, place = np.concatenate(self.keys), np.concatenate(self.places)
-        unknown = ((key >> np.uint32(16)) == UNKNOWN) | ((key & np.uint32(65535)) == UNKNOWN)
-        local = np.bincount(place[unknown], model.near_unknown(key[unknown]), self.texts).astype(float)
+        u, w, place = np.concatenate(self.u), np.concatenate(self.w), np.concatenate(self.places)
+        self.u, self.w, self.places = [], [], []
         card = pa.Table.from_batches(self.cards).combine_chunks()
         card = card.append_column("events", pa.array(np.bincount(place, minlength=self.texts)))
-        card = card.append_column("log", pa.array(local))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, card.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
             file.write_table(card)
-        yield _routed(block % (2 * SHARDS), 2, block, None, None, None, sink.getvalue().to_pybytes())
-        key, place = key[~unknown], place[~unknown].astype(np.uint16)
-        shard = shard_of(key)
-        order = np.lexsort((key, shard))
-        key, place, shard = key[order], place[order], shard[order]
-        bounds = np.searchsorted(shard, np.arange(SHARDS + 1))
+        yield _routed(block % (2 * SHARDS), PLACES, block, *[None] * 5, sink.getvalue().to_pybytes())
+        order, first = sorted_pairs(u, w)
+        u, w, place = u[order[first]], w[order[first]], place[order]  # places of a bigram stay in order
+        times = np.diff(np.r_[first, len(place)])
+        first = np.r_[first, len(place)]
+        bounds = np.searchsorted(shard_of(u), np.arange(SHARDS + 1))
         for k in range(SHARDS):
             low, high = bounds[k], bounds[k + 1]
             if low < high:
-                once, times = np.unique(key[low:high], return_counts=True)
-                yield _routed(2 * k + 1 - self.fold, 1, block,
-                              _pack(np.diff(once, prepend=np.uint32(0)).astype(np.uint32)),
-                              _pack(times.astype(np.uint32)), _pack(place[low:high]), None)
+                own = place[first[low]: first[high]]
+                yield _routed(2 * k + 1 - self.fold, REQUEST, block, *_pack_pairs(u[low:high], w[low:high]),
+                              _pack(times[low:high].astype(np.uint32)), _pack(np.diff(own, prepend=np.uint16(0))), None)
 
 
-def scored(rows: DataFrame, vocabularies: list[np.ndarray], counted: DataFrame,
+def scored(rows: DataFrame, vocabulary: Vocabulary, counted: DataFrame, continued: DataFrame,
            models: list[Model]) -> DataFrame:
     """doc_id, body, language, trusted, n_words, events, log of every row (columns as CARD, fold, text)."""
     context = rows.sparkSession.sparkContext
-    sent, known = context.broadcast(models), context.broadcast(vocabularies)
+    sent, known = context.broadcast(models), context.broadcast(vocabulary)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = [Asked(0, 0), Asked(1, 0)]
@@ -330,34 +500,35 @@ def scored(rows: DataFrame, vocabularies: list[np.ndarray], counted: DataFrame,
                 for fold, own in by_fold(batch.slice(at, BLOCK_TEXTS)):
                     for piece in chunks(own.column("text")):
                         if asked[fold].full(piece.rows):
-                            yield from asked[fold].rows(sent.value[1 - fold])
+                            yield from asked[fold].rows()
                             asked[fold] = Asked(fold, asked[fold].number + 1)
-                        asked[fold].add(piece, own.slice(piece.first, piece.rows).select(CARD),
-                                        known.value[1 - fold])
+                        asked[fold].add(piece, own.slice(piece.first, piece.rows).select(CARD), known.value)
         for block in asked:
-            if block.keys:
-                yield from block.rows(sent.value[1 - block.fold])
+            if block.cards:
+                yield from block.rows()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, model_keys, model_counts = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        place, shard, pairs, own, asked = None, None, None, None, []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 if row["shard"] != place:
-                    place, model_keys, model_counts = row["shard"], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-                if row["kind"] == 0:
-                    model_keys = np.frombuffer(row["keys"], np.uint32)
-                    model_counts = np.frombuffer(row["counts"], np.int64)
-                elif row["kind"] == 2:
+                    place, shard, pairs, own, asked = row["shard"], None, None, None, []
+                if row["kind"] == PAIR:
+                    pairs = row["heads"], row["lengths"], row["seconds"], row["counts"]
+                elif row["kind"] == WORDS:
+                    own = row["heads"], row["counts"]
+                elif row["kind"] == SECONDS:
+                    asked.append((row["heads"], row["counts"]))
+                elif row["kind"] == PLACES:
                     yield _answered(row["block"], None, row["card"])
                 else:
-                    keys = np.cumsum(_unpack(row["keys"], np.uint32), dtype=np.uint32)
-                    at = np.searchsorted(model_keys, keys)
-                    at = np.minimum(at, max(0, len(model_keys) - 1))
-                    counts = np.where(model_keys[at] == keys, model_counts[at], 0) if len(model_keys) \
-                        else np.zeros(len(keys), np.int64)
-                    logs = np.repeat(sent.value[row["shard"] % 2].logs(keys, counts), _unpack(row["counts"], np.uint32))
-                    sums = np.bincount(_unpack(row["places"], np.uint16), logs).astype(np.float32)
+                    if shard is None:
+                        shard, pairs, own, asked = Shard(sent.value[place % 2], pairs, own, asked), None, None, []
+                    logs = shard.logs(_unpack_ids(row["heads"]), _unpack(row["lengths"], np.uint32),
+                                      _unpack_ids(row["seconds"]))
+                    at = np.cumsum(_unpack(row["places"], np.uint16), dtype=np.uint16)
+                    sums = np.bincount(at, np.repeat(logs, _unpack(row["counts"], np.uint32))).astype(np.float32)
                     yield _answered(row["block"], _pack(sums), None)
 
     def _answered(block: int, sums: bytes | None, card: bytes | None) -> pa.RecordBatch:
@@ -370,9 +541,9 @@ def scored(rows: DataFrame, vocabularies: list[np.ndarray], counted: DataFrame,
 
         def closed() -> Iterator[pa.RecordBatch]:
             if card is not None:
-                logs = card["log"].to_numpy().copy()
+                logs = np.zeros(card.num_rows)
                 logs[: len(total)] += total
-                out = card.set_column(card.schema.get_field_index("log"), "log", pa.array(logs))
+                out = card.append_column("log", pa.array(logs))
                 yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
         for batch in batches:
@@ -389,18 +560,25 @@ def scored(rows: DataFrame, vocabularies: list[np.ndarray], counted: DataFrame,
                     total[: len(part)] += part
         yield from closed()
 
+    def routed(table: DataFrame, **columns) -> DataFrame:
+        filled = {"block": F.lit(None)} | {c: F.lit(None) for c in BLOBS} | columns
+        return table.select("shard", filled.pop("kind").alias("kind"), filled.pop("block").cast("long").alias("block"),
+                            *(filled[c].cast("binary").alias(c) for c in BLOBS))
+
     asked = rows.mapInArrow(ask, ROUTED)
-    shards = counted.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("block"),
-                            "keys", "counts", F.lit(None).cast("binary").alias("places"),
-                            F.lit(None).cast("binary").alias("card"))
+    shards = routed(counted, kind=F.lit(PAIR), **{c: F.col(c) for c in BLOBS[:4]}).unionByName(routed(
+        continued, kind=F.col("kind"), heads=F.col("words"), counts=F.col("kinds")))
     answers = shards.unionByName(asked).repartition(2 * SHARDS, "shard").sortWithinPartitions(
         "shard", "kind").mapInArrow(answer, "block long, sums binary, card binary")
     return answers.repartition("block").sortWithinPartitions("block").mapInArrow(
         add, "doc_id long, body long, language string, trusted boolean, n_words long, events long, log double")
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """doc_id, body, language, trusted, n_words, events, log of every document (log null without a model)."""
+def perplexities(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
+    """doc_id, body, language, trusted, n_words, events, log of every document.
+
+    With ``size``, only so many words of each fold have counts of their own; all have by default.
+    """
     whole_texts(docs.sparkSession)
     good = settled(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(
         F.col("doc_id").cast("long").alias("_id")).distinct())
@@ -411,12 +589,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) ->
         "doc_id", "body", "language", F.col("_id").isNotNull().alias("trusted"),
         F.expr("int(body & 1)").alias("fold"), "text")
     trusted = rows.where("trusted")
-    known = vocabularies_of(trusted, size)
-    vocabularies = [words for words, _ in known]
-    counted = counted_bigrams(trusted, vocabularies)
-    models = [summary(counted.where(F.col("shard") % 2 == fold), len(words), others)
-              for fold, (words, others) in enumerate(known)]
-    return scored(rows, vocabularies, counted, models)
+    vocabulary, known = vocabulary_of(trusted, size)
+    counted = counted_bigrams(trusted, vocabulary)
+    continued = continuations(counted)
+    models = [model_of(counted, continued, *known[fold], fold) for fold in (0, 1)]
+    return scored(rows, vocabulary, counted, continued, models)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -230,6 +230,25 @@ def plain_model(texts, size):
     return log
 
 
+def test_kneser_ney_counts_bigrams_of_all_words(spark):
+    filler = " ".join(f"f{i}" for i in range(65_000))
+    rare = [[f"r{k}x{i}" for i in range(40)] for k in range(6)]
+    trusted = [(k, f"{filler} {filler} {' '.join(own)}") for k, own in enumerate(rare)]
+    asked = {(k, j, way): 100 + 100 * k + 2 * j + (way < 0) for k in range(6) for j in range(6) for way in (1, -1)}
+    new = [(n, " ".join([*rare[k][::way], *["f0"] * j])) for (k, j, way), n in asked.items()]
+    docs = spark.createDataFrame([(n, t, "en") for n, t in trusted + new], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in kneser_ney.perplexities(docs, labels).collect()}
+    compared = 0
+    for k in range(6):
+        for j in range(6):
+            forth, back = rows[asked[k, j, 1]], rows[asked[k, j, -1]]
+            if {forth.body & 1, back.body & 1} == {1 - (rows[k].body & 1)}:  # both by the model that read k
+                assert forth.log > back.log + 39
+                compared += 1
+    assert compared
+
+
 def test_kneser_ney_without_trusted_text(odd_docs, no_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert len(kneser_ney.classify(odd_docs, none).collect()) == odd_docs.count()
