@@ -16,7 +16,13 @@ The trusted texts are dealt into two folds by content, and every document, trust
 scored by the model of the other fold: so no text is judged by counts of its own, trusted and new
 texts compare, and all trusted text is counted.
 
-A document is kept if its smoothed mean log-probability is not below a quantile of the trusted
+Texts labelled toxic are counted in two folds of their own in the same way. A toxic document is mostly
+ordinary text, so the alternative to the trusted model is a mixture: a share ``TOXIC_SHARE`` of the words
+comes from the toxic texts, by continuation probabilities. A document whose log-likelihood ratio of the
+mixture is positive and above a quantile of the trusted documents (which neither fold has read) is not
+kept. A word met once only in the toxic fold counts as not met: the ratio of rare words is noise.
+
+Otherwise a document is kept if its smoothed mean log-probability is not below a quantile of the trusted
 documents of its language (of all languages where it has fewer than ``LEAST_TRUSTED`` of them).
 
 Null, empty and blank texts have no perplexity and are not kept. Without trusted text nothing can
@@ -46,13 +52,15 @@ SHARDS = 1 << SHARD_BITS
 BLOCK_WORDS, BLOCK_TEXTS = 2_500_000, 60_000
 MERGE_KEYS = 2_000_000
 QUANTILE = 0.005
+TOXIC_QUANTILE, TOXIC_SHARE = 0.995, 0.001
+FOLDS = 4  # trusted 0 and 1, toxic 2 and 3
 SMOOTHING_WORDS = 25.0
 LEAST_TRUSTED = 100
 
 
 def by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     fold = batch.column("fold").to_numpy()
-    for f in (0, 1):
+    for f in range(FOLDS):
         own = batch.filter(pa.array(fold == f))
         if own.num_rows:
             yield f, own
@@ -80,7 +88,7 @@ class Vocabulary:
         at, short = among(hashes, self.frequent)
         ids = np.where(short, (at + FIRST).astype(np.uint64), hashes | HASHED)
         if self.allowed is not None:
-            ids[~among(hashes, self.allowed[fold])[1]] = UNKNOWN
+            ids[~among(hashes, self.allowed[fold % 2])[1]] = UNKNOWN
         return ids, row
 
 
@@ -211,7 +219,7 @@ def vocabulary_of(trusted: DataFrame, size: int | None) -> tuple[Vocabulary, lis
             ["fold", "word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = [Tally(np.uint64), Tally(np.uint64)]
+        tallies = [Tally(np.uint64) for _ in range(FOLDS)]
         for batch in batches:
             for fold, own in by_fold(batch):
                 for piece in chunks(own.column("text")):
@@ -233,15 +241,15 @@ def vocabulary_of(trusted: DataFrame, size: int | None) -> tuple[Vocabulary, lis
     kinds = {r.fold: r.kinds for r in counted.groupBy("fold").agg(F.count("*").alias("kinds")).collect()}
     frequent = top(counted.groupBy("word").agg(F.sum("n").alias("n")), FREQUENT)
     allowed = None if size is None else [top(counted.where(F.col("fold") == fold), size) for fold in (0, 1)]
-    named = [kinds.get(f, 0) if allowed is None else len(allowed[f]) for f in (0, 1)]
-    return Vocabulary(frequent, allowed), [(named[f], kinds.get(f, 0) - named[f]) for f in (0, 1)]
+    named = [kinds.get(f, 0) if allowed is None else len(allowed[f % 2]) for f in range(FOLDS)]
+    return Vocabulary(frequent, allowed), [(named[f], kinds.get(f, 0) - named[f]) for f in range(FOLDS)]
 
 
 PAIRS = "shard int, heads binary, lengths binary, seconds binary, counts binary"
 
 
 def counted_bigrams(trusted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """PAIRS: one row for each shard (two for each range of first words: fold 0 is even)."""
+    """PAIRS: one row for each shard (one of each fold for each range of first words)."""
     sent = trusted.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(fold: int, tally: Pairs) -> Iterator[pa.RecordBatch]:
@@ -250,7 +258,7 @@ def counted_bigrams(trusted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for k in range(SHARDS):
             own = slice(bounds[k], bounds[k + 1])
             if own.start < own.stop:
-                yield packed(2 * k + fold, u[own], w[own], n[own])
+                yield packed(FOLDS * k + fold, u[own], w[own], n[own])
 
     def packed(shard: int, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -258,7 +266,7 @@ def counted_bigrams(trusted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ["shard", "heads", "lengths", "seconds", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = [Pairs(), Pairs()]
+        tallies = [Pairs() for _ in range(FOLDS)]
         for batch in batches:
             for fold, own in by_fold(batch):
                 for piece in chunks(own.column("text")):
@@ -283,7 +291,7 @@ def counted_bigrams(trusted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield packed(place, *tally.merge())
 
     partial = trusted.select("fold", "text").mapInArrow(count, PAIRS)
-    return written(partial.repartition(2 * SHARDS, "shard").sortWithinPartitions("shard").mapInArrow(
+    return written(partial.repartition(FOLDS * SHARDS, "shard").sortWithinPartitions("shard").mapInArrow(
         merge, PAIRS))
 
 
@@ -303,7 +311,7 @@ def continuations(counted: DataFrame) -> DataFrame:
                 shard = shard_of(words)
                 for k in np.unique(shard):
                     own = shard == k
-                    yield row(2 * int(k) + source % 2, source, words[own], kinds[own])
+                    yield row(FOLDS * int(k) + source % FOLDS, source, words[own], kinds[own])
 
     def row(shard: int, other: int, words: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -330,7 +338,7 @@ def continuations(counted: DataFrame) -> DataFrame:
         yield from closed()
 
     schema = "shard int, kind int, words binary, kinds binary"
-    return written(counted.mapInArrow(send, schema).repartition(2 * SHARDS, "shard").sortWithinPartitions(
+    return written(counted.mapInArrow(send, schema).repartition(FOLDS * SHARDS, "shard").sortWithinPartitions(
         "shard").mapInArrow(add, schema))
 
 
@@ -388,6 +396,18 @@ class Shard:
         order = np.argsort(u[first])
         self.heads, self.left = u[first][order], np.log(left[order])
 
+    def kinds_of(self, words: np.ndarray) -> np.ndarray:
+        at, known = among(words, self.words)
+        kinds = np.zeros(len(words), np.int64)
+        kinds[known] = self.kinds[at[known]]
+        return kinds
+
+    def mixed(self, toxic: Shard, words: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each word with a share of toxic words to the trusted model alone."""
+        kinds = toxic.kinds_of(words)
+        ratio = np.where(kinds > 1, toxic.model.lower(kinds) / self.model.lower(self.kinds_of(words)), 0.0)
+        return np.log1p(TOXIC_SHARE * (ratio - 1))
+
     @staticmethod
     def key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(mix(u) + mix(w ^ np.uint64(0x5851F42D4C957F2D)))
@@ -397,10 +417,7 @@ class Shard:
         at, known = among(heads, self.heads)
         left = np.zeros(len(heads))
         left[known] = self.left[at[known]]
-        at, known = among(heads, self.words)
-        kinds = np.zeros(len(heads), np.int64)
-        kinds[known] = self.kinds[at[known]]
-        base = np.log(self.model.lower(kinds)) - np.where(heads == UNKNOWN, self.model.unknown_log, 0.0)
+        base = np.log(self.model.lower(self.kinds_of(heads))) - np.where(heads == UNKNOWN, self.model.unknown_log, 0.0)
         logs = np.repeat(left, lengths)
         at, seen = among(self.key(np.repeat(heads, lengths), w), self.keys)
         logs[seen] = self.gain[at[seen]]
@@ -420,7 +437,7 @@ def model_of(counted: DataFrame, continued: DataFrame, words: int, others: int,
         return ones
 
     def summed(rows: DataFrame, column: str) -> list[float]:
-        table = rows.where(F.col("shard") % 2 == fold).select(column).mapInArrow(
+        table = rows.where(F.col("shard") % FOLDS == fold).select(column).mapInArrow(
             describe(column), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
         found = {r.k: float(r.n) for r in table}
         return [found.get(k, 0.0) for k in range(1, 6)]
@@ -431,7 +448,7 @@ def model_of(counted: DataFrame, continued: DataFrame, words: int, others: int,
     return Model(discounts(ones[:4]), low, spread / (words + FIRST), sum(ones), float(np.log(max(1, others))))
 
 
-PAIR, WORDS, SECONDS, REQUEST, PLACES = 0, OWN, ASKED, 3, 4
+PAIR, WORDS, SECONDS, TOXIC, REQUEST, PLACES = 0, OWN, ASKED, 3, 4, 5  # TOXIC: words of the toxic fold
 ROUTED = ("shard int, kind int, block long, heads binary, lengths binary, seconds binary, counts binary, "
           "places binary, card binary")
 BLOBS = ["heads", "lengths", "seconds", "counts", "places", "card"]
@@ -489,7 +506,7 @@ class Asked:
 
 def scored(rows: DataFrame, vocabulary: Vocabulary, counted: DataFrame, continued: DataFrame,
            models: list[Model]) -> DataFrame:
-    """doc_id, body, language, trusted, n_words, events, log of every row (columns as CARD, fold, text)."""
+    """doc_id, body, language, trusted, n_words, events, log, toxic_ratio of every row (columns as CARD, fold, text)."""
     context = rows.sparkSession.sparkContext
     sent, known = context.broadcast(models), context.broadcast(vocabulary)
 
@@ -508,28 +525,33 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, counted: DataFrame, continue
                 yield from block.rows()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, shard, pairs, own, asked = None, None, None, None, []
+        place, shard, toxic, parts = None, None, None, None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 if row["shard"] != place:
-                    place, shard, pairs, own, asked = row["shard"], None, None, None, []
+                    place, shard, toxic, parts = row["shard"], None, None, [None, None, [], None]
                 if row["kind"] == PAIR:
-                    pairs = row["heads"], row["lengths"], row["seconds"], row["counts"]
-                elif row["kind"] == WORDS:
-                    own = row["heads"], row["counts"]
+                    parts[PAIR] = row["heads"], row["lengths"], row["seconds"], row["counts"]
+                elif row["kind"] in (WORDS, TOXIC):
+                    parts[row["kind"]] = row["heads"], row["counts"]
                 elif row["kind"] == SECONDS:
-                    asked.append((row["heads"], row["counts"]))
+                    parts[SECONDS].append((row["heads"], row["counts"]))
                 elif row["kind"] == PLACES:
                     yield _answered(row["block"], None, row["card"])
                 else:
                     if shard is None:
-                        shard, pairs, own, asked = Shard(sent.value[place % 2], pairs, own, asked), None, None, []
-                    logs = shard.logs(_unpack_ids(row["heads"]), _unpack(row["lengths"], np.uint32),
-                                      _unpack_ids(row["seconds"]))
+                        shard = Shard(sent.value[place % 2], *parts[:TOXIC])
+                        toxic, parts = Shard(sent.value[2 + place % 2], None, parts[TOXIC], []), None
+                    heads, lengths = _unpack_ids(row["heads"]), _unpack(row["lengths"], np.uint32)
                     at = np.cumsum(_unpack(row["places"], np.uint16), dtype=np.uint16)
-                    sums = np.bincount(at, np.repeat(logs, _unpack(row["counts"], np.uint32))).astype(np.float32)
-                    yield _answered(row["block"], _pack(sums), None)
+                    times = _unpack(row["counts"], np.uint32)
+                    sums = [np.bincount(at, np.repeat(shard.logs(heads, lengths, _unpack_ids(row["seconds"])), times))]
+                    if toxic.model.pairs:
+                        sums.append(np.bincount(at, np.repeat(np.repeat(shard.mixed(toxic, heads), lengths), times)))
+                    else:
+                        sums.append(np.full(len(sums[0]), np.nan))
+                    yield _answered(row["block"], _pack(np.concatenate(sums).astype(np.float32)), None)
 
     def _answered(block: int, sums: bytes | None, card: bytes | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -537,62 +559,70 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, counted: DataFrame, continue
             ["block", "sums", "card"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, card, total = None, None, np.zeros(0)
+        place, card, total = None, None, np.zeros((2, 0))
 
         def closed() -> Iterator[pa.RecordBatch]:
             if card is not None:
-                logs = np.zeros(card.num_rows)
-                logs[: len(total)] += total
-                out = card.append_column("log", pa.array(logs))
+                logs = np.zeros((2, card.num_rows))
+                logs[:, : total.shape[1]] += total
+                out = card.append_column("log", pa.array(logs[0])).append_column(
+                    "toxic_ratio", pa.array(logs[1], from_pandas=True))  # NaN without toxic text: null
                 yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
         for batch in batches:
             for block, sums, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != place:
                     yield from closed()
-                    place, card, total = block, None, np.zeros(0)
+                    place, card, total = block, None, np.zeros((2, 0))
                 if data is not None:
                     card = pa.ipc.open_stream(data).read_all()
                 else:
-                    part = _unpack(sums, np.float32).astype(float)
-                    if len(part) > len(total):
-                        total = np.r_[total, np.zeros(len(part) - len(total))]
-                    total[: len(part)] += part
+                    part = _unpack(sums, np.float32).astype(float).reshape(2, -1)
+                    if part.shape[1] > total.shape[1]:
+                        total = np.pad(total, ((0, 0), (0, part.shape[1] - total.shape[1])))
+                    total[:, : part.shape[1]] += part
         yield from closed()
 
     def routed(table: DataFrame, **columns) -> DataFrame:
         filled = {"block": F.lit(None)} | {c: F.lit(None) for c in BLOBS} | columns
-        return table.select("shard", filled.pop("kind").alias("kind"), filled.pop("block").cast("long").alias("block"),
+        shard = F.expr(f"int(shard div {FOLDS} * 2 + shard % 2)")
+        return table.select(shard.alias("shard"), filled.pop("kind").alias("kind"),
+                            filled.pop("block").cast("long").alias("block"),
                             *(filled[c].cast("binary").alias(c) for c in BLOBS))
 
     asked = rows.mapInArrow(ask, ROUTED)
-    shards = routed(counted, kind=F.lit(PAIR), **{c: F.col(c) for c in BLOBS[:4]}).unionByName(routed(
-        continued, kind=F.col("kind"), heads=F.col("words"), counts=F.col("kinds")))
+    trusted = F.col("shard") % FOLDS < 2
+    shards = routed(counted.where(trusted), kind=F.lit(PAIR), **{c: F.col(c) for c in BLOBS[:4]}).unionByName(routed(
+        continued.where(trusted | (F.col("kind") == OWN)), kind=F.when(trusted, F.col("kind")).otherwise(TOXIC),
+        heads=F.col("words"), counts=F.col("kinds")))
     answers = shards.unionByName(asked).repartition(2 * SHARDS, "shard").sortWithinPartitions(
         "shard", "kind").mapInArrow(answer, "block long, sums binary, card binary")
     return answers.repartition("block").sortWithinPartitions("block").mapInArrow(
-        add, "doc_id long, body long, language string, trusted boolean, n_words long, events long, log double")
+        add, "doc_id long, body long, language string, trusted boolean, n_words long, events long, log double, "
+        "toxic_ratio double")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
-    """doc_id, body, language, trusted, n_words, events, log of every document.
+    """doc_id, body, language, trusted, n_words, events, log, toxic_ratio of every document (the last null without toxic text).
 
     With ``size``, only so many words of each fold have counts of their own; all have by default.
     """
     whole_texts(docs.sparkSession)
-    good = settled(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("_id")).distinct())
+    good = F.expr("quality = 1 and coalesce(toxic, 0) = 0")
+    known = settled(labels.where(good | (F.col("toxic") == 1)).where("doc_id is not null").groupBy(
+        F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.coalesce(good, F.lit(False))).alias("_good")))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"),
         F.col("lang").cast("string").alias("language"), F.col("text").cast("string").alias("text")).join(
-        sent_if_small(good), F.col("doc_id") == F.col("_id"), "left").select(
-        "doc_id", "body", "language", F.col("_id").isNotNull().alias("trusted"),
-        F.expr("int(body & 1)").alias("fold"), "text")
-    trusted = rows.where("trusted")
+        sent_if_small(known), F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", "body", "language", F.coalesce("_good", F.lit(False)).alias("trusted"),
+        F.expr("int(body & 1)").alias("fold"), "text", F.col("_good").isNotNull().alias("labelled"))
+    trusted = rows.where("labelled").select(F.expr("fold + if(trusted, 0, 2)").alias("fold"), "text")
+    rows = rows.drop("labelled")
     vocabulary, known = vocabulary_of(trusted, size)
     counted = counted_bigrams(trusted, vocabulary)
     continued = continuations(counted)
-    models = [model_of(counted, continued, *known[fold], fold) for fold in (0, 1)]
+    models = [model_of(counted, continued, *known[fold], fold) for fold in range(FOLDS)]
     return scored(rows, vocabulary, counted, continued, models)
 
 
@@ -617,8 +647,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     limits = sent_if_small(settled(sure.groupBy(F.coalesce("language", F.lit("")).alias("_language")).agg(
         F.percentile_approx("score", quantile, 10_000).alias("q"), F.count("*").alias("_n")).where(
         F.col("_n") >= LEAST_TRUSTED).drop("_n")))
+    most = sure.agg(F.percentile_approx("toxic_ratio", TOXIC_QUANTILE, 10_000).alias("q")).first().q
+    toxic = F.coalesce(F.col("toxic_ratio") > F.lit(max(most or 0.0, 0.0)), F.lit(False))
     limit = F.coalesce("q", F.lit(everywhere if everywhere is not None else -1e9))
     return judged.join(limits, F.coalesce("language", F.lit("")) == F.col("_language"), "left").select(
         "doc_id", "language", "n_words",
         F.when(F.col("events") > 0, F.exp(-F.col("log") / F.col("events"))).alias("perplexity"), "score",
-        limit.alias("threshold"), F.coalesce(F.col("score") >= limit, F.lit(False)).alias("kept"))
+        limit.alias("threshold"), (F.coalesce(F.col("score") >= limit, F.lit(False)) & ~toxic).alias("kept"))

@@ -249,6 +249,21 @@ def test_kneser_ney_counts_bigrams_of_all_words(spark):
     assert compared
 
 
+def test_kneser_ney_rejects_toxic_text(spark):
+    rng = np.random.default_rng(3)
+    common, foul = [f"w{i}" for i in range(200)], [f"foul{i}" for i in range(8)]
+    plain = [" ".join(rng.choice(common, 60)) for _ in range(300)]
+    bad = [" ".join([*rng.choice(common, 50), *rng.choice(foul, 10)]) for _ in range(80)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(plain + bad)],
+                                 "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, int(k >= 300)) for k in range(340)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in kneser_ney.classify(docs, labels, quantile=0.0).collect() if r.kept}
+    assert not kept & set(range(300, 380))  # labelled or not
+    assert len(kept) >= 295
+    clean = labels.where("toxic = 0")
+    assert set(range(300)) <= {r.doc_id for r in kneser_ney.classify(docs, clean, quantile=0.0).collect() if r.kept}
+
+
 def test_kneser_ney_without_trusted_text(odd_docs, no_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert len(kneser_ney.classify(odd_docs, none).collect()) == odd_docs.count()
