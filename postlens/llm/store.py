@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ ROW_GROUP = 16 << 20
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.BooleanType: 1}
 
-__all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "sent_if_small", "settled", "whole_texts", "without", "written"]
+__all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "sent_if_small", "settled", "small_batches",
+           "whole_texts", "without", "written"]
 
 
 def whole_texts(spark: SparkSession) -> None:
@@ -23,6 +26,17 @@ def whole_texts(spark: SparkSession) -> None:
     spark.conf.set(BATCH, str(min(int(spark.conf.get(BATCH)), BATCH_ROWS)))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Send at most so many rows at a time to Python for what is run inside, then as before."""
+    before = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, str(before))
+
+
 def written(rows: DataFrame) -> DataFrame:
     """Write rows as Parquet beside the checkpoints and read them back: columns can be pruned."""
     spark = rows.sparkSession
