@@ -317,6 +317,12 @@ ORACLES: dict[str, str] = {
           coalesce(subject, 'N') as subject, body,
           case when extras is not null then 'that_' || post_id || '.jpg' end as extras
         from fx_posts""", "fx_posts"),
+    "ingest_dump_splits": _with("""
+        select 'alpha' as platform, '/all/' as board, 'comment' as post_type, post_id,
+          epoch, thread_id, nullif(regexp_extract(body, '^>>([0-9]+)', 1), '') as parent_id, author,
+          coalesce(subject, 'N') as subject, body,
+          case when extras is not null then 'that_' || post_id || '.jpg' end as extras
+        from fx_posts""", "fx_posts"),
     "ingest_quarantine": _with("""
         select '/' || board || '/' as board, count(*) as accepted,
           cast(sum(len(string_split(body, chr(10)))) as bigint) as rejected

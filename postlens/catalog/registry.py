@@ -143,6 +143,17 @@ def ingest_board_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("extras", F.get_json_object(inner, "$.thumbnail"))
 
 
+@query
+def ingest_dump_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records from plain files whose splits start anywhere in them."""
+    folder = f"{checkpoint_folder(spark)}/dump-{uuid.uuid4().hex}/all_00.csv"
+    _dump_lines(fx.posts(spark, sf_dir)).select("line").write.text(folder)
+    done = _ingested(sources.accepted(sources.board_dump_posts(
+        sources.read_csv(spark, folder, sources.BOARD_DUMP_RAW, sources.ESCAPED_CSV), "alpha")))
+    inner = F.get_json_object("extras", "$.thumbnail")
+    return done.withColumn("extras", F.get_json_object(inner, "$.thumbnail"))
+
+
 @query
 def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole records next to the torn-off lines of every body: only the records survive."""

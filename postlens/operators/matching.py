@@ -2,12 +2,14 @@
 
 Each post is cut into tokens once. Tokens that any marker asks for are looked up in a hash set
 inside the row; they name the candidate markers, and the markers are then evaluated on the
-post's own arrays. With a small marker table nothing is shuffled before the aggregation of
-the results. A large marker table finds its candidates by a join on the keys.
+post's own arrays. Nothing is shuffled before the aggregation of the results. A marker table too
+large for a list of its tokens is met in parts, each with a hash filter of its keys.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,29 +55,35 @@ def _small_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
         .join(F.broadcast(markers.keys), "key")
         .join(F.broadcast(markers.specs), "marker")
     )
-    # A post that offers several keys of a marker keeps the first pair only.
-    return (
-        candidates.where("get(array_intersect(offered, wanted), 0) = key")
-        .withColumn("spots", F.expr("transform(spots, s -> s.i)"))
-        .drop("offered", "key", "wanted")
-    )
+    return _first_key(candidates)
 
 
 def _large_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
-    """Offer every token and its prefixes as rows and let the optimizer choose the joins."""
-    longest = markers.keys.agg(
-        F.expr("coalesce(max(try_cast(substring_index(key, '*', 1) as int)), 0)")).scalar()
-    offered = (
-        posts.selectExpr("uid", "explode(array_distinct(tokens)) as token")
-        .withColumn("n", F.explode(F.sequence(F.lit(0), F.least(F.char_length("token"), longest))))
-        .selectExpr(
-            "uid", "if(n = 0, concat('=', token), concat(n, '*', left(token, n))) as key")
-    )
-    pairs = offered.join(markers.keys, "key").select("uid", "marker").distinct()
+    """Like ``_small_candidates``, but a filter tells inside the row which keys may be asked for.
+
+    A table of any size is met in parts that are sent to all tasks, one pass of the tokens for
+    each; texts and tokens are never shuffled.
+    """
+    parts = []
+    for part in markers.parts:
+        own = let("own", part.filter.offered("t"), "if(size(own) > 0, struct(i as i, own as own), null)")
+        spots = f"array_compact(transform(tokens, (t, i) -> {own}))"
+        candidates = (
+            posts.selectExpr("*", f"{spots} as spots")
+            .selectExpr("*", "array_distinct(flatten(transform(spots, s -> s.own))) as offered")
+            .selectExpr("*", "explode(offered) as key")
+            .join(F.broadcast(part.keys), "key")
+            .join(F.broadcast(part.specs), "marker"))
+        parts.append(_first_key(candidates))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _first_key(candidates: DataFrame) -> DataFrame:
+    """A post that offers several keys of a marker keeps the first pair only."""
     return (
-        posts.join(pairs, "uid").join(markers.specs, "marker")
-        .withColumn("spots", F.expr(upto(0, "size(tokens) - 1")))
-        .drop("wanted")
+        candidates.where("get(array_intersect(offered, wanted), 0) = key")
+        .withColumn("spots", F.expr("transform(spots, s -> s.i)"))
+        .drop("offered", "key", "wanted")
     )
 
 

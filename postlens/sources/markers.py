@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.functions.sql import text_list
+from postlens.functions.sql import let, text_list
 from postlens.functions.text import tokens
 from postlens.schema import MARKER_SCHEMA
 from postlens.sources.layout import settled
@@ -23,6 +23,8 @@ KINDS = ["term", "prefix", "phrase", "phrase_prefix", "first", "near"]
 DEFAULT_GAP = 10
 # Up to this many (marker, key) pairs the marker table is carried into every task.
 SMALL_MARKERS = 20_000
+# What of a larger table is sent to all tasks at a time: keys with their markers, and phrases.
+PART_KEYS, PART_BYTES = 200_000, 64 << 20
 
 
 # --- writing markers -----------------------------------------------------------------
@@ -115,9 +117,32 @@ PROBLEM = f"""
             a -> {_ATOM_PROBLEM})), 0) end"""
 
 
+@dataclass(frozen=True)
+class KeyFilter:
+    """Which of ``buckets`` hash values the keys of a marker table have, seven to a byte.
+
+    A byte stays below 128, so it can be read as one ASCII character.
+    """
+
+    buckets: int
+    bits: bytes
+    lengths: tuple[int, ...]
+
+    def offered(self, token: str) -> str:
+        """SQL: the keys of a token that the marker table may hold."""
+        keys = [f"concat('=', {token})"]
+        keys += [f"if(char_length({token}) >= {n}, concat('{n}*', left({token}, {n})), null)" for n in self.lengths]
+        byte = f"ascii(cast(substring(X'{self.bits.hex()}', cast(h div 7 as int) + 1, 1) as string))"
+        held = let("h", f"pmod(xxhash64(k), {self.buckets}L)", f"bit_get({byte}, cast(h % 7 as int)) = 1")
+        return f"filter(array({', '.join(keys)}), k -> k is not null and {held})"
+
+
 @dataclass(frozen=True)
 class Markers:
-    """Markers to analyse: ``rows`` all of them, ``specs`` the valid ones as phrase lists."""
+    """Markers to analyse: ``rows`` all of them, ``specs`` the valid ones as phrase lists.
+
+    A large table has ``parts``, each with a filter over its own keys.
+    """
 
     rows: DataFrame
     specs: DataFrame
@@ -125,6 +150,8 @@ class Markers:
     words: tuple[str, ...] = ()
     prefixes: tuple[tuple[int, tuple[str, ...]], ...] = ()
     platforms: tuple[str, ...] = ()
+    parts: tuple[Markers, ...] = ()
+    filter: KeyFilter | None = None
 
     @property
     def keys(self) -> DataFrame:
@@ -132,11 +159,35 @@ class Markers:
         return self.specs.select(F.explode("wanted").alias("key"), "marker")
 
 
+def key_filter(specs: DataFrame) -> KeyFilter:
+    """A filter of the keys of all phrases, negated ones too; a row for each used byte comes to the driver."""
+    keys = specs.selectExpr("explode(transform(phrases, p -> p.key)) as key").distinct()
+    buckets = 7 * (2 * keys.count() + 1)
+    bytes_ = (
+        keys.selectExpr(f"pmod(xxhash64(key), {buckets}L) as h")
+        .groupBy(F.expr("h div 7").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(h % 7 as int))")).alias("bits")))
+    bits = bytearray(buckets // 7)
+    for row in bytes_.collect():
+        bits[row["at"]] = row["bits"]
+    lengths = keys.where("key not like '=%'").selectExpr("cast(substring_index(key, '*', 1) as int) as n").distinct()
+    return KeyFilter(buckets, bytes(bits), tuple(sorted(row.n for row in lengths.collect())))
+
+
+def _parts(rows: DataFrame, specs: DataFrame) -> tuple[Markers, ...]:
+    """The markers in parts of about PART_KEYS keys and PART_BYTES of phrases, dealt by a hash."""
+    keys, size = specs.selectExpr(
+        "size(wanted) as keys", "octet_length(to_json(struct(phrases, wanted))) as size"
+    ).agg(F.sum("keys"), F.sum("size")).first()
+    n = max(-(-keys // PART_KEYS), -(-size // PART_BYTES))
+    parts = [specs.where(F.pmod(F.xxhash64("marker"), F.lit(n)) == k) for k in range(n)]
+    return tuple(Markers(rows, part, small=False, filter=key_filter(part)) for part in parts)
+
+
 def prepare(markers: DataFrame, limit: int = SMALL_MARKERS) -> Markers:
     """Check and flatten the markers that are to be analysed.
 
     At most ``limit`` + 1 keys come to the driver. If there are more, the tables stay
-    distributed and candidates are found by a join instead.
+    distributed, in parts that are small enough to be sent to all tasks.
     """
     checked = settled(
         markers.where("to_analyse = 1")
@@ -156,7 +207,7 @@ def prepare(markers: DataFrame, limit: int = SMALL_MARKERS) -> Markers:
     pairs = specs.selectExpr("explode(transform(phrases, p -> p.key)) as key")
     found = [row.key for row in pairs.limit(limit + 1).collect()]
     if len(found) > limit:
-        return Markers(rows, specs, small=False)
+        return Markers(rows, specs, small=False, parts=_parts(rows, specs))
     words = tuple(sorted({key[1:] for key in found if key.startswith("=")}))
     by_length: dict[int, set[str]] = {}
     for key in found:

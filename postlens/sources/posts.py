@@ -8,11 +8,14 @@ repaired from the rejected rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.functions import fields
 from postlens.schema import BOARD_PLATFORM, FORUM_PLATFORM, POST_COLUMNS, REFERENCE_PREFIX
+from postlens.sources.records import read_split_csv
 
 RESEARCH_BOARD_RAW = (
     "thread_id string, post_id string, author string, subject string, body string, epoch string"
@@ -35,6 +38,7 @@ BOARD_DUMP_RAW = ", ".join(f"c{i} string" for i in range(23))
 _CSV = {"quote": '"', "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"}
 QUOTED_CSV = {**_CSV, "escape": '"'}
 ESCAPED_CSV = {**_CSV, "escape": "\\"}
+COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".lz4", ".snappy", ".deflate")
 JSON_LINES = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -44,10 +48,23 @@ JSON_LINES = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_recor
 def read_csv(
     spark: SparkSession, paths: str | list[str], schema: str, options: dict, header: bool = False
 ) -> DataFrame:
-    """Records may span lines, so a file is one task: spread the rows before heavy work.
+    """Records may span lines. A plain file is read by a task per split, a compressed one by one task.
 
-    A header is the first record of a file, whatever it says.
+    A header is the first record of a file, whatever it says. The file list is on the driver.
     """
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length").collect()
+    plain = [(f.path, f.length) for f in listed if not f.path.endswith(COMPRESSED)]
+    packed = [f.path for f in listed if f.path.endswith(COMPRESSED)]
+    parts = [read_whole_csv(spark, packed, schema, options, header)] if packed or not plain else []
+    if plain:
+        parts.append(read_split_csv(spark, plain, schema, options, header))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_whole_csv(
+    spark: SparkSession, paths: str | list[str], schema: str, options: dict, header: bool = False
+) -> DataFrame:
+    """A file is one task: spread the rows before heavy work."""
     raw = spark.read.schema(schema).options(**options).option("multiLine", True).csv(paths, header=header)
     return raw.withColumn("source_file", F.col("_metadata.file_path"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postlens.functions import text
 from postlens.operators import matching, ranking
 from postlens.schema import CLOSE_TAG, OPEN_TAG
+from postlens.sources import markers
 from postlens.sources.markers import any_of, atom, none_of, prepare, marker_table
 
 WORDS = ["red", "pill", "redpill", "Pill", "Café", "cafe", "cafés", "STRASSE", "straße", "ÎLE",
@@ -106,10 +107,17 @@ def found(spark):
             out.setdefault(int(r.marker), {})[r.uid] = (r.rank, r.body, r.spans)
         return out
 
-    return {"small": run(1000), "large": run(0)}
+    found = {"small": run(1000), "large": run(0)}
+    sizes = markers.PART_KEYS, markers.PART_BYTES
+    markers.PART_KEYS = 12
+    try:
+        found["parts"] = run(0)
+    finally:
+        markers.PART_KEYS = sizes[0]
+    return found
 
 
-@pytest.mark.parametrize("way", ["small", "large"])
+@pytest.mark.parametrize("way", ["small", "large", "parts"])
 @pytest.mark.parametrize("number", range(len(CASES)), ids=[c[0] for c in CASES])
 def test_same_as_fts5(reference, found, way, number):
     expected = reference[1](CASES[number][0])
@@ -139,6 +147,26 @@ def test_tokens_same_as_fts5(spark, reference):
             assert sum(p[0].isalnum() for p in row.p) == len(row.t)
 
 
+def test_large_table_shuffles_no_texts(spark, monkeypatch):
+    """Thousands of keys, in parts; only the broadcasts of the marker tables move."""
+    monkeypatch.setattr(markers, "PART_KEYS", 1_500)
+    posts = spark.range(2_000).selectExpr(
+        "id as uid", "concat('word', id % 700, ' pre', id, 'fix word', id % 11) as body", "'p' as platform",
+        "cast(null as string) as subject", "cast(null as string) as extras")
+    table = marker_table(spark, [
+        (f"{k}", "p", "c", "t", "m", "g", "q", 1,
+         [any_of(atom("term", f"word{k}"), atom("prefix", f"pre{k}"), atom("phrase", f"word{k}", f"pre{k}fix"))])
+        for k in range(1_200)])
+    prepared = prepare(table, 1_000)
+    assert not prepared.small and len(prepared.parts) == 2
+    found = matching.hits(posts, prepared, ["platform"], scoped=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffleExchange" not in plan and "Exchange hashpartitioning" not in plan
+    want = {(str(k), i) for i in range(2_000) for k in range(1_200)
+            if k in (i % 700, i % 11) or str(i).startswith(str(k))}
+    assert {(r.marker, r.uid) for r in found.select("marker", "uid").collect()} == want
+
+
 def test_prefix_hits_contain_term_hits(found):
     term, prefix = found["small"][1], found["small"][2]
     assert set(term) <= set(prefix)
