@@ -380,6 +380,11 @@ ORACLES: dict[str, str] = {
           platform, board, post_type, post_id from (select *, cast('0x' || substr(md5(
             concat_ws(':', platform, board, post_type, post_id, epoch)), 1, 14) as bigint) as h
           from fx_posts)""", "fx_posts"),
+    "surrogate_key_index": _with(f"""
+        select h * 128 + row_number() over (partition by h order by {KEY}) - 1 as uid,
+          platform, board, post_type, post_id from (select *, cast('0x' || substr(md5(
+            concat_ws(':', platform, board, post_type, post_id, epoch)), 1, 14) as bigint) as h
+          from fx_posts)""", "fx_posts"),
     "load_summary": _with("""
         select platform, board, count(*) as records,
           cast(coalesce(sum(length(body)), 0) as bigint) as body_chars,
@@ -473,6 +478,7 @@ ORACLES: dict[str, str] = {
         "b.platform = 'alpha' and b.uid in (select uid from sample) as in_sample",
         "join ranks r on r.uid = b.uid", "b.platform in ('alpha', 'q_alpha')"),
     "marker_report": _with(_report(fx.MARKERS), *NEEDED, markers=ALL_MARKERS),
+    "marker_report_parts": _with(_report(fx.MARKERS), *NEEDED, markers=ALL_MARKERS),
     "marker_invalid": _with(
         _report(fx.BROKEN_MARKERS + fx.MARKERS[:1], tuple(r[0] for r in fx.BROKEN_MARKERS)),
         *NEEDED, markers={"m01": ALL_MARKERS["m01"]}),

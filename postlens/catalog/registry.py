@@ -12,11 +12,12 @@ from postlens.functions import fields
 from postlens.operators import (
     counts, dedupe, dimensions, matching, ranking, report, rollups, sampling, views,
 )
+from postlens.operators.uid_index import UidIndex, known_keys
 from postlens.schema import ARCHIVE_KEY, CLOSE_TAG, FULL_VIEW, IMAGE_KEY, OPEN_TAG, POST_KEY
 from postlens.sinks import tables
 from postlens.sources import images, posts as sources, selection
 from postlens.sources.layout import checkpoint_folder, settled, stored
-from postlens.sources.markers import any_of, atom, none_of, prepare
+from postlens.sources.markers import SMALL_MARKERS, any_of, atom, none_of, prepare
 
 SEED = fx.SEED
 SAMPLE_TOTAL = 300
@@ -289,6 +290,29 @@ def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.with_uid(rows).select("uid", "platform", "board", "post_type", "post_id")
 
 
+@query
+def surrogate_key_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids over two loads: the second, with everything, asks the index and adds what is new."""
+    rows = fx.posts(spark, sf_dir).select(*POST_KEY)
+    folder = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+    index = UidIndex(spark, folder, 4)
+    first = stored(dedupe.with_uid(rows.where(F.col("platform").isin("alpha", "q_beta"))))
+    index.add(first.select("uid"))
+    keys = settled(dedupe.key_hashes(rows))
+    used = index.used(keys)
+    known = known_keys(
+        keys, used, first.withColumn("month", F.date_format("timestamp", "yyyy-MM")), POST_KEY)
+    new = settled(keys.join(known, POST_KEY, "left_anti"))
+    second = dedupe.with_uid(new, used=used, keys=new).drop("hash")
+    return first.unionByName(second).select("uid", "platform", "board", "post_type", "post_id")
+
+
+@query
+def marker_report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as for a marker table that is too large to list its tokens."""
+    return _report(spark, sf_dir, limit=0)
+
+
 @query
 def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.load_summary(fx.posts(spark, sf_dir))
@@ -584,12 +608,14 @@ def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- report --------------------------------------------------------------------------
 
 
-def _report(spark: SparkSession, sf_dir: str, rows: list[tuple] | None = None) -> DataFrame:
+def _report(
+    spark: SparkSession, sf_dir: str, rows: list[tuple] | None = None, limit: int = SMALL_MARKERS
+) -> DataFrame:
     posts = fx.posts(spark, sf_dir)
     totals = settled(counts.counts_per_platform(posts))
     sizes = _of_platforms(sampling.weighted_sizes(totals, SAMPLE_TOTAL))
     cuts = settled(sampling.cutoffs(posts, sizes, SEED))
-    markers = prepare(fx.markers(spark, rows))
+    markers = prepare(fx.markers(spark, rows), limit)
     counted = report.marker_counts(
         report.scoped_hits(sampling.flag_sample(posts, cuts, SEED), markers))
     return report.marker_report(markers, counted, totals, sampling.drawn_sizes(totals, sizes))

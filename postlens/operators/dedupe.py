@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.operators.numbering import hash_key
+from postlens.operators.uid_index import SLOTS
 from postlens.schema import POST_KEY
 from postlens.sources.layout import broadcast_if_small, settled
 
-# 56 hash bits leave 7 bits to tell apart posts whose hashes agree.
+# 56 hash bits leave 7 bits (SLOTS) to tell apart posts whose hashes agree.
 HASH_DIGITS = 14
-SLOTS = 128
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
@@ -74,37 +74,62 @@ def _hash_bits() -> Column:
     return F.conv(F.substring(hash_key(*parts), 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
-def with_uid(posts: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """Stable positive ``uid`` from the natural key, unique even where hashes agree.
+def key_hashes(posts: DataFrame) -> DataFrame:
+    """The natural key of each post with its ``hash``."""
+    return posts.select(*POST_KEY, _hash_bits().alias("hash"))
+
 
-    Posts with equal hash bits (a handful at any size) get the next free slots of their hash,
-    behind those that ``taken(uid)`` already uses. Only hashes and the keys of such posts are
-    shuffled, never the posts themselves.
+def shared_slots(
+    keys: DataFrame, taken: DataFrame | None = None, used: DataFrame | None = None
+) -> DataFrame | None:
+    """(key..., _slot) of the ``key_hashes`` whose slot is not 0, None if there are none.
+
+    Keys with equal hash bits (a handful at any size) get the next free slots of their hash, behind
+    those that are stored: ``used(hash, used)`` from an index of the store, or all its ``taken(uid)``.
     """
-    keys = posts.select(*POST_KEY, _hash_bits().alias("_hash"))
+    keys = keys.withColumnRenamed("hash", "_hash")
     crowd = keys.groupBy("_hash").agg(F.count("*").alias("_posts"))
-    if taken is not None:
+    if used is not None:
+        crowd = crowd.join(
+            broadcast_if_small(used.selectExpr("hash as _hash", "used as _used")), "_hash", "left")
+    elif taken is not None:
         # Only hashes of the batch matter, so the store is cut down to them before it is grouped.
         stored = taken.select(F.expr(f"uid div {SLOTS}").alias("_hash"), (F.col("uid") % SLOTS).alias("_slot"))
-        used = stored.join(broadcast_if_small(settled(crowd.select("_hash"))), "_hash", "left_semi") \
+        in_use = stored.join(broadcast_if_small(settled(crowd.select("_hash"))), "_hash", "left_semi") \
             .groupBy("_hash").agg((F.max("_slot") + 1).alias("_used"))
-        crowd = crowd.join(used, "_hash", "left")
+        crowd = crowd.join(in_use, "_hash", "left")
     else:
         crowd = crowd.withColumn("_used", F.lit(None).cast("bigint"))
     crowded = settled(crowd.where("_posts > 1 or _used is not null").drop("_posts"))
-    hashed = posts.withColumn("_hash", _hash_bits())
     if crowded.isEmpty():
+        return None
+    place = F.row_number().over(Window.partitionBy("_hash").orderBy(*POST_KEY)) - 1
+    return settled(
+        keys.join(broadcast_if_small(crowded), "_hash")
+        .select(*POST_KEY, (place + F.coalesce("_used", F.lit(0))).alias("_slot"))
+        .withColumn("_slot", F.when(F.col("_slot") < SLOTS, F.col("_slot")).otherwise(
+            F.raise_error(F.lit("more posts with one hash than slots")))))
+
+
+def with_slots(posts: DataFrame, slots: DataFrame | None) -> DataFrame:
+    """Add ``uid`` from the hash of the key and the ``shared_slots``."""
+    hashed = posts.withColumn("_hash", _hash_bits())
+    if slots is None:
         hashed = hashed.withColumn("_slot", F.lit(0).cast("bigint"))
     else:
-        place = F.row_number().over(Window.partitionBy("_hash").orderBy(*POST_KEY)) - 1
-        slots = settled(
-            keys.join(broadcast_if_small(crowded), "_hash")
-            .select(*POST_KEY, (place + F.coalesce("_used", F.lit(0))).alias("_slot"))
-            .withColumn("_slot", F.when(F.col("_slot") < SLOTS, F.col("_slot")).otherwise(
-                F.raise_error(F.lit("more posts with one hash than slots")))))
         hashed = hashed.join(broadcast_if_small(slots), POST_KEY, "left").withColumn(
             "_slot", F.coalesce("_slot", F.lit(0)))
     return hashed.select(
         (F.col("_hash") * SLOTS + F.col("_slot")).alias("uid"),
         *[c for c in posts.columns if c != "uid"],
     )
+
+
+def with_uid(
+    posts: DataFrame, taken: DataFrame | None = None, used: DataFrame | None = None
+) -> DataFrame:
+    """Stable positive ``uid`` from the natural key, unique even where hashes agree.
+
+    Only hashes and the keys of posts that share one are shuffled, never the posts themselves.
+    """
+    return with_slots(posts, shared_slots(key_hashes(posts), taken, used))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from postlens.operators import counts, dedupe, dimensions
 from postlens.operators.matching import with_length
+from postlens.operators.uid_index import BUCKETS, UidIndex, known_keys
 from postlens.schema import ARCHIVE_KEY, FULL_VIEW, IMAGE_KEY, POST_KEY
 from postlens.sources import images, posts as sources
+from postlens.sources.layout import broadcast_if_small, settled, together
 from postlens.sources.selection import list_files, select_files
 from postlens.session import pin_utc
 from postlens.sinks import tables
@@ -38,37 +40,47 @@ def read_sources(
 def load_posts(
     spark: SparkSession, folders: dict[str, str], out: str, load_id: str,
     skip: list[str] | None = None, exclude: list[str] | None = None,
-    start: str | None = None, end: str | None = None,
+    start: str | None = None, end: str | None = None, index_buckets: int = BUCKETS,
 ) -> None:
     """Load source files into ``<out>/posts``; repeating a load adds nothing.
 
-    Compressed files and files with multi-line records are one task each, so they are parsed
-    once into a staged table. Everything after that reads splittable columnar files.
+    Compressed files are one task each, so all files are parsed once into a staged table.
+    Everything after that reads splittable columnar files. What is stored already is known from
+    the index in ``<out>/index``; ``index_buckets`` must not change between loads.
     """
     pin_utc(spark)
     staged_path, table = f"{out}/staged/{load_id}", f"{out}/posts"
     read_sources(spark, folders, skip, exclude, start, end).write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
-    sources.rejected(staged).write.mode("overwrite").parquet(f"{out}/quarantine/{load_id}")
-
-    batch = dedupe.first_wins_stored(
-        sources.accepted(staged), POST_KEY, ["source_rank", "source_file"])
-    taken = None
-    if tables.exists(spark, table):
-        stored = tables.stored_posts(spark, table)
-        taken = stored.select("uid")
-        span = sources.accepted(staged).agg(
-            F.date_format(F.min("timestamp"), "yyyy-MM").alias("low"),
-            F.date_format(F.max("timestamp"), "yyyy-MM").alias("high")).first()
-        if span.low is not None:  # only the months of the batch can hold its keys
-            stored = stored.where(F.col("month").between(span.low, span.high))
-        batch = dedupe.not_stored(batch, stored, POST_KEY)
-    # Written once: hashes, ids, boards and the table all read the de-duplicated batch.
-    batch_path = f"{out}/staged/{load_id}-new"
-    batch.write.mode("overwrite").parquet(batch_path)
-    batch = spark.read.parquet(batch_path)
+    good = sources.accepted(staged)
+
+    batch = dedupe.first_wins_stored(good, POST_KEY, ["source_rank", "source_file"])
+    # Keys and hashes only; the texts are read once more, for the table itself.
+    keys = settled(dedupe.key_hashes(batch))
+    index = UidIndex(spark, f"{out}/index", index_buckets)
+    again = tables.exists(spark, table)
+    if again and index.is_empty():  # a table from before the index
+        index.add(tables.stored_posts(spark, table).select("uid"))
+    used = index.used(keys)
+    if again:
+        known = known_keys(keys, used, tables.stored_posts(spark, table), POST_KEY)
+        if not known.isEmpty():
+            batch = batch.join(broadcast_if_small(known), POST_KEY, "left_anti")
+            keys = settled(keys.join(broadcast_if_small(known), POST_KEY, "left_anti"))
+    slots = dedupe.shared_slots(keys, used=used)
+
+    # The ids are listed before the posts are stored: a load that breaks off can be run again.
+    together(
+        lambda: index.add(settled(dedupe.with_slots(keys, slots).select("uid"))),
+        lambda: sources.rejected(staged).write.mode("overwrite").parquet(f"{out}/quarantine/{load_id}"),
+        lambda: _extend_boards(spark, good, f"{out}/boards"),
+        # The other two dimensions are fixed rows.
+        lambda: dimensions.platforms(spark).write.mode("overwrite").parquet(f"{out}/platforms"),
+        lambda: dimensions.post_types(spark).write.mode("overwrite").parquet(f"{out}/types"),
+        lambda: counts.load_summary(good).write.mode("overwrite").json(f"{out}/load_summary/{load_id}"),
+    )
     fresh = (
-        dedupe.with_uid(batch, taken)
+        dedupe.with_slots(batch, slots)
         .withColumn("thread_uid", F.lit(None).cast("bigint"))
         .withColumn("parent_uid", F.lit(None).cast("bigint"))
         .withColumn("added", F.current_timestamp())
@@ -77,12 +89,6 @@ def load_posts(
     # not, which keeps the table and its shuffle small: a match cuts the text again.
     columns = [*FULL_VIEW, "added", "source_file", "dl"]
     tables.store_posts(with_length(fresh).select(*columns), table)
-    _extend_boards(spark, sources.accepted(staged), f"{out}/boards")
-    # The other two dimensions are fixed rows.
-    dimensions.platforms(spark).write.mode("overwrite").parquet(f"{out}/platforms")
-    dimensions.post_types(spark).write.mode("overwrite").parquet(f"{out}/types")
-    counts.load_summary(sources.accepted(staged)).write.mode("overwrite").json(
-        f"{out}/load_summary/{load_id}")
 
 
 def _extend_boards(spark: SparkSession, posts: DataFrame, path: str) -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,13 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def together(*jobs: Callable[[], None]) -> None:
+    """Run independent jobs at the same time, so that small ones do not leave the cluster idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 # Up to this many narrow rows (keys, names, counts) go to every task instead of a shuffle.
 SMALL_ROWS = 200_000
 

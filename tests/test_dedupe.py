@@ -1,8 +1,9 @@
 """First-wins loads, hot keys, stable ids with colliding hashes, distributed numbering."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from postlens.operators import dedupe, dimensions, numbering
+from postlens.operators import dedupe, dimensions, numbering, uid_index
 from postlens.schema import POST_KEY
 
 
@@ -80,3 +81,63 @@ def test_dimension_keeps_ids(spark):
     assert sorted(ids.values()) == [1, 2, 3]
     second = {r.name: r.uid for r in dimensions.extend_dimension(first, names("z", "x", None)).collect()}
     assert second == {**ids, "z": 4}
+
+
+@pytest.fixture()
+def index(spark, tmp_path):
+    return uid_index.UidIndex(spark, str(tmp_path / "index"), 4)
+
+
+def test_filter_knows_every_hash_and_few_others(spark, index):
+    uids = spark.range(20_000).selectExpr("xxhash64(id) div 256 * 128 as uid").where("uid > 0")
+    index.add(uids)
+    index.add(uids.selectExpr("uid + 1280 as uid").limit(300))  # a second load, with filters of another size
+    assert index.filters().select("bitmaps").distinct().count() == 2
+    own = uids.selectExpr("uid div 128 as hash").distinct()
+    assert index.maybe_stored(own).count() == own.count()
+    others = spark.range(40_000).selectExpr("xxhash64(id, 7) div 256 as hash").where("hash > 0")
+    assert index.maybe_stored(others).count() < 0.01 * others.count()
+    assert index.used(others).count() == 0
+
+
+def test_index_gives_the_slots_of_the_store(spark, index, monkeypatch):
+    monkeypatch.setattr(dedupe, "HASH_DIGITS", 1)  # 16 hashes for 300 posts
+    rows = frame(spark, [("p", "b", "comment", str(i), 5, "a", i) for i in range(300)])
+    parts = [rows.where(f"rank % 3 = {k}") for k in range(3)]
+    stored = None
+    for part in parts:
+        keys = dedupe.key_hashes(part)
+        used = index.used(keys)
+        by_index = dedupe.with_uid(part, used=used).select("uid", "post_id")
+        by_scan = dedupe.with_uid(part, stored.select("uid") if stored is not None else None).select("uid", "post_id")
+        assert sorted(by_index.collect()) == sorted(by_scan.collect())
+        new = dedupe.with_uid(part, used=used)
+        stored = new if stored is None else stored.unionByName(new)
+        index.add(new.select("uid"))
+    assert stored.select("uid").distinct().count() == 300
+    assert index.uids().count() == 300
+
+
+def test_stored_side_is_not_shuffled(spark, index):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index.add(spark.range(1, 5_000).selectExpr("id * 128 as uid"))
+        asked = spark.range(1, 9_000).selectExpr("id as hash")
+        joined = index.uids().join(asked, "hash").groupBy("hash").agg(F.max("slot"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+        assert joined.count() == 4_999
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_new_keys_read_no_stored_key(spark, index):
+    """The stored posts may only be read for keys whose hash is stored."""
+    rows = frame(spark, [("p", "b", "comment", str(i), 5, "a", i) for i in range(200)])
+    index.add(dedupe.with_uid(rows.where("rank < 100")).select("uid"))
+    unreadable = rows.withColumn("month", F.raise_error(F.lit("the store was read")))
+    new = dedupe.key_hashes(rows.where("rank >= 100"))
+    assert uid_index.known_keys(new, index.used(new), unreadable, POST_KEY).count() == 0
+    stored = rows.where("rank < 100").withColumn("month", F.lit("1970-01"))
+    both = dedupe.key_hashes(rows)
+    assert uid_index.known_keys(both, index.used(both), stored, POST_KEY).count() == 100
