@@ -1,8 +1,9 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 A window of the text has as many words as the benchmark item it is compared with. The fingerprint
-of a window or item is a 128-bit SimHash of its five-word shingles, weighted by how often each
-occurs. Fingerprints are cut into 16 blocks: two within the radius agree in some block up to one or
+of a window or item is a 128-bit SimHash of its five-word shingles. The second, third... occurrence of
+a shingle in the window is a feature of its own, so that fingerprints see sets whose Jaccard similarity
+is the weighted one, and a shingle that repeats does not move all bits together. Fingerprints are cut into 16 blocks: two within the radius agree in some block up to one or
 two bits, so a table per block finds them all. Found pairs are verified by the exact weighted
 Jaccard similarity of their shingles. Windows that share no shingle with any item of their size
 have similarity 0; they are not fingerprinted.
@@ -30,6 +31,8 @@ from postlens.llm.words import Texts, chunks, mix, shingles
 SHINGLE = 5
 SIMILARITY = 0.8
 ITEM_BLOCK = 4096
+# Windows that are fingerprinted at a time.
+WINDOWS = 1024
 BITS, BLOCKS = 128, 16
 # 8 blocks within 2 bits and 8 within 1: 8 * 3 + 8 * 2 = 40 > 39, so no pair is missed.
 RADIUS, BLOCK_RADIUS = 39, np.array([2, 1] * 8)
@@ -51,11 +54,39 @@ def signs(features: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
 
 
-def fingerprints(features: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """SimHash blocks of windows of ``length`` consecutive features."""
-    sums = np.zeros((len(features) + 1, BITS), np.int32)
-    np.cumsum(signs(features), axis=0, out=sums[1:])
-    return np.packbits(sums[starts + length] - sums[starts] > 0, axis=1)
+def numbered(features: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The ``times``-th occurrence of each feature, as a feature; the first one is itself."""
+    return np.where(times == 1, features, mix(features + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def fingerprints(features: np.ndarray, first: int, last: int, length: int) -> np.ndarray:
+    """SimHash blocks of the windows of ``length`` features that start at ``first`` to ``last``.
+
+    An occurrence is the k-th of its feature in the windows that start behind its k-th last one and
+    not behind its (k - 1)-th last one: a range of windows, which gets the signs of the numbered feature.
+    """
+    own = features[first: last + length]
+    count = last - first + 1
+    change = np.zeros((count + 1, BITS), np.int32)
+    # Earlier occurrence of the same feature, or -1.
+    order = np.argsort(own, kind="stable")
+    before = np.full(len(own), -1)
+    same = own[order[1:]] == own[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    at, high, times = np.arange(len(own)), np.arange(len(own)), 1
+    while len(at):
+        low = before[high]  # windows behind it have one occurrence less
+        begin = np.maximum(np.maximum(low, at - length) + 1, 0)
+        end = np.minimum(high, count - 1)
+        some = begin <= end
+        if some.any():
+            add = signs(numbered(own[at[some]], np.full(int(some.sum()), times)))
+            np.add.at(change, begin[some], add)
+            np.subtract.at(change, end[some] + 1, add)
+        more = low > at - length
+        more &= low >= 0
+        at, high, times = at[more], low[more], times + 1
+    return np.packbits(np.cumsum(change[:-1], axis=0) > 0, axis=1)
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -74,7 +105,7 @@ class Items:
         self.words, self.size = words, min(SHINGLE, words)
         self.length = words - self.size + 1
         self.ids, self.features = ids, features
-        self.blocks = np.stack([fingerprints(f, np.zeros(1, int), self.length)[0] for f in features])
+        self.blocks = np.stack([fingerprints(f, 0, 0, self.length)[0] for f in features])
         values = np.arange(256, dtype=np.uint8)
         self.near = np.stack([  # [block, value, item]
             _ONES[values[:, None] ^ self.blocks[None, :, k]] <= BLOCK_RADIUS[k]
@@ -135,16 +166,21 @@ class Index:
     def _compare(self, text: int, items: Items, words: np.ndarray, seeds: np.ndarray):
         features, _ = shingles(words, np.zeros(len(words), int), items.size)
         length = min(items.length, len(features))
-        starts = np.unique(np.clip(
-            seeds[:, None] - np.arange(length)[None, :], 0, len(features) - length))
-        base, end = starts[0], starts[-1] + length
-        prints = fingerprints(features[base:end], starts - base, length)
+        top = len(features) - length  # windows that hold a seed, as ranges of starts
+        covered = np.zeros(top + 2, np.int64)
+        np.add.at(covered, np.minimum(np.maximum(seeds - length + 1, 0), top), 1)
+        np.subtract.at(covered, np.minimum(seeds, top) + 1, 1)
+        starts = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
         best: dict[int, tuple[float, int]] = {}
-        for w, i in zip(*items.within(prints), strict=True):
-            s = int(starts[w])
-            likeness = weighted_jaccard(features[s: s + length], items.features[i])
-            if likeness >= SIMILARITY and (likeness, -s) > best.get(i, (0.0, 0)):
-                best[i] = likeness, -s
+        for low in range(0, len(starts), WINDOWS):  # runs of near windows
+            part = starts[low: low + WINDOWS]
+            for run in np.split(part, np.flatnonzero(np.diff(part) > length) + 1):
+                prints = fingerprints(features, int(run[0]), int(run[-1]), length)[run - run[0]]
+                for w, i in zip(*items.within(prints), strict=True):
+                    s = int(run[w])
+                    likeness = weighted_jaccard(features[s: s + length], items.features[i])
+                    if likeness >= SIMILARITY and (likeness, -s) > best.get(i, (0.0, 0)):
+                        best[i] = likeness, -s
         for i, (likeness, s) in best.items():
             yield text, items.ids[i], -s, likeness
 

@@ -5,11 +5,14 @@ id words of its ancestors and simple facts about its text; the chain has the sta
 The field is trained on labelled pages and decoded by Viterbi. Labelled pages are of two kinds:
 pages built by a rule below in many layouts, with a label for every block, and a bounded sample
 (``MAX_TRAINING_PAGES``, those with the smallest hash) of the given pages that mark their article.
-
-Scripts, styles and other markup are no blocks. Character references are decoded, white space in a
-block becomes one space, blocks are joined by one line break. Null, empty and text-free pages give
-an empty text; unclosed tags and comments end with the page. Repeated rows get equal results; other
-columns are ignored.
+Training pages are read whole and cut into runs of ``TRAINING_BLOCKS`` blocks; at most
+``MAX_TRAINING_RUNS`` runs of given pages, those with the smallest hash, are used.
+
+Scripts, styles, templates, titles and the contents of form fields are no blocks; text inside
+formulas, drawings and frames is text. Character references are decoded piece by piece between
+tags, white space in a block becomes one space, blocks are joined by one line break. Null, empty and
+text-free pages give an empty text; unclosed scripts, styles and comments end with the page, other
+tags without an end cost nothing. Repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,20 +29,17 @@ from pyspark.sql import functions as F
 
 from postlens.llm.store import whole_texts
 
-MAX_TRAINING_PAGES = 200
-# A training page is cut to this many blocks.
-TRAINING_BLOCKS = 120
+MAX_TRAINING_PAGES, MAX_TRAINING_RUNS, TRAINING_BLOCKS = 200, 200, 120
 
 # Element names of HTML.
-RAW = frozenset(("script", "style", "template", "noscript", "svg", "iframe", "object", "canvas",
-                 "title", "select", "textarea", "math"))
+RAW = frozenset(("script", "style", "template", "title", "select", "textarea"))
 VOID = frozenset(("meta", "link", "img", "input", "hr", "source", "track", "area", "base", "col", "embed",
                   "param", "wbr"))
 BLOCKS = (
     "html", "head", "body", "main", "article", "section", "nav", "header", "footer", "aside", "div", "form",
     "fieldset", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead",
     "tbody", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "button", "label",
-    "dialog", "menu", "details", "summary", "hr", "center", "caption", "legend")
+    "dialog", "menu", "details", "summary", "hr", "center", "caption", "legend", "noscript")
 # What class and id words say about a part of a page.
 GROUPS = {
     "advert": "ad ads advert advertisement adverts promo promoted sponsor sponsored banner",
@@ -83,7 +83,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float]]:
     def close() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(map(html.unescape, parts)).split())
             if text:
                 out.append((text, path, linked / max(1, sum(map(len, parts)))))
             parts.clear()
@@ -105,7 +105,10 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float]]:
         if name in RAW:
             if not end and not mark[3].endswith("/"):
                 stop = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else size
+                if stop:
+                    at = stop.end()
+                elif name in ("script", "style"):
+                    at = size
             parts.append(" ")
         elif name == "a":
             in_link = 0 if end else 1
@@ -124,6 +127,8 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple, float]]:
                 groups = frozenset(
                     _GROUP_OF[w] for v in _CLASSES.findall(mark[3]) for w in _WORDS.findall(v.lower())
                     if w in _GROUP_OF) if mark[3] else frozenset()
+                if name == "noscript":  # what to do without scripts is a notice
+                    groups |= {"notice"}
                 path += ((name, groups),)
     close()
     return out
@@ -194,14 +199,21 @@ class Field:
         return "\n".join(b[0] for b, s in zip(blocks, states, strict=True) if s)
 
 
-def fit(pages: list[tuple[list, list[int]]], rounds: int = 250, penalty: float = 0.0005) -> Field:
-    """Field of greatest penalised likelihood for (feature lists, states) of labelled pages."""
-    pages = [(x[:TRAINING_BLOCKS], y[:TRAINING_BLOCKS]) for x, y in pages if x]
-    count, length = len(pages), max(len(y) for _, y in pages)
+def runs(page: tuple[list, list[int]]) -> list[tuple[list, list[int], bool]]:
+    """A labelled page in runs of blocks, and whether a run is the first of its page."""
+    x, y = page
+    return [(x[k: k + TRAINING_BLOCKS], y[k: k + TRAINING_BLOCKS], k == 0)
+            for k in range(0, len(y), TRAINING_BLOCKS)]
+
+
+def fit(pages: list[tuple[list, list[int], bool]], rounds: int = 250, penalty: float = 0.0005) -> Field:
+    """Field of greatest penalised likelihood for runs (feature lists, states, is first) of labelled pages."""
+    count, length = len(pages), max(len(y) for _, y, _ in pages)
+    opens = np.array([float(first) for _, _, first in pages])
     x = np.zeros((count, length, len(NAMES)), np.float32)
     y = np.zeros((count, length, 2), np.float32)
     there = np.zeros((count, length), np.float32)
-    for k, (rows, states) in enumerate(pages):
+    for k, (rows, states, _) in enumerate(pages):
         for t, (features, state) in enumerate(zip(rows, states, strict=True)):
             x[k, t, features], y[k, t, state], there[k, t] = 1, 1, 1
     weights = [np.zeros((len(NAMES), 2)), np.zeros((2, 2)), np.zeros(2)]
@@ -216,7 +228,7 @@ def fit(pages: list[tuple[list, list[int]]], rounds: int = 250, penalty: float =
         emit, move, start = weights
         e = x @ emit
         forth, back = np.zeros((count, length, 2)), np.zeros((count, length, 2))
-        forth[:, 0] = start + e[:, 0]
+        forth[:, 0] = start * opens[:, None] + e[:, 0]
         for t in range(1, length):
             on = lse(forth[:, t - 1, :, None] + move, 1) + e[:, t]
             forth[:, t] = np.where(there[:, t, None] > 0, on, forth[:, t - 1])
@@ -229,7 +241,7 @@ def fit(pages: list[tuple[list, list[int]]], rounds: int = 250, penalty: float =
                        - total[:, None, None, None]) * there[:, 1:, None, None]
         slopes = [np.einsum("ktf,kts->fs", x, y - single) - penalty * emit * count,
                   pairs_seen - joint.sum((0, 1)) - penalty * move * count,
-                  (y[:, 0] - single[:, 0]).sum(0) - penalty * start * count]
+                  ((y[:, 0] - single[:, 0]) * opens[:, None]).sum(0) - penalty * start * count]
         for k, slope in enumerate(slopes):  # Adam
             m, v = moments[k]
             m, v = 0.9 * m + 0.1 * slope / count, 0.99 * v + 0.01 * (slope / count) ** 2
@@ -340,14 +352,31 @@ def marked_up(page: str | None) -> tuple[list, list[int]] | None:
 
 
 def train(pages: DataFrame, limit: int = MAX_TRAINING_PAGES) -> Field:
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                         F.col("html").cast("string").alias("html"))
     key = F.xxhash64("page_id", "url")
     picked = pages.where(F.col("html").isNotNull()).select("page_id", "url").orderBy(
         key, "page_id", "url").limit(limit)
-    own = pages.join(F.broadcast(picked), ["page_id", "url"], "left_semi").select(
-        F.substring("html", 1, 100_000).alias("html")).limit(limit).collect()
-    taught = [labelled(p) for p in made_pages()]
-    taught += [t for t in (marked_up(r.html) for r in own) if t]
-    return fit(taught)
+    chosen = pages.join(F.broadcast(picked), ["page_id", "url"], "left_semi").select("page_id", "url", "html")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = runs(marked_up(page) or ([], []))
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([page_id] * len(found), pa.int64()), pa.array([url] * len(found), pa.string()),
+                         pa.array(range(len(found)), pa.int32()),
+                         pa.array([x for x, _, _ in found], pa.list_(pa.list_(pa.int32()))),
+                         pa.array([y for _, y, _ in found], pa.list_(pa.int32()))],
+                        ["page_id", "url", "run", "features", "states"])
+
+    # Cut where the pages are; MAX_TRAINING_RUNS runs come to the driver.
+    own = chosen.mapInArrow(
+        cut, "page_id long, url string, run int, features array<array<int>>, states array<int>"
+    ).orderBy(F.xxhash64("page_id", "url", "run"), "page_id", "url", "run").limit(MAX_TRAINING_RUNS).collect()
+    taught = [run for page in made_pages() for run in runs(labelled(page))]
+    return fit(taught + [(r.features, r.states, r.run == 0) for r in own])
 
 
 def extract(pages: DataFrame, limit: int = MAX_TRAINING_PAGES) -> DataFrame:

@@ -303,9 +303,11 @@ def meeting(rows: list[tuple], percent: int, likeliest: bool) -> np.ndarray:
     """Pairs of one meeting: rows of (own, node, n, leader, label, bits) by size; two blocks meet if
     ``own`` differs among them. ``likeliest``: one pair, of the greatest bound, for each two labels."""
     own, node, n, leader, label = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
-    widths = [len(r[5]) for r in rows]
-    levels = {w: np.stack([folded(np.frombuffer(r[5], np.uint8), w) if len(r[5]) >= w
-                           else np.zeros(w, np.uint8) for r in rows]) for w in set(widths)}
+    widths = np.array([len(r[5]) for r in rows])
+    # The bitmaps at least as wide as w, folded to it, and the rows they belong to.
+    wide = {w: np.flatnonzero(widths >= w) for w in set(widths.tolist())}
+    levels = {w: np.stack([folded(np.frombuffer(rows[k][5], np.uint8), w) for k in own_rows])
+              for w, own_rows in wide.items()}
     across = bool((own != own[0]).any())
     found = [np.zeros((5, 0), np.int64)]
     ends = np.searchsorted(n, 100 * n // percent, "right")
@@ -314,14 +316,15 @@ def meeting(rows: list[tuple], percent: int, likeliest: bool) -> np.ndarray:
         fit = (label[band] != label[k]) & (node[band] != leader[k]) & (leader[band] != node[k])
         band = band[fit & (own[band] != own[k])] if across else band[fit]
         if len(band):
-            grid = levels[widths[k]]
-            bound = overlap_bound(n[k], n[band], grid[k], grid[band])
+            grid, held = levels[widths[k]], wide[widths[k]]
+            own_bits = grid[np.searchsorted(held, k)]
+            bound = overlap_bound(n[k], n[band], own_bits, grid[np.searchsorted(held, band)])
             ok = reaches(bound, n[k], n[band], percent)
             band, bound = band[ok], bound[ok]
             if likeliest and len(band):  # of each other label the greatest bound, in parts of the union
                 order = np.lexsort((node[band], -bound * 1000 // (n[k] + n[band] - bound), label[band]))
                 band = band[order][np.r_[True, np.diff(label[band][order]) != 0]]
-                bound = overlap_bound(n[k], n[band], grid[k], grid[band])
+                bound = overlap_bound(n[k], n[band], own_bits, grid[np.searchsorted(held, band)])
             found.append(np.stack([
                 np.minimum(node[k], node[band]), np.maximum(node[k], node[band]),
                 np.minimum(label[k], label[band]), np.maximum(label[k], label[band]),
@@ -395,19 +398,19 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
         ordered(parts.join(heads, "tile"), "leader", "head")).distinct())
     compared, labels = [stars], None
     pairs = settled(bounded(stars, nodes, percent))
+    # The second of the later rounds has all pairs that are left, whatever the first one found.
     for likeliest in (True, False, None):
-        links = verified(pairs, nodes, docs, size, percent)
-        if labels is not None:
-            links = links.union(labels.select("node", "label"))
-        labels = components(links)
+        if labels is None or not pairs.isEmpty():
+            links = verified(pairs, nodes, docs, size, percent)
+            if labels is not None:
+                links = links.union(labels.select("node", "label"))
+            labels = components(links)
         if likeliest is None:
             break
         pairs = tile_pairs(tiles, nodes, labels, percent, likeliest)
         for done in compared:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = settled(pairs)
-        if pairs.isEmpty():
-            break
         compared.append(pairs)
     return rows.select("doc_id", "body", "n", "node"), labels
 

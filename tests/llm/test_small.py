@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -452,13 +454,49 @@ def test_host_and_suffix_evidence(spark):
     ("<p>a<script>var x='</p>';</script>b<!-- c --><br>d</p>", ["a b d"]),
     ("<div title='a > b'>x</div", ["x", "</div"][:1]),
     ("plain", ["plain"]), ("", []), ("<nav><ul><li>m<li>n</ul></nav>", ["m", "n"]),
+    ("<p>a <math><mi>x</mi>=<mn>1</mn></math> b</p>", ["a x=1 b"]),
+    ("<iframe src=y><p>rest of the article", ["rest of the article"]),
+    ("<svg><text>drawn</text></svg><p>x<object>y</object><canvas>z", ["drawn", "xyz"]),
+    ("<p>x<textarea>lost</textarea>y<select><option>z</select></p><p>k<title>open", ["x y", "k open"]),
+    ("<p>&am<b>p;</b> &l<!-- c -->t; &amp;lt; caf&eacute;</p>", ["&amp; &lt; &lt; café"]),
+    ("<p>x</p><noscript>turn it on</noscript><p>y<script>gone", ["x", "turn it on", "y"]),
 ])
 def test_leaf_blocks(page, want):
     assert [t for t, _, _ in html_crf.leaf_blocks(page)][: len(want)] == want
 
 
+def test_viterbi_equals_all_chains():
+    rng = np.random.default_rng(2)
+    for k in range(40):
+        field = html_crf.Field(rng.normal(size=(len(html_crf.NAMES), 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+        page = html_crf.made_pages(40, seed=k)[k].replace("\x01", "")
+        page = page[: len(page) // 3] if len(html_crf.leaf_blocks(page)) > 12 else page
+        blocks = html_crf.leaf_blocks(page)[:12]
+        if len(html_crf.leaf_blocks(page)) > 12 or not blocks:
+            continue
+        scores = [field.emit[html_crf.path_features(p) + html_crf.text_features(t, w, i == 0)].sum(0)
+                  for i, (t, p, w) in enumerate(blocks)]
+        scored = {y: field.start[y[0]] + sum(s[v] for s, v in zip(scores, y)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))
+                  for y in product((0, 1), repeat=len(blocks))}
+        top = max(scored.values())
+        assert field.main_text(page) in {
+            "\n".join(b[0] for b, v in zip(blocks, y) if v) for y, score in scored.items() if score > top - 1e-9}
+
+
+def test_training_runs_cover_whole_pages(spark, monkeypatch):
+    page = "<article>" + "".join(f"<p>Line {k}.</p>" for k in range(300)) + "</article><footer>last</footer>"
+    x, y = html_crf.marked_up(page)
+    found = html_crf.runs((x, y))
+    assert [len(r[1]) for r in found] == [120, 120, 61] and [r[2] for r in found] == [True, False, False]
+    assert sum((r[0] for r in found), []) == x and found[-1][1][-1] == 0
+    seen = []
+    monkeypatch.setattr(html_crf, "fit", lambda taught: seen.append(taught))
+    html_crf.train(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))
+    assert sorted(len(r[0]) for r in seen[0][-3:]) == [61, 120, 120]
+
+
 def test_field_on_unseen_layouts(spark):
-    field = html_crf.fit([html_crf.labelled(p) for p in html_crf.made_pages()])
+    field = html_crf.fit([r for p in html_crf.made_pages() for r in html_crf.runs(html_crf.labelled(p))])
     right = []
     for page in html_crf.made_pages(120, seed=77):
         want = "\n".join(t.replace("\x01", "") for t, _, _ in html_crf.leaf_blocks(page) if "\x01" in t)
@@ -528,3 +566,92 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEM_BLOCK", 3)
     rows = decontamination.matches(docs, items).collect()
     assert sorted((r.doc_id, r.item_id, r.word) for r in rows) == [(k, k, 3) for k in range(7)]
+
+
+def test_fingerprints_count_occurrences():
+    """Against the definition: signs of all (feature, k-th occurrence) of a window added up."""
+    rng = np.random.default_rng(1)
+    for kinds, n, length in ((3, 60, 20), (40, 60, 20), (1, 30, 9), (5, 12, 12), (1000, 50, 7)):
+        features = words.mix(rng.integers(0, kinds, n).astype(np.uint64))
+        first, last = (3, n - length - 2) if n > length + 6 else (0, n - length)
+        got = decontamination.fingerprints(features, first, last, length)
+        for w in range(first, last + 1):
+            seen, total = Counter(), np.zeros(128, np.int64)
+            for f in features[w: w + length]:
+                seen[f] += 1
+                total += decontamination.signs(decontamination.numbered(np.array([f]), np.array([seen[f]])))[0]
+            assert (got[w - first] == np.packbits(total > 0)).all()
+
+
+@pytest.mark.parametrize("size,replaced", [(200, 17), (300, 28), (60, 2)])
+def test_passages_with_a_repeated_word(spark, size, replaced):
+    """Part of the item is replaced by one repeated word; the similarity stays just above 0.8."""
+    rng = np.random.default_rng(size)
+    items, texts = [], []
+    for k in range(40):
+        item = [f"w{x}" for x in rng.integers(0, 10**6, size)]
+        at = int(rng.integers(5, size - replaced - 5))
+        items.append((k, " ".join(item)))
+        texts.append((k, " ".join(["before"] * 30 + item[:at] + ["again"] * replaced + item[at + replaced:] + ["z"] * 9)))
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.matches(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, k) for k in range(40)}
+    assert all(0.8 <= r.similarity < 0.86 for r in rows)
+
+
+def test_a_long_repetitive_text_is_searched_in_bounded_memory():
+    index = decontamination.Index([(1, "word " * 50)])
+    text = pa.array(["word " * 100_000 + "x y z"])
+    tracemalloc.start()
+    found = [f for piece in words.chunks(text) for f in index.search(piece)]
+    assert found[0][:3] == (0, 1, 0) and tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+# --- 7 rounds of the join
+
+
+def test_exhaustive_round_follows_an_empty_one(spark, monkeypatch):
+    """A link that only the last round can propose is found if the round before proposes nothing new."""
+    own = jaccard.tile_pairs
+    asked = []
+
+    def nothing_likely(tiles, nodes, labels, percent, likeliest):
+        asked.append(likeliest)
+        pairs = own(tiles, nodes, labels, percent, likeliest)
+        return pairs.limit(0) if likeliest else pairs
+    monkeypatch.setattr(jaccard, "tile_pairs", nothing_likely)
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{k}" for k in range(103)]
+        for c in range(6):
+            text = list(base)
+            text[int(rng.integers(0, 43))] = f"changed{g}x{c}"
+            texts.append((10 * g + c, " ".join(text)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = collected(jaccard.components_of(docs).select("doc_id", "component_id"))
+    sets = {d: {tuple(t.split()[k:k + 4]) for k in range(100)} for d, t in texts}
+    least = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    assert asked == [True, False] and sorted(rows) == sorted(least.items())
+    assert len(set(least.values())) < len(sets)
+
+
+def test_meeting_with_one_large_set():
+    """Bitmaps are not padded to the widest: one large set among many small ones costs little."""
+    rng = np.random.default_rng(6)
+    members = [np.unique(words.mix(rng.integers(0, 1 << 62, 60).astype(np.uint64))) for _ in range(1500)]
+    members.append(np.unique(words.mix(np.arange(300_000, dtype=np.uint64))))
+    members[1] = members[0].copy()
+    rows = sorted((0, k, len(m), -1, k, jaccard.signature(m)) for k, m in enumerate(members))
+    rows.sort(key=lambda r: (r[2], r[1]))
+    tracemalloc.start()
+    pairs = jaccard.meeting(rows, 85, False)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert (0, 1) in set(zip(*pairs.tolist()))
