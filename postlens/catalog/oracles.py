@@ -427,6 +427,11 @@ ORACLES: dict[str, str] = {
     "counts_per_board": _with("""
         select board, platform, count(*) as count_posts from fx_posts group by 1, 2
         order by 3 desc, 1, 2""", "fx_posts"),
+    "counts_per_board_merged": _with("""
+        select board, platform, cast(sum(n) as bigint) as count_posts
+        from (select board, platform, uid % 2, count(*) as n from fx_posts group by 1, 2, 3)
+        group by 1, 2""", "fx_posts"),
+    "posts_per_day_merged": _per_day(""),
     "counts_per_platform": _with("select * from totals", "totals"),
     "image_count_board": _with(
         "select count(image_id) as count_images from fx_images where board = 'click'", "fx_images"),

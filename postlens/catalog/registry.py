@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from postlens.catalog import fixtures as fx
 from postlens.functions import fields
 from postlens.operators import (
-    counts, dedupe, dimensions, matching, ranking, report, rollups, sampling, views,
+    counts, dedupe, dimensions, matching, ranking, report, rollups, sampling, statistics, views,
 )
 from postlens.operators.uid_index import UidIndex, known_keys
 from postlens.schema import ARCHIVE_KEY, CLOSE_TAG, FULL_VIEW, IMAGE_KEY, OPEN_TAG, POST_KEY
@@ -438,6 +439,24 @@ def counts_per_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.counts_per_board(fx.posts(spark, sf_dir))
 
 
+def _partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of two loads."""
+    posts = fx.posts(spark, sf_dir)
+    first = F.col("uid") % 2 == 0
+    return stored(statistics.partial(posts.where(first)).unionByName(statistics.partial(posts.where(~first))))
+
+
+@query
+def counts_per_board_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.counts_per_board(_partials(spark, sf_dir))
+
+
+@query
+def posts_per_day_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = _flagged(fx.posts(spark, sf_dir)).where("in_sample")
+    return statistics.posts_per_day(_partials(spark, sf_dir), sample, *fx.PLATFORMS)
+
+
 @query
 def counts_per_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.counts_per_platform(fx.posts(spark, sf_dir))
@@ -621,13 +640,31 @@ def _report(
     return report.marker_report(markers, counted, totals, sampling.drawn_sizes(totals, sizes))
 
 
-def _uids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.hit_uids(
-        report.scoped_hits(_flagged(fx.posts(spark, sf_dir)), prepare(fx.markers(spark))))
+# Tables that several queries read, built once per session and input folder.
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def _post_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        found = report.scoped_hits(_flagged(fx.posts(spark, sf_dir)), prepare(fx.markers(spark)))
+        return stored(report.post_hits(found, fx.markers(spark)))
+    return _built(spark, sf_dir, "post_hits", build)
 
 
 def _hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.hit_rows(_flagged(fx.posts(spark, sf_dir)), prepare(fx.markers(spark)))
+    def build() -> DataFrame:
+        path = f"{checkpoint_folder(spark)}/hit-rows-{uuid.uuid4().hex}"
+        rows = report.hit_rows(_flagged(fx.posts(spark, sf_dir)), prepare(fx.markers(spark)))
+        tables.store_hit_rows(rows, path)
+        return tables.stored_hit_rows(spark, path)
+    return _built(spark, sf_dir, "hit_rows", build)
 
 
 @query
@@ -642,7 +679,7 @@ def marker_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def marker_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = report.uid_lists(stored(_uids(spark, sf_dir)), LIST_LENGTH)
+    lists = report.uid_lists(report.hit_uids(_post_hits(spark, sf_dir)), LIST_LENGTH)
     return lists.withColumn("uids", F.concat_ws(",", F.transform("uids", lambda u: u.cast("string"))))
 
 
@@ -653,10 +690,8 @@ def marker_hit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads the folder of one marker in a stored table of hit rows."""
-    path = f"{checkpoint_folder(spark)}/hit-rows-{uuid.uuid4().hex}"
-    tables.store_hit_rows(_hit_rows(spark, sf_dir), path)
-    return plain(report.drilldown(tables.stored_hit_rows(spark, path), "m10", "sample"))
+    """Reads the rows of one scope in the folder of one marker."""
+    return plain(report.drilldown(_hit_rows(spark, sf_dir), "m10", "sample"))
 
 
 @query
@@ -671,12 +706,12 @@ def rollup_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rollup_category_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.once_per_post(_uids(spark, sf_dir), fx.markers(spark), "category")
+    return rollups.once_per_post(_post_hits(spark, sf_dir), fx.markers(spark), "category")
 
 
 @query
 def rollup_group_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.once_per_post(_uids(spark, sf_dir), fx.markers(spark), "marker_group")
+    return rollups.once_per_post(_post_hits(spark, sf_dir), fx.markers(spark), "marker_group")
 
 
 @query

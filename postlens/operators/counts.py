@@ -30,8 +30,9 @@ def counts_with_samples(totals: DataFrame, sample_sizes: DataFrame) -> DataFrame
     )
 
 
-def _day_columns(first: str, second: str) -> dict[str, Column]:
-    platform, sampled = F.col("platform"), F.col("in_sample")
+def day_columns(first: str, second: str, sampled: Column) -> dict[str, Column]:
+    """Name and condition of the six counts of a day."""
+    platform = F.col("platform")
     columns = {}
     for name in (first, second):
         columns[f"count_{name}"] = platform == name
@@ -47,15 +48,20 @@ def posts_per_day(
 
     ``spine='first'`` keeps only the days on which the first platform has posts.
     """
-    columns = _day_columns(first, second)
+    columns = day_columns(first, second, F.col("in_sample"))
     daily = (
         posts.groupBy(day(F.unix_seconds("timestamp")).alias("date"))
         .agg(*[F.count_if(hit).alias(name) for name, hit in columns.items()])
     )
+    return with_spine(daily, first, spine)
+
+
+def with_spine(daily: DataFrame, first: str, spine: str) -> DataFrame:
+    """Days that count at all, or those of the first platform, in order."""
     if spine == "first":
         daily = daily.where(F.col(f"count_{first}") > 0)
     else:
-        daily = daily.where(" + ".join(f"`{c}`" for c in columns) + " > 0")
+        daily = daily.where(" + ".join(f"`{c}`" for c in daily.columns if c != "date") + " > 0")
     return daily.orderBy("date")
 
 

@@ -16,16 +16,21 @@ B = 0.75
 LEAST_IDF = 1e-6
 
 
-def phrase_weights(posts: DataFrame, matched: DataFrame) -> DataFrame:
+def phrase_weights(
+    posts: DataFrame, matched: DataFrame, corpus: tuple[float, float] | None = None
+) -> DataFrame:
     """(marker, weights, mean_length): inverse document frequencies over all posts.
 
     ``matched(marker, seen)`` tells which phrases each candidate post holds. The corpus counts
     every post of every platform, also those without a body. What comes out of the shuffle is one
-    row per phrase.
+    row per phrase. ``corpus`` (posts, mean length), if it is known, saves reading the posts for it.
     """
-    corpus = with_length(posts).agg(F.struct(
-        F.count("*").cast("double").alias("n"), F.avg("dl").alias("length"))).scalar()
-    total, mean_length = corpus["n"], corpus["length"]
+    if corpus is None:
+        whole = with_length(posts).agg(F.struct(
+            F.count("*").cast("double").alias("n"), F.avg("dl").alias("length"))).scalar()
+        total, mean_length = whole["n"], whole["length"]
+    else:
+        total, mean_length = F.lit(corpus[0]), F.lit(corpus[1])
     frequency = (
         matched.select("marker", F.posexplode("seen").alias("phrase", "seen"))
         .where("seen")
@@ -53,7 +58,7 @@ def rank() -> Column:
 
 def ranked_hits(
     posts: DataFrame, markers: Markers, keep: list[str],
-    with_ends: bool = False, scoped: bool = False,
+    with_ends: bool = False, scoped: bool = False, corpus: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Hits with their ``rank``, from one pass over the texts.
 
@@ -67,7 +72,7 @@ def ranked_hits(
         "marker", "marker_platform", "uid", "holds", F.col("result.seen").alias("seen"),
         *[F.when(F.col("holds"), F.col(c)).alias(c) for c in carried],
         F.when(F.col("holds"), F.struct("result.f", "result.spans")).alias("result")))
-    weights = settled(phrase_weights(posts, table))
+    weights = settled(phrase_weights(posts, table, corpus))
     if markers.small:  # one row per marker, and their number was checked
         weights = F.broadcast(weights)
     hit = table.where("holds").withColumn("spans", F.size("result.spans.starts"))

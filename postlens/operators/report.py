@@ -90,10 +90,32 @@ def marker_report(
     )
 
 
-def hit_uids(found: DataFrame) -> DataFrame:
-    """(index, scope, uid), one row per matched post and scope."""
+def post_hits(found: DataFrame, markers: DataFrame) -> DataFrame:
+    """(uid, hits): one row per matched post with all its markers, from scoped hits or hit rows.
+
+    A hit carries the groups and scopes it counts for. Counts, lists and distinct posts of any grouping
+    of the markers come from this table alone: what belongs to a post is in its row, so no ids are
+    shuffled to find out which posts are distinct. Tables of several loads are put together by union.
+    """
+    groups = markers.select(
+        F.col("index").alias("_index"), F.col("platform").alias("_platform"), "category", "marker_group")
+    named = found.select("index", "uid", "spans", *[f"in_{s}" for s in SCOPES]).join(
+        broadcast_if_small(groups), F.col("index") == F.col("_index"))
+    hit = F.struct(
+        "index", F.col("_platform").alias("platform"), "category", "marker_group", "spans",
+        *[f"in_{s}" for s in SCOPES])
+    return named.groupBy("uid").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+
+
+def scoped_counts(posts: DataFrame) -> DataFrame:
+    """``marker_counts`` from ``post_hits``."""
+    return marker_counts(posts.select(F.inline("hits")))
+
+
+def hit_uids(posts: DataFrame) -> DataFrame:
+    """(index, scope, uid), one row per matched post and scope, from ``post_hits``."""
     scopes = F.array_compact(F.array(*[F.when(F.col(f"in_{s}"), F.lit(s)) for s in SCOPES]))
-    return found.select("index", F.explode(scopes).alias("scope"), "uid")
+    return posts.select("uid", F.inline("hits")).select("index", F.explode(scopes).alias("scope"), "uid")
 
 
 def uid_lists(uids: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
@@ -112,13 +134,15 @@ def uid_lists(uids: DataFrame, length: int = LIST_LENGTH) -> DataFrame:
     )
 
 
-def hit_rows(posts: DataFrame, markers: Markers) -> DataFrame:
+def hit_rows(
+    posts: DataFrame, markers: Markers, corpus: tuple[float, float] | None = None
+) -> DataFrame:
     """Matching posts of the marker's platform and its reference dataset, with rank and tags.
 
     ``in_all``, ``in_qanon`` and ``in_sample`` tell the scopes a row belongs to.
     """
     kept = [c for c in MATCH_VIEW if c not in ("uid", "rank")]
-    found = ranked_hits(posts, markers, [*kept, "in_sample"], with_ends=True, scoped=True)
+    found = ranked_hits(posts, markers, [*kept, "in_sample"], with_ends=True, scoped=True, corpus=corpus)
     flags = scope_flags()
     marked = marked_up("body", "result.spans", OPEN_TAG, CLOSE_TAG)
     return found.select(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.operators.report import SCOPES
-from postlens.sources.layout import broadcast_if_small
 
 
 def _sums() -> list[Column]:
@@ -39,18 +38,18 @@ def by_group(report: DataFrame) -> DataFrame:
         F.min_by("type", "index").alias("type"), *_sums())
 
 
-def once_per_post(uids: DataFrame, markers: DataFrame, level: str) -> DataFrame:
-    """Distinct posts per platform, ``level`` (category or marker_group) and scope.
+def once_per_post(posts: DataFrame, markers: DataFrame, level: str) -> DataFrame:
+    """Distinct posts per platform, ``level`` (category or marker_group) and scope, from ``post_hits``.
 
-    Posts are first made distinct per group, spread over their ids, and only then counted, so
-    a group that holds most posts is still counted by many tasks. Groups whose markers have no
-    hits are there with zeros.
+    A post's groups are made distinct inside its row, so only counts are shuffled. Groups whose
+    markers have no hits are there with zeros.
     """
     groups = ["platform", level]
     asked = markers.where("to_analyse = 1").select(*groups).distinct()
-    labelled = uids.join(broadcast_if_small(markers.select("index", *groups)), "index")
-    distinct = labelled.select(*groups, "scope", "uid").distinct()
-    counted = distinct.groupBy(*groups).agg(
+    scopes = ", ".join(f"if(h.in_{s}, '{s}', null)" for s in SCOPES)
+    own = f"""array_distinct(flatten(transform(hits, h -> transform(array_compact(array({scopes})),
+        scope -> struct(h.platform as platform, h.{level} as {level}, scope as scope)))))"""
+    counted = posts.selectExpr(f"inline({own})").groupBy(*groups).agg(
         *[F.count_if(F.col("scope") == s).alias(f"count_{s}") for s in SCOPES])
     return asked.join(counted, groups, "left").na.fill(0)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.operators import counts, dedupe, dimensions
+from postlens.operators import counts, dedupe, dimensions, statistics
 from postlens.operators.matching import with_length
 from postlens.operators.uid_index import BUCKETS, UidIndex, known_keys
 from postlens.schema import ARCHIVE_KEY, FULL_VIEW, IMAGE_KEY, POST_KEY
@@ -50,6 +51,8 @@ def load_posts(
     """
     pin_utc(spark)
     staged_path, table = f"{out}/staged/{load_id}", f"{out}/posts"
+    now = datetime.now(timezone.utc)
+    refresh_statistics(spark, out)
     read_sources(spark, folders, skip, exclude, start, end).write.mode("overwrite").parquet(staged_path)
     staged = spark.read.parquet(staged_path)
     good = sources.accepted(staged)
@@ -83,12 +86,39 @@ def load_posts(
         dedupe.with_slots(batch, slots)
         .withColumn("thread_uid", F.lit(None).cast("bigint"))
         .withColumn("parent_uid", F.lit(None).cast("bigint"))
-        .withColumn("added", F.current_timestamp())
+        .withColumn("added", F.lit(now))
     )
     # The length in tokens is stored, so that corpus statistics need no texts. The tokens are
     # not, which keeps the table and its shuffle small: a match cuts the text again.
     columns = [*FULL_VIEW, "added", "source_file", "dl"]
     tables.store_posts(with_length(fresh).select(*columns), table)
+    if tables.exists(spark, table):
+        own = tables.stored_posts(spark, table).where(F.col("added") == F.lit(now))
+        _store_statistics(spark, own, out, load_id)
+
+
+def _store_statistics(spark: SparkSession, posts: DataFrame, out: str, load_id: str) -> None:
+    partial = statistics.partial(posts.select("platform", "board", "timestamp", "dl"))
+    tables.write_partitioned(partial.withColumn("load_id", F.lit(load_id)), f"{out}/statistics", ["load_id"], "append")
+
+
+def refresh_statistics(spark: SparkSession, out: str) -> None:
+    """Count what a load that broke off behind its posts did not count.
+
+    The number of stored posts is in the footers of their files. If the statistics do not add up to
+    it, the loads are told apart by their time and the whole table is counted again, from four columns.
+    """
+    if not tables.exists(spark, f"{out}/posts"):
+        return
+    posts = tables.stored_posts(spark, f"{out}/posts")
+    counted = 0
+    if tables.exists(spark, f"{out}/statistics"):
+        stored = tables.stored_statistics(spark, f"{out}/statistics")
+        counted = stored.agg(F.coalesce(F.sum("posts"), F.lit(0))).first()[0]
+    if counted != posts.count():
+        partial = statistics.partial(posts.select("platform", "board", "timestamp", "dl"))
+        tables.write_partitioned(
+            settled(partial).withColumn("load_id", F.lit("all")), f"{out}/statistics", ["load_id"], "overwrite")
 
 
 def _extend_boards(spark: SparkSession, posts: DataFrame, path: str) -> None:
@@ -113,7 +143,7 @@ def load_images(
         _append_new(spark, entries, f"{out}/archives", ARCHIVE_KEY)
     if thumbnail_root is not None:
         found = images.thumbnails(
-            images.read_thumbnail_files(spark, thumbnail_root), start=start, end=end)
+            images.read_thumbnail_files(spark, thumbnail_root, start, end), start=start, end=end)
         catalogue = (
             images.image_rows(found)
             .withColumn("image_name", F.lit(None).cast("string"))

@@ -11,6 +11,7 @@ POSTS_SCHEMA = """
     extras string, board string, post_type string, added timestamp, source_file string,
     dl int, platform string, month string
 """
+STATISTICS_SCHEMA = "platform string, board string, date string, posts long, tokens long, load_id string"
 HIT_ROWS_SCHEMA = """
     uid long, post_id string, timestamp timestamp, thread_id string, thread_uid long,
     parent_id string, parent_uid long, author string, board string, platform string,
@@ -30,13 +31,18 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def write_partitioned(rows: DataFrame, path: str, by: list[str], mode: str) -> None:
-    """Write a table partitioned by ``by``.
+def write_partitioned(
+    rows: DataFrame, path: str, by: list[str], mode: str, order: list[str] | None = None
+) -> None:
+    """Write a table partitioned by ``by``, each file sorted by ``order``.
 
     The rebalance hint brings rows of a partition together into files of sensible size and
     splits a partition that holds far more than others over several tasks.
     """
-    rows.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
+    spread = rows.hint("rebalance", *by)
+    if order:
+        spread = spread.sortWithinPartitions(*by, *order)
+    spread.write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def store_posts(posts: DataFrame, path: str) -> None:
@@ -48,9 +54,18 @@ def stored_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTS_SCHEMA).parquet(path)
 
 
+def stored_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The partial counts of all loads."""
+    return spark.read.schema(STATISTICS_SCHEMA).parquet(path).drop("load_id")
+
+
 def store_hit_rows(rows: DataFrame, path: str) -> None:
-    """One folder per marker, so that a drill-down reads only its own files."""
-    write_partitioned(rows, path, ["index"], "overwrite")
+    """One folder per marker, so that a drill-down reads only its own files.
+
+    Rows of a scope are next to one another, best rank first: a reader of one scope skips the row
+    groups of the others.
+    """
+    write_partitioned(rows, path, ["index"], "overwrite", ["in_sample", "in_all", "in_qanon", "rank", "uid"])
 
 
 def stored_hit_rows(spark: SparkSession, path: str) -> DataFrame:

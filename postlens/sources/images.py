@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.functions import fields
@@ -43,21 +43,39 @@ def archive_entries(
     )
 
 
-def read_thumbnail_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``<root>/<board>_thumbs/<member path>`` as (archive, member, length, content)."""
+def read_thumbnail_files(
+    spark: SparkSession, root: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Files below ``<root>/<board>_thumbs/<member path>`` as (archive, member, length, content).
+
+    Which files are thumbnails of the date range is told by their paths alone, so the files are
+    chosen from the listing and the bytes of all others are never read.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     )
     base = "/" + root.strip("/").split(":/")[-1].strip("/") + "/"
-    inside = F.substring_index("path", base, -1)
-    return files.select(
-        F.substring_index(inside, "/", 1).alias("archive"),
-        F.regexp_replace(inside, "^[^/]+/", "").alias("member"),
+
+    def member(path) -> Column:
+        return F.regexp_replace(F.substring_index(path, base, -1), "^[^/]+/", "")
+
+    image_id = fields.digits(member_name(member(F.col("_metadata.file_path"))))
+    chosen = image_id.isNotNull()
+    if start is not None or end is not None:
+        chosen &= fields.within(F.floor(image_id / 1000), start, end)
+    return files.where(chosen).select(
+        F.substring_index(F.substring_index("path", base, -1), "/", 1).alias("archive"),
+        member("path").alias("member"),
         "length",
         "content",
     )
 
 
+def member_name(member: Column) -> Column:
+    """The fourth part of a member path."""
+    return F.get(F.split(member, "/"), F.lit(3))
+
+
 def thumbnails(
     files: DataFrame, platform: str = BOARD_PLATFORM, start: str | None = None, end: str | None = None
 ) -> DataFrame:
@@ -66,7 +84,7 @@ def thumbnails(
     The id is a time in epoch milliseconds, so a date range applies to it directly. Members
     without a fourth part or without digits in it are left out.
     """
-    name = F.get(F.split("member", "/"), F.lit(3))
+    name = member_name(F.col("member"))
     board = F.concat(F.lit("/"), F.substring_index("archive", "_", 1), F.lit("/"))
     catalogue = files.select(
         F.lit(platform).alias("platform"),

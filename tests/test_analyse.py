@@ -1,6 +1,7 @@
 """The whole analysis job on a small table, read back from its outputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from postlens.operators import report, rollups
 from postlens.plans.analyse import analyse
 from postlens.sinks import tables
+from postlens.sources.layout import stored
 from postlens.sources.markers import any_of, atom, marker_table
 
 BODIES = ["red pill", "Red, red pill!", "blue", None, "the RED car", "pill red"]
@@ -114,9 +116,39 @@ def test_drilldown_reads_one_partition(spark, done):
     assert chosen.columns == report.DRILL_COLUMNS
     assert chosen.count() == rows["m1"].count_sample
     assert "PartitionFilters: [isnotnull(index" in chosen._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(in_sample,true)" in chosen._jdf.queryExecution().executedPlan().toString()
     assert report.drilldown(stored, "m1").count() == rows["m1"].count_all + rows["m1"].count_qanon
 
 
+def test_post_hits(spark):
+    """One row per post; counts, lists and distinct posts equal those of the single hits."""
+    rng = random.Random(2)
+    markers = [(f"m{k}", "pq"[k % 2], f"c{k % 3}", f"g{k % 4}", 1) for k in range(12)] + [("x", "p", "c9", "g9", 1)]
+    found = []
+    for uid in range(400):
+        for k in sorted(rng.sample(range(12), rng.randint(0, 5))):
+            own = rng.random() < 0.6
+            found.append((f"m{k}", uid, rng.randint(1, 4), own, not own, own and uid % 7 == 0))
+    table = spark.createDataFrame(markers, "index string, platform string, category string, marker_group string, to_analyse int")
+    hits = spark.createDataFrame(found, "index string, uid long, spans int, in_all boolean, in_qanon boolean, in_sample boolean")
+    posts = stored(report.post_hits(hits, table))
+    assert posts.count() == len({f[1] for f in found})
+    assert sorted(report.scoped_counts(posts).collect()) == sorted(report.marker_counts(hits).collect())
+    want = {(f[0], s, f[1]) for f in found for s, on in zip(report.SCOPES, f[3:]) if on}
+    assert {tuple(r) for r in report.hit_uids(posts).collect()} == want
+    names = {m[0]: m for m in markers}
+    for level, at in (("category", 2), ("marker_group", 3)):
+        distinct = {}
+        for index, scope, uid in want:
+            distinct.setdefault((names[index][1], names[index][at]), {}).setdefault(scope, set()).add(uid)
+        once = rollups.once_per_post(posts, table, level)
+        assert {(r[0], r[1]): tuple(r)[2:] for r in once.collect()} == {
+            key: tuple(len(distinct.get(key, {}).get(s, ())) for s in report.SCOPES)
+            for key in {(m[1], m[at]) for m in markers}}
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert "uid" not in "".join(line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
+
+
 def test_uid_lists_are_split(spark):
     uids = spark.range(1000).selectExpr("'m' as index", "'all' as scope", "id as uid")
     parts = report.uid_lists(uids, 100).collect()

@@ -6,9 +6,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from postlens.plans.load import load_images, load_posts, read_sources
+from postlens.operators import statistics
+from postlens.plans.load import load_images, load_posts, read_sources, refresh_statistics
 from postlens.schema import POST_COLUMNS
-from postlens.sources import posts as sources
+from postlens.sources import images, posts as sources
+from postlens.sources.layout import settled
 from postlens.sinks import tables
 
 T = 1_510_000_000
@@ -144,6 +146,16 @@ def test_load_twice_and_more(spark, folders, tmp_path):
     assert spark.read.parquet(f"{out}/types").count() == 3
     quarantine = spark.read.parquet(f"{out}/quarantine/more")
     assert quarantine.count() == 4
+    partials = tables.stored_statistics(spark, f"{out}/statistics")
+    whole = sorted(statistics.partial(stored.drop("dl")).collect())
+    assert sorted(statistics.partial(stored).collect()) == whole
+    merged = partials.groupBy("platform", "board", "date").agg(F.sum("posts"), F.sum("tokens"))
+    assert sorted(merged.collect()) == whole and statistics.corpus(partials)[0] == n + 6
+    lost = settled(partials.where("board <> '/tv/'").withColumn("load_id", F.lit("cut")))
+    lost.write.mode("overwrite").partitionBy(
+        "load_id").parquet(f"{out}/statistics")  # as if the counts of a load were lost
+    refresh_statistics(spark, out)
+    assert sorted(tables.stored_statistics(spark, f"{out}/statistics").collect()) == whole
     summary = spark.read.json(f"{out}/load_summary/more").where("board = '/tv/'").first()
     assert summary.records == 1 and summary.first_epoch == T
 
@@ -173,6 +185,24 @@ def test_images(spark, tmp_path):
     assert data.count() == 2 and data.where(F.octet_length("data") != 8).count() == 0
 
 
+def test_bytes_of_other_days_are_not_read(spark, tmp_path):
+    """Spark refuses to read a file beyond the limit, so the large files were not read."""
+    for second, size in ((LOW, 8), (LOW + 5, 8), (LOW - 1, 5_000), (HIGH + 1, 5_000)):
+        path = tmp_path / "pol_thumbs/t/1/2" / f"{second * 1000}s.jpg"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * size)
+    (tmp_path / "pol_thumbs/t/1/2/cover.jpg").write_bytes(b"x" * 5_000)
+    name = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(name, "100")
+    try:
+        found = images.thumbnails(images.read_thumbnail_files(spark, str(tmp_path), *RANGE), start=RANGE[0], end=RANGE[1])
+        assert sorted(r.image_id for r in found.collect()) == [LOW * 1000, (LOW + 5) * 1000]
+        with pytest.raises(Exception, match="exceeds the max length"):
+            images.read_thumbnail_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(name)
+
+
 def test_names_of_header_fields_are_data(spark, tmp_path):
     gz(tmp_path / "b.csv.gz", "thread_id,post_id,author,subject,body,time\n" + f"thread_id,7,a,s,b,{T}\n")
     gz(tmp_path / "f.csv.gz", "post_id,parent_id,subreddit,body,time\n" + f"1,p,subreddit,b,{T}\n2,p,two,b,{T}\n")
