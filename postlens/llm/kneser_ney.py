@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.store import sent_if_small, settled, whole_texts, written
+from postlens.llm.store import release_shuffles, sent_if_small, settled, whole_texts, written
 from postlens.llm.words import Texts, chunks, mix
 
 FREQUENT = 65_000  # words with a 16-bit number; the others are known by their hashes
@@ -56,6 +56,7 @@ TOXIC_QUANTILE, TOXIC_SHARE = 0.995, 0.001
 FOLDS = 4  # trusted 0 and 1, toxic 2 and 3
 SMOOTHING_WORDS = 25.0
 LEAST_TRUSTED = 100
+SLICES = 4
 
 
 def by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -620,10 +621,20 @@ def perplexities(docs: DataFrame, labels: DataFrame, size: int | None = None) ->
     trusted = rows.where("labelled").select(F.expr("fold + if(trusted, 0, 2)").alias("fold"), "text")
     rows = rows.drop("labelled")
     vocabulary, known = vocabulary_of(trusted, size)
+    release_shuffles(docs.sparkSession)
     counted = counted_bigrams(trusted, vocabulary)
+    release_shuffles(docs.sparkSession)
     continued = continuations(counted)
+    release_shuffles(docs.sparkSession)
     models = [model_of(counted, continued, *known[fold], fold) for fold in range(FOLDS)]
-    return scored(rows, vocabulary, counted, continued, models)
+    # The requests of a slice of the documents are on disk at a time; every slice meets all shards.
+    out = None
+    for k in range(SLICES):
+        mine = rows.where(F.pmod(F.shiftright("body", 8), F.lit(SLICES)) == k)
+        part = written(scored(mine, vocabulary, counted, continued, models))
+        release_shuffles(docs.sparkSession)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,8 +18,8 @@ ROW_GROUP = 16 << 20
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.BooleanType: 1}
 
-__all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "sent_if_small", "settled", "small_batches",
-           "whole_texts", "without", "written"]
+__all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "release_shuffles", "sent_if_small", "settled",
+           "small_batches", "whole_texts", "without", "written"]
 
 
 def whole_texts(spark: SparkSession) -> None:
@@ -37,6 +38,15 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(BATCH, str(before))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more.
+
+    They go when the driver collects the objects that stand for them, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(rows: DataFrame) -> DataFrame:
     """Write rows as Parquet beside the checkpoints and read them back: columns can be pruned."""
     spark = rows.sparkSession

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -232,6 +233,39 @@ def plain_model(texts, size):
     return log
 
 
+def plain_lower(texts):
+    """N(. w) and continuation probability of the words of a fold with all its words."""
+    pairs = {(a, b) for t in texts for a, b in zip([1, *t], [*t, 1], strict=True)}
+    into = Counter(b for _, b in pairs)
+    low = kneser_ney.discounts([float(sum(c == k for c in into.values())) for k in (1, 2, 3, 4)])
+    spread = sum(low[min(c, 3)] for c in into.values()) / (len({w for t in texts for w in t}) + 2)
+    return into, lambda w: max((max(0, into[w] - low[min(into[w], 3)]) + spread) / max(1, len(pairs)), 1e-12)
+
+
+def test_kneser_ney_with_all_words_and_toxic_folds(spark):
+    """What the query does: no limit of words, 64 shards of each fold, slices, and the toxic ratio."""
+    rng = np.random.default_rng(12)
+    pool, foul = [f"w{i}" for i in range(120)], [f"foul{i}" for i in range(6)]
+    texts = [" ".join(rng.choice(pool if k % 4 else pool + foul * 6, int(rng.integers(0, 50)))) for k in range(120)]
+    texts += [texts[5], "never seen words", "foul1 foul2"]
+    labels = {k: (1, int(k % 4 == 0)) for k in range(90)}
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    table = spark.createDataFrame([(k, *v) for k, v in labels.items()], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in kneser_ney.perplexities(docs, table).collect()}
+    assert len(rows) == len(texts)
+    split = {k: t.split() for k, t in enumerate(texts)}
+    for f in (0, 1):  # the documents of the other fold are judged
+        trusted = [split[k] for k, v in labels.items() if v == (1, 0) and rows[k].body & 1 == f and split[k]]
+        toxic = [split[k] for k, v in labels.items() if v[1] and rows[k].body & 1 == f and split[k]]
+        model, (_, lower), (kinds, bad) = plain_model(trusted, 10**9), plain_lower(trusted), plain_lower(toxic)
+        for k, w in split.items():
+            if w and rows[k].body & 1 != f:
+                assert rows[k].log == pytest.approx(sum(model(a, b) for a, b in zip([1, *w], [*w, 1], strict=True)), rel=1e-5)
+                ratio = [bad(a) / lower(a) if kinds[a] > 1 else 0.0 for a in [1, *w]]
+                assert rows[k].toxic_ratio == pytest.approx(
+                    float(np.log1p(kneser_ney.TOXIC_SHARE * (np.array(ratio) - 1)).sum()), rel=1e-4, abs=1e-6)
+
+
 def test_kneser_ney_counts_bigrams_of_all_words(spark):
     filler = " ".join(f"f{i}" for i in range(65_000))
     rare = [[f"r{k}x{i}" for i in range(40)] for k in range(6)]
@@ -328,6 +362,50 @@ def test_base_spans(spark, text, want):
     assert frame.select(pii.listed(pii.base_spans(F.col("text")))).first()[0] == want
 
 
+PLAIN = [re.compile(p) for p in (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def plain_base(text):
+    def luhn(digits):
+        twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+        return sum(d - 9 if d > 9 else d for d in twice) % 10 == 0
+    out = []
+    for kind, pattern in enumerate(PLAIN):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if {0: True, 1: all(int(x) <= 255 for x in m[0].split(".")) if kind == 1 else True,
+                2: 16 <= len(digits) <= 19 and luhn(digits), 3: 8 <= len(digits) <= 15}[kind]:
+                out.append(f"{pii.KINDS[kind]}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    rng = np.random.default_rng(9)
+    bits = ["a", "b.c", "@", ".", "-", "+", " ", "(", ")", "1", "25", "255", "256", "4111111111111111", "4111 1111",
+            "é", "😀", "%", "_", "\n", "x@y.z", "10.0.0.1", "+49 30 123456", "0000", "17", "-", "3"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(0, 30)))) for _ in range(3000)]
+    frame = spark.createDataFrame(enumerate(texts), "k int, text string").repartition(8)
+    rows = frame.select("text", pii.listed(pii.base_spans(F.col("text"))).alias("spans")).collect()
+    assert len(rows) == 3000 and [(r.text, r.spans) for r in rows if r.spans != plain_base(r.text)] == []
+
+
+def test_spans_of_a_long_text(spark):
+    """100,000 matches in one text, half of them proposals, which overlap and touch base spans."""
+    piece = "a@b.cd and k at l dot com "
+    docs = spark.createDataFrame([(1, piece * 50_000), (2, "é" + piece)], "doc_id long, text string")
+    started = time.monotonic()
+    rows = {r.doc_id: r for r in pii.redactions(docs).select(
+        "doc_id", F.size("base").alias("base"), "spans").collect()}
+    assert time.monotonic() - started < 60
+    assert rows[1].base == 50_000 and rows[2].base == 1
+    own = [(s.kind, s.start, s.end) for s in rows[2].spans]
+    assert len(rows[1].spans) == 50_000 * len(own)
+    assert [(s.kind, s.start - 26 * (k // len(own)) + 1, s.end - 26 * (k // len(own)) + 1)
+            for k, s in enumerate(sorted(rows[1].spans, key=lambda s: s.start))] == sorted(own, key=lambda s: s[1]) * 50_000
+
+
 def test_added_spans(spark, odd_docs, no_docs):
     texts = ["contact jane.doe [at] web-post [dot] com today", "call (212) 555-0187 now", "plain words only",
              "order no. 12345678901234 of the part", "x@y.org and +49 30 1234567"]
