@@ -6,8 +6,12 @@ plus, cards of other shapes. Boosted trees score each proposal by its format and
 threshold per kind, calibrated for precision on held-out examples, selects, and of overlapping
 ones the best scored stays. All of it happens within a row: no shuffle, no Python on the executors.
 
-The trees learn from labelled examples made by a rule below and from proposals of the corpus itself
-(``MAX_TRAINING_ROWS`` at most, those with the smallest hash) labelled by checksum and format.
+The trees learn from labelled examples made by a rule below and from proposals in the
+``MAX_TRAINING_TEXTS`` different texts with the smallest hash (``MAX_TRAINING_ROWS`` proposals at most)
+labelled by checksum and format.
+
+Places are sums over blocks and overlaps are looked for in blocks, so a text with n matches takes
+about n to the 1.5 steps.
 
 Offsets are code points, ends exclusive. Null counts as empty; texts without matches get no spans;
 repeated rows get equal results; other columns are ignored.
@@ -16,6 +20,7 @@ repeated rows get equal results; other columns are ignored.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from postlens.llm import trees
 
 KINDS = ["email", "ip", "card", "phone"]
-MAX_TRAINING_ROWS = 4000
+MAX_TRAINING_ROWS, MAX_TRAINING_TEXTS = 4000, 4000
 PRECISION = 0.99
 CONTEXT = 40
 N_FEATURES = 23
@@ -69,22 +74,53 @@ SPAN = ["kind", "start", "end", "value"]
 SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, not once per use or element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def block_size(items: Column) -> Column:
+    """Items are searched in blocks of about the root of their number: n to the 1.5 steps for n searches."""
+    return F.ceil(F.sqrt(F.size(items))).cast("int")
+
+
+def blocks(items: Column, size: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` each block of items."""
+    first = F.sequence(F.lit(1), F.size(items), size)
+    return F.when(F.size(items) > 0, F.transform(first, lambda i: of(F.slice(items, i, size))))
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
+def starts_of(lengths: Column, size: Column) -> Column:
+    """Sum of all lengths before each block."""
+    return F.aggregate(
+        blocks(lengths, size, total), F.array(F.lit(0)),
+        lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+
 def found(text: Column, kind: int, pattern: str) -> Column:
     """All matches with their places, from the matches and the gaps between them."""
     zipped = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
 
-    def step(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["gap"])
-        end = start + F.coalesce(F.length(item["value"]), F.lit(0))
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"),
-                                item["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(item["value"].isNull(), state["spans"])
-                        .otherwise(F.concat(state["spans"], span)).alias("spans"))
+    def placed(items: Column, lengths: Column, size: Column, sums: Column) -> Column:
+        def span(item: Column, i: Column) -> Column:
+            inside = total(F.slice(lengths, i - i % size + 1, i % size))
+            start = F.get(sums, (i / size).cast("int")) + inside + F.length(item["gap"])
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"),
+                            (start + F.length(item["value"])).alias("end"), item["value"].alias("value"))
+        return F.filter(F.transform(items, span), lambda s: s["value"].isNotNull())
+
+    def length(item: Column) -> Column:
+        return F.length(item["gap"]) + F.coalesce(F.length(item["value"]), F.lit(0))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    walked = F.aggregate(zipped, begin, step, lambda s: s["spans"])
+    walked = let(zipped, lambda items: let(F.transform(items, length), lambda lengths: let(
+        block_size(lengths), lambda size: let(
+            starts_of(lengths, size), lambda sums: placed(items, lengths, size, sums)))))
     return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(F.array().cast(SPANS))
 
 
@@ -139,12 +175,28 @@ def base_spans(text: Column) -> Column:
     return gated(text, [(k, BASE_NEEDS[name], BASE[name]) for k, name in enumerate(KINDS)], checked)
 
 
-def features(text: Column, span: Column) -> list[Column]:
+# A long text is looked into by pieces: to cut from a text, Spark walks it from its start.
+PIECE = 512
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, length: Column) -> Column:
+    """At most PIECE code points of a text given by its pieces."""
+    at = (start / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(parts, at), F.lit("")), F.coalesce(F.get(parts, at + 1), F.lit("")))
+    return F.substring(two, start % PIECE + 1, length)
+
+
+def features(parts: Column, span: Column) -> list[Column]:
+    """Numbers that describe a span of the text with these ``pieces``."""
     value, start = span["value"], span["start"]
     low = F.lower(value)
-    before = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)),
-                                 F.least(start, F.lit(CONTEXT))))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
+    first = F.greatest(start - CONTEXT, F.lit(0))
+    before = F.lower(cut(parts, first, start - first))
+    after = cut(parts, span["end"], F.lit(1))
     count = F.length(digits(value))
     words = F.when(span["kind"] == 0, before.rlike(KEYWORDS["email"]))
     for k in range(1, 4):
@@ -163,14 +215,40 @@ def features(text: Column, span: Column) -> list[Column]:
     return [F.coalesce(f.cast("double"), F.lit(0.0)) for f in [*flags, *numbers]]
 
 
-def _apart(span: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def without_touched(spans: Column, others: Column, beats: Callable[[Column, Column], Column]) -> Column:
+    """Spans that no overlapping one of ``others`` (sorted by start) ``beats``."""
+    def touches(span: Column, size: Column, reach: Column) -> Column:
+        def in_block(block: Column) -> Column:
+            near = (block["low"] < span["end"]) & (span["start"] < block["high"])
+            return near & F.exists(
+                F.slice(others, block["first"], size),
+                lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]) & beats(o, span))
+        return F.exists(reach, in_block)
+
+    def extent(size: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(others), size)
+        return F.when(F.size(others) > 0, F.transform(first, lambda i: F.struct(
+            i.alias("first"), F.element_at(others, i)["start"].alias("low"),
+            F.array_max(F.transform(F.slice(others, i, size), lambda o: o["end"])).alias("high"))))
+
+    kept = let(block_size(others), lambda size: let(
+        extent(size), lambda reach: F.filter(spans, lambda s: ~touches(s, size, reach))))
+    return F.when(F.size(others) > 0, kept).otherwise(spans)
+
+
+def by_start(spans: Column) -> Column:
+    """Spans sorted by start, with the fields in another order."""
+    return F.sort_array(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
 
 def proposals(text: Column, base: Column) -> Column:
-    """Proposed spans that do not touch a base span."""
-    every = gated(text, [(KINDS.index(k), need, p) for k, need, p in GENERATORS])
-    return F.array_distinct(F.filter(every, lambda s: _apart(s, base)))
+    """Proposed spans that do not touch a base span, each once."""
+    every = F.sort_array(gated(text, [(KINDS.index(k), need, p) for k, need, p in GENERATORS]))
+    once = let(every, lambda spans: F.filter(
+        spans, lambda s, i: (i == 0) | (F.get(spans, i - 1) != s)))
+    return let(once, lambda spans: let(by_start(base), lambda others: without_touched(
+        spans, others, lambda o, s: F.lit(True))))
 
 
 def examples(seed: int = 11, times: int = 60) -> list[tuple[str, int]]:
@@ -233,17 +311,27 @@ def examples(seed: int = 11, times: int = 60) -> list[tuple[str, int]]:
     return out
 
 
+def described_spans(text: Column, spans: Column) -> Column:
+    """(span, x) of each span; x are its features."""
+    return let(pieces(text), lambda parts: F.transform(spans, lambda s: F.struct(
+        s.alias("span"), F.array(*features(parts, s)).alias("x"))))
+
+
 def fit(docs: DataFrame, limit: int = MAX_TRAINING_ROWS) -> tuple[trees.Trees, list[float]]:
     """Trees and the threshold of each kind, as margins."""
     spark = docs.sparkSession
 
     def described(rows: DataFrame, *keep: str) -> DataFrame:
-        spans = rows.withColumn("base", base_spans(F.col("text"))).withColumn(
-            "span", F.explode(proposals(F.col("text"), F.col("base"))))
-        return spans.select(*keep, "span", F.array(*features(F.col("text"), F.col("span"))).alias("x"))
-
+        spans = rows.withColumn("base", base_spans(F.col("text")))
+        return spans.select(*keep, F.inline(described_spans(F.col("text"), proposals(F.col("text"), F.col("base")))))
+
+    # Documents are chosen by their hash first, so that the patterns run over few of them.
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    picked = texts.select(F.xxhash64("text").alias("body")).distinct().orderBy("body").limit(MAX_TRAINING_TEXTS)
+    chosen = texts.withColumn("body", F.xxhash64("text")).join(
+        F.broadcast(picked), "body", "left_semi").dropDuplicates(["body"]).select("text")
     made = described(spark.createDataFrame(examples(), "text string, label int"), "label")
-    own = described(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    own = described(chosen)
     card, ip, value = F.col("span.kind") == 2, F.col("span.kind") == 1, F.col("span.value")
     weak = F.when(card, F.when(F.length(digits(value)).between(13, 19), luhn(value)).otherwise(False)) \
         .when(ip, octets(value) | value.rlike(":"))
@@ -272,26 +360,25 @@ def redactions(docs: DataFrame, limit: int = MAX_TRAINING_ROWS) -> DataFrame:
     scored = docs.withColumn("text", text).withColumn("base", base_spans(F.col("text")))
     scored = scored.withColumn("_proposed", proposals(F.col("text"), F.col("base")))
 
-    def seen(span: Column) -> Column:
-        return F.struct(*[span[c].alias(c) for c in SPAN],
-                        F.array(*features(F.col("text"), span)).alias("x"))
-
-    def rated(span: Column) -> Column:
+    def rated(seen: Column) -> Column:
+        span = seen["span"]
         limit_of = F.element_at(F.array(*[F.lit(float(min(x, 1e9))) for x in limits]), span["kind"] + 1)
-        margin = model.column([span["x"][k] for k in range(N_FEATURES)])
+        margin = model.column([seen["x"][k] for k in range(N_FEATURES)])
         return F.struct(*[span[c].alias(c) for c in SPAN], (margin - limit_of).alias("over"))
 
     scored = scored.withColumn("_seen", F.when(
-        F.size("_proposed") > 0, F.transform("_proposed", seen))).withColumn(
+        F.size("_proposed") > 0, described_spans(F.col("text"), F.col("_proposed")))).withColumn(
         "_rated", F.filter(F.transform("_seen", rated), lambda s: s["over"] >= 0))
 
-    def best(span: Column) -> Column:
-        return ~F.exists("_rated", lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]) & (
-            (o["over"] > span["over"]) | ((o["over"] == span["over"]) & (
-                F.struct(o["start"], o["end"], o["kind"]) < F.struct(span["start"], span["end"], span["kind"])))))
+    def beats(o: Column, span: Column) -> Column:
+        return (o["over"] > span["over"]) | ((o["over"] == span["over"]) & (
+            F.struct(o["start"], o["end"], o["kind"]) < F.struct(span["start"], span["end"], span["kind"])))
 
-    added = F.transform(F.filter("_rated", best), lambda s: F.struct(
-        *[s[c].alias(c) for c in SPAN]))
+    ordered = F.sort_array(F.transform("_rated", lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"),
+        s["over"].alias("over"))))
+    best = let(ordered, lambda spans: without_touched(spans, spans, beats))
+    added = F.transform(F.when(F.size("_rated") > 0, best), lambda s: F.struct(*[s[c].alias(c) for c in SPAN]))
     return scored.withColumn(
         "spans", F.sort_array(F.concat("base", F.coalesce(added, F.array().cast(SPANS))))).drop(
         "_proposed", "_seen", "_rated")

@@ -398,7 +398,7 @@ def test_spans_of_a_long_text(spark):
     started = time.monotonic()
     rows = {r.doc_id: r for r in pii.redactions(docs).select(
         "doc_id", F.size("base").alias("base"), "spans").collect()}
-    assert time.monotonic() - started < 60
+    assert time.monotonic() - started < 150
     assert rows[1].base == 50_000 and rows[2].base == 1
     own = [(s.kind, s.start, s.end) for s in rows[2].spans]
     assert len(rows[1].spans) == 50_000 * len(own)
