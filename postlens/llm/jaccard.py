@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.components import components
-from postlens.llm.store import once, sent_if_small, settled, whole_texts, without, written
+from postlens.llm.store import once, release_shuffles, sent_if_small, settled, whole_texts, without, written
 from postlens.llm.words import chunks, mix, shingles
 
 SHINGLE, PERCENT = 4, 85
@@ -388,8 +388,10 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
     """(doc_id, body, n, node of each row; node, label of each node with a link)."""
     whole_texts(docs.sparkSession)
     rows = written(described(docs, size, percent, shingle_order(docs, size)))
+    release_shuffles(docs.sparkSession)
     firsts = rows.where(F.col("keys").isNotNull())
     tiles = written(shared_tiles(tile_rows(firsts), percent))
+    release_shuffles(docs.sparkSession)
     nodes = firsts.select("doc_id", "body", "node", "n", "bits").dropDuplicates(["node"])
 
     parts = tiles.where("hot").select("tile", "leader").distinct()
@@ -398,6 +400,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
         ordered(parts.join(heads, "tile"), "leader", "head")).distinct())
     compared, labels = [stars], None
     pairs = settled(bounded(stars, nodes, percent))
+    release_shuffles(docs.sparkSession)
     # The second of the later rounds has all pairs that are left, whatever the first one found.
     for likeliest in (True, False, None):
         if labels is None or not pairs.isEmpty():
@@ -405,12 +408,14 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tupl
             if labels is not None:
                 links = links.union(labels.select("node", "label"))
             labels = components(links)
+            release_shuffles(docs.sparkSession)
         if likeliest is None:
             break
         pairs = tile_pairs(tiles, nodes, labels, percent, likeliest)
         for done in compared:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = settled(pairs)
+        release_shuffles(docs.sparkSession)
         compared.append(pairs)
     return rows.select("doc_id", "body", "n", "node"), labels
 
