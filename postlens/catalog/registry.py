@@ -13,7 +13,7 @@ from postlens.functions import fields
 from postlens.operators import (
     counts, dedupe, dimensions, matching, ranking, report, rollups, sampling, statistics, views,
 )
-from postlens.operators.uid_index import UidIndex, known_keys
+from postlens.operators.uid_index import UidIndex, by_key, known_keys
 from postlens.schema import ARCHIVE_KEY, CLOSE_TAG, FULL_VIEW, IMAGE_KEY, OPEN_TAG, POST_KEY
 from postlens.sinks import tables
 from postlens.sources import images, posts as sources, selection
@@ -303,8 +303,8 @@ def surrogate_key_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = index.used(keys)
     known = known_keys(
         keys, used, first.withColumn("month", F.date_format("timestamp", "yyyy-MM")), POST_KEY)
-    new = settled(keys.join(known, POST_KEY, "left_anti"))
-    second = dedupe.with_uid(new, used=used, keys=new).drop("hash")
+    new = settled(by_key(keys, known, POST_KEY, "left_anti"))
+    second = dedupe.with_slots(new.drop("hash"), dedupe.shared_slots(new, used=used))
     return first.unionByName(second).select("uid", "platform", "board", "post_type", "post_id")
 
 

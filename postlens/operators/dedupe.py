@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.operators.numbering import hash_key
-from postlens.operators.uid_index import SLOTS
+from postlens.operators.uid_index import SLOTS, by_key
 from postlens.schema import POST_KEY
 from postlens.sources.layout import broadcast_if_small, settled
 
@@ -112,13 +112,22 @@ def shared_slots(
 
 
 def with_slots(posts: DataFrame, slots: DataFrame | None) -> DataFrame:
-    """Add ``uid`` from the hash of the key and the ``shared_slots``."""
+    """Add ``uid`` from the hash of the key and the ``shared_slots``.
+
+    A key that comes several times has as many slots, one for each of its posts.
+    """
     hashed = posts.withColumn("_hash", _hash_bits())
     if slots is None:
         hashed = hashed.withColumn("_slot", F.lit(0).cast("bigint"))
     else:
-        hashed = hashed.join(broadcast_if_small(slots), POST_KEY, "left").withColumn(
-            "_slot", F.coalesce("_slot", F.lit(0)))
+        own = settled(slots.groupBy(*POST_KEY).agg(F.sort_array(F.collect_list("_slot")).alias("_slots")))
+        hashed = by_key(hashed, own, POST_KEY, "left")
+        again = F.coalesce(F.size("_slots") > 1, F.lit(False))
+        copies = hashed.where(again)
+        hashed = hashed.withColumn("_slot", F.coalesce(F.get("_slots", F.lit(0)), F.lit(0)))
+        if not own.where("size(_slots) > 1").isEmpty():
+            place = F.row_number().over(Window.partitionBy(*POST_KEY).orderBy(*POST_KEY)) - 1
+            hashed = hashed.where(~again).unionByName(copies.withColumn("_slot", F.get("_slots", place)))
     return hashed.select(
         (F.col("_hash") * SLOTS + F.col("_slot")).alias("uid"),
         *[c for c in posts.columns if c != "uid"],

@@ -13,7 +13,9 @@ stored posts, in the months of these keys.
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import md5
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,5 +124,12 @@ def known_keys(keys: DataFrame, used: DataFrame, stored: DataFrame, key: list[st
         return asked
     span = asked.agg(F.date_format(F.min("timestamp"), "yyyy-MM").alias("low"),
                      F.date_format(F.max("timestamp"), "yyyy-MM").alias("high")).first()
-    within = stored.where(F.col("month").between(span.low, span.high))
-    return settled(within.select(*key).join(broadcast_if_small(asked), key, "left_semi").distinct())
+    within = stored.where(F.col("month").between(span.low, span.high) | F.col("month").isNull())
+    return settled(by_key(within.select(*key), asked, key, "left_semi").distinct())
+
+
+def by_key(rows: DataFrame, others: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Join settled ``others`` to ``rows`` by a key in which nulls are equal."""
+    named = others.withColumnsRenamed({c: f"_key_{c}" for c in key})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in key))
+    return rows.join(broadcast_if_small(named), same, how).drop(*[f"_key_{c}" for c in key])

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from postlens.catalog import registry
 from postlens.operators import dedupe, dimensions, numbering, uid_index
 from postlens.schema import POST_KEY
 
@@ -141,3 +142,33 @@ def test_new_keys_read_no_stored_key(spark, index):
     stored = rows.where("rank < 100").withColumn("month", F.lit("1970-01"))
     both = dedupe.key_hashes(rows)
     assert uid_index.known_keys(both, index.used(both), stored, POST_KEY).count() == 100
+
+
+def test_ids_of_repeated_keys_and_of_keys_with_nulls(spark, monkeypatch):
+    rows = frame(spark, [("p", "b", "comment", "1", 5, "a", 1)] * 3 + [("p", "b", "comment", None, 5, "a", 1)] * 2
+                 + [("p", "b", "comment", str(i), 5, "a", i) for i in range(2, 40)])
+    for digits in (14, 1):
+        monkeypatch.setattr(dedupe, "HASH_DIGITS", digits)
+        got = dedupe.with_uid(rows)
+        assert got.count() == 43 and got.select("uid").distinct().count() == 43
+
+
+def test_index_knows_keys_with_nulls(spark, index):
+    rows = frame(spark, [("p", "b", "comment", None, 5, "a", 1), ("p", "b", None, "1", None, "a", 1),
+                         ("p", "b", "comment", "2", 5, "a", 1)])
+    index.add(dedupe.with_uid(rows).select("uid"))
+    keys = dedupe.key_hashes(rows.unionByName(frame(spark, [("q", "b", "comment", None, 5, "a", 1)])))
+    stored = rows.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
+    known = uid_index.known_keys(keys, index.used(keys), stored, POST_KEY)
+    assert known.count() == 3
+
+
+def test_surrogate_key_index_over_two_loads(spark, tmp_path):
+    """Rows with repeated keys and without an id: every row once, every id once."""
+    docs = [(i // 2 if i < 20 else i, f"t{i}", ["en", "fr", "de", "es"][i // 2 % 4], "s", 2) for i in range(100)]
+    docs += [(None, "x", lang, "s", 1) for lang in ("en", "fr", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = registry.surrogate_key_index(spark, str(tmp_path))
+    assert got.count() == 103 and got.select("uid").distinct().count() == 103
+    assert sorted(got.collect(), key=str) == sorted(registry.surrogate_key(spark, str(tmp_path)).collect(), key=str)
