@@ -25,7 +25,7 @@ name is null. Repeated rows share a component. Nodes are 64-bit hashes of sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,15 +72,27 @@ def bucket(features: np.ndarray) -> np.ndarray:
 
 
 class Order:
-    """Rank of a shingle by the count of its bucket, and the buckets whose tiles are salted."""
+    """Rank of a shingle by the count of its bucket, and the buckets whose tiles are salted.
 
-    def __init__(self, total: np.ndarray):
-        noise = total.mean() + 6 * np.sqrt(total.mean())
-        self.rank = np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)
+    The counts come in slices (place and counts), of which one is held at a time.
+    """
+
+    def __init__(self, slices: Iterable[tuple[int, np.ndarray]]):
+        self.rank, sum_, large = np.zeros(BUCKETS, np.uint8), 0, []
+        for k, counts in slices:
+            first = k * len(counts)
+            self.rank[first: first + len(counts)] = np.minimum(255, 8 * np.log2(1.0 + counts))
+            sum_ += int(counts.sum())
+            at = np.flatnonzero(counts > SALT_ROWS)  # few: their counts add up to the rows
+            large.append((first + at, counts[at]))
+        mean = sum_ / BUCKETS
+        noise = mean + 6 * np.sqrt(mean)
         self.frequent = min(255, int(8 * np.log2(1.0 + noise)) + 1)
-        extra = np.maximum(total - noise, 0)
-        self.hot = np.flatnonzero(extra > SALT_ROWS)  # few: their counts add up to the rows
-        self.parts = (1 + extra[self.hot] // SALT_ROWS).astype(np.int32)
+        large.sort(key=lambda x: x[0][0] if len(x[0]) else -1)
+        places = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in large)])
+        extra = np.concatenate([np.zeros(0), *(n for _, n in large)]) - noise
+        self.hot = places[extra > SALT_ROWS]
+        self.parts = (1 + extra[extra > SALT_ROWS] // SALT_ROWS).astype(np.int32)
 
     def salts(self, buckets: np.ndarray) -> np.ndarray:
         if not len(self.hot):
@@ -118,10 +130,8 @@ def shingle_order(docs: DataFrame, size: int) -> Order:
     schema = "slice int, counts binary"
     summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema).repartition(
         SLICES, "slice").mapInArrow(add, schema)
-    total = np.zeros((SLICES, width), np.int64)
-    for row in summed.toLocalIterator():  # SLICES rows of fixed size
-        total[row.slice] = read(bytes(row.counts))
-    return Order(total.ravel())
+    # SLICES rows of fixed size
+    return Order((row.slice, read(bytes(row.counts))) for row in summed.toLocalIterator())
 
 
 def signature(own: np.ndarray) -> bytes:

@@ -733,3 +733,23 @@ def test_meeting_with_one_large_set():
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
     assert (0, 1) in set(zip(*pairs.tolist()))
+
+
+def test_order_of_shingles_holds_one_slice_at_a_time():
+    width = jaccard.BUCKETS // jaccard.SLICES
+
+    def slices():
+        for k in reversed(range(jaccard.SLICES)):
+            counts = np.full(width, 2, np.int64)
+            counts[k] = 1000 * (k + 1) + 60_000
+            yield k, counts
+
+    tracemalloc.start()
+    order = jaccard.Order(slices())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * jaccard.BUCKETS
+    total = np.concatenate([counts for _, counts in sorted(slices(), key=lambda x: x[0])])
+    assert (order.rank == np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)).all()
+    assert order.hot.tolist() == [k * width + k for k in range(jaccard.SLICES)]
+    assert order.salts(np.array([0, 1, order.hot[-1]])).tolist() == [2, 1, 3]
