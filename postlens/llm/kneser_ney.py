@@ -292,8 +292,8 @@ def counted_bigrams(trusted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield packed(place, *tally.merge())
 
     partial = trusted.select("fold", "text").mapInArrow(count, PAIRS)
-    return written(partial.repartition(FOLDS * SHARDS, "shard").sortWithinPartitions("shard").mapInArrow(
-        merge, PAIRS))
+    # Partitions follow the size: a task merges its shards one by one, small ones share a task and a file.
+    return written(partial.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, PAIRS))
 
 
 OWN, ASKED = 1, 2
@@ -339,7 +339,7 @@ def continuations(counted: DataFrame) -> DataFrame:
         yield from closed()
 
     schema = "shard int, kind int, words binary, kinds binary"
-    return written(counted.mapInArrow(send, schema).repartition(FOLDS * SHARDS, "shard").sortWithinPartitions(
+    return written(counted.mapInArrow(send, schema).repartition("shard").sortWithinPartitions(
         "shard").mapInArrow(add, schema))
 
 

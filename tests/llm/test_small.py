@@ -753,3 +753,14 @@ def test_order_of_shingles_holds_one_slice_at_a_time():
     assert (order.rank == np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8)).all()
     assert order.hot.tolist() == [k * width + k for k in range(jaccard.SLICES)]
     assert order.salts(np.array([0, 1, order.hot[-1]])).tolist() == [2, 1, 3]
+
+
+def test_kneser_ney_small_shards_share_files(spark, tmp_path, monkeypatch):
+    """As many files as the size asks for, not one for each shard."""
+    docs = [(i, f"word{i} and word{i * 7 % 50} of a text", "en") for i in range(300)]
+    trusted = spark.createDataFrame(docs, "doc_id long, text string, lang string").selectExpr(
+        "int(doc_id % 4) as fold", "text")
+    vocabulary, _ = kneser_ney.vocabulary_of(trusted, None)
+    counted = kneser_ney.counted_bigrams(trusted, vocabulary)
+    assert counted.select("shard").distinct().count() == counted.count() > 100
+    assert len(counted.inputFiles()) <= 4 and len(kneser_ney.continuations(counted).inputFiles()) <= 4
