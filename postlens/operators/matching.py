@@ -66,12 +66,13 @@ def _large_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
     """
     parts = []
     for part in markers.parts:
-        own = let("own", part.filter.offered("t"), "if(size(own) > 0, struct(i as i, own as own), null)")
-        spots = f"array_compact(transform(tokens, (t, i) -> {own}))"
+        own = f"struct(i as i, {part.filter.offered('t')} as own)"
+        spots = f"array_compact(transform(tokens, (t, i) -> if({part.filter.any_offered('t')}, {own}, null)))"
         candidates = (
             posts.selectExpr("*", f"{spots} as spots")
             .selectExpr("*", "array_distinct(flatten(transform(spots, s -> s.own))) as offered")
-            .selectExpr("*", "explode(offered) as key")
+            # As above: exploding the bare column would compute everything below it twice.
+            .selectExpr("*", "explode(array_distinct(offered)) as key")
             .join(F.broadcast(part.keys), "key")
             .join(F.broadcast(part.specs), "marker"))
         parts.append(_first_key(candidates))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.functions.sql import let, text_list
+from postlens.functions.sql import text_list
 from postlens.functions.text import tokens
 from postlens.schema import MARKER_SCHEMA
 from postlens.sources.layout import settled
@@ -128,13 +128,24 @@ class KeyFilter:
     bits: bytes
     lengths: tuple[int, ...]
 
+    def _keys(self, token: str) -> list[tuple[str, str]]:
+        """SQL: when a token has a key, and the key."""
+        return [("true", f"concat('=', {token})")] + [
+            (f"char_length({token}) >= {n}", f"concat('{n}*', left({token}, {n}))") for n in self.lengths]
+
+    def _held(self, key: str) -> str:
+        place = f"pmod(xxhash64({key}), {self.buckets}L)"
+        byte = f"ascii(cast(substring(X'{self.bits.hex()}', cast({place} div 7 as int) + 1, 1) as string))"
+        return f"bit_get({byte}, cast({place} % 7 as int)) = 1"
+
+    def any_offered(self, token: str) -> str:
+        """SQL: may the marker table hold a key of the token? Most tokens stop here, and no array is made for them."""
+        return " or ".join(f"({has} and {self._held(key)})" for has, key in self._keys(token))
+
     def offered(self, token: str) -> str:
         """SQL: the keys of a token that the marker table may hold."""
-        keys = [f"concat('=', {token})"]
-        keys += [f"if(char_length({token}) >= {n}, concat('{n}*', left({token}, {n})), null)" for n in self.lengths]
-        byte = f"ascii(cast(substring(X'{self.bits.hex()}', cast(h div 7 as int) + 1, 1) as string))"
-        held = let("h", f"pmod(xxhash64(k), {self.buckets}L)", f"bit_get({byte}, cast(h % 7 as int)) = 1")
-        return f"filter(array({', '.join(keys)}), k -> k is not null and {held})"
+        keys = [f"if({has}, {key}, null)" for has, key in self._keys(token)]
+        return f"filter(array({', '.join(keys)}), k -> k is not null and {self._held('k')})"
 
 
 @dataclass(frozen=True)

@@ -185,3 +185,12 @@ def test_long_body_stays_fast(spark):
         "marker", "spans", F.length(matching.marked_up("body", "result.spans", "<", ">")).alias("n"))
     got = {r.marker: (r.spans, r.n) for r in rows.collect()}
     assert got == {"0": (100_000, 900_000 + 200_000), "1": (200_000, 900_000 + 400_000)}
+
+
+def test_large_table_cuts_texts_once(spark):
+    """No filter below the explosion of the keys repeats what they are computed from."""
+    rows = marker_table(spark, [("m", "p", "c", "t", "m", "g", "q", 1, [any_of(atom("term", "red"))])])
+    posts = spark.createDataFrame(POSTS, "uid long, subject string, body string, extras string")
+    found = matching.hits(posts.withColumn("platform", F.lit("p")), prepare(rows, 0), ["platform"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "split(" in line for line in plan.splitlines())
