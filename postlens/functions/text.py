@@ -53,17 +53,28 @@ def fold(text: str) -> str:
     return f"if(octet_length({text}) = char_length({text}), lower({text}), {folded})"
 
 
+def _by_kind(text: str, of_ascii: str, of_others: str) -> str:
+    """SQL: the cheaper of two equal expressions for a text of ASCII characters only.
+
+    A regular expression over plain ranges takes a fraction of the time of one over Unicode classes.
+    """
+    return f"if(octet_length({text}) = char_length({text}), {of_ascii}, {of_others})"
+
+
 def tokens(text: str) -> str:
     """SQL: token array of a text; empty for null."""
-    parts = f"array_remove(split({fold(text)}, r'[^{TOKEN_CHARS}]+'), '')"
-    return f"coalesce({parts}, cast(array() as array<string>))"
+    parts = _by_kind(text, f"split(lower({text}), '[^a-z0-9]+')", f"split({fold(text)}, r'[^{TOKEN_CHARS}]+')")
+    return f"coalesce(array_remove({parts}, ''), cast(array() as array<string>))"
 
 
 def count(text: str) -> str:
     """SQL: number of tokens of a text, 0 for null."""
-    return f"coalesce(regexp_count({text}, r'{word_pattern()}'), 0)"
+    words = _by_kind(text, f"regexp_count({text}, '[A-Za-z0-9]++')", f"regexp_count({text}, r'{word_pattern()}')")
+    return f"coalesce({words}, 0)"
 
 
 def pieces(text: str) -> str:
     """SQL: the whole text cut into words, one per token, and the gaps between them."""
-    return f"regexp_extract_all({text}, r'{word_pattern()}|[^{TOKEN_CHARS}]++', 0)"
+    return _by_kind(
+        text, f"regexp_extract_all({text}, '[A-Za-z0-9]++|[^A-Za-z0-9]++', 0)",
+        f"regexp_extract_all({text}, r'{word_pattern()}|[^{TOKEN_CHARS}]++', 0)")

@@ -30,8 +30,11 @@ def with_length(posts: DataFrame) -> DataFrame:
 
 
 def with_tokens(posts: DataFrame) -> DataFrame:
-    """Add ``tokens`` of the body, and ``dl``."""
-    return with_length(posts).selectExpr("*", f"{text.tokens('body')} as tokens")
+    """Add ``tokens`` of the body, and ``dl``, for which the body is not cut again."""
+    cut = posts.selectExpr("*", f"{text.tokens('body')} as tokens")
+    if "dl" in posts.columns:
+        return cut
+    return cut.selectExpr("*", f"size(tokens) + {text.count('subject')} + {text.count('extras')} as dl")
 
 
 # --- candidates ----------------------------------------------------------------------

@@ -194,3 +194,11 @@ def test_large_table_cuts_texts_once(spark):
     found = matching.hits(posts.withColumn("platform", F.lit("p")), prepare(rows, 0), ["platform"])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "split(" in line for line in plan.splitlines())
+
+
+def test_length_counts_the_body_once_and_equally(spark):
+    posts = spark.createDataFrame(POSTS, "uid long, subject string, body string, extras string")
+    counted = matching.with_tokens(posts).selectExpr("dl", f"{matching.length()} as whole", "tokens")
+    assert counted.where("dl <> whole").count() == 0
+    plan = matching.with_tokens(posts).select("dl")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count(body" not in plan.replace("#", " ").replace("body ", "body")
