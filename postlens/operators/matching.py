@@ -52,7 +52,7 @@ def _small_candidates(posts: DataFrame, markers: Markers) -> DataFrame:
     keys += [f"concat('{n}*', left(s.t, {n}))" for n, _ in markers.prefixes]
     candidates = (
         posts.selectExpr("*", f"{spots} as spots")
-        .selectExpr("*", f"flatten(transform(spots, s -> array({', '.join(keys)}))) as offered")
+        .selectExpr("*", f"array_distinct(flatten(transform(spots, s -> array({', '.join(keys)})))) as offered")
         # Exploding a bare column would add a filter that repeats its whole computation.
         .selectExpr("*", "explode(array_distinct(offered)) as key")
         .join(F.broadcast(markers.keys), "key")
@@ -200,23 +200,21 @@ def hits(
 def marked_up(body: str, spans: str, open_tag: str, close_tag: str) -> Column:
     """Body with a tag pair around each span, in time that grows with the text only.
 
-    The text is cut into words and gaps, which take turns. Span starts and ends become one flag
-    per piece (runs of false between trues), so a piece finds its tags without a search.
+    The text is cut into words and gaps, which take turns. Pieces are joined by the span: the pieces
+    between two spans and those of a span are slices, so no piece is looked at by itself.
     """
     opening, closing = text_literal(open_tag), text_literal(close_tag)
 
-    def flags(places: str) -> str:
-        at = "(2 * {} + lead)"
-        before = f"if(n = 0, -1, {at.format(f'get({places}, n - 1)')})"
-        return (f"flatten(transform({places}, (p, n) -> concat("
-                f"array_repeat(false, {at.format('p')} - {before} - 1), array(true))))")
+    def joined(first: str, length: str) -> str:
+        return f"array_join(slice(pieces, {first} + 1, {length}), '')"
 
-    def has(marks: str) -> str:
-        return f"coalesce(get({marks}, i), false)"
+    def at(place: str) -> str:
+        return f"(2 * {place} + lead)"
 
-    marked = f"""array_join(transform(pieces, (s, i) ->
-        if({has('opened')}, if({has('closed')}, concat({opening}, s, {closing}), concat({opening}, s)),
-            if({has('closed')}, concat(s, {closing}), s))), '')"""
+    start, end = at("s"), at(f"get({spans}.ends, n)")
+    behind = f"if(n = 0, 0, {at(f'get({spans}.ends, n - 1)')} + 1)"  # the first piece behind the span before
+    marked = f"""concat(array_join(transform({spans}.starts, (s, n) -> concat(
+        {joined(behind, f'{start} - {behind}')}, {opening}, {joined(start, f'{end} - {start} + 1')}, {closing})), ''),
+        {joined(f"coalesce({at(f'get({spans}.ends, size({spans}.ends) - 1)')} + 1, 0)", 'size(pieces)')})"""
     leads_with_gap = f"if(get(pieces, 0) rlike r'^[{text.TOKEN_CHARS}]', 0, 1)"
-    return F.expr(let("pieces", text.pieces(body), let("lead", leads_with_gap, let(
-        "opened", flags(f"{spans}.starts"), let("closed", flags(f"{spans}.ends"), marked)))))
+    return F.expr(let("pieces", text.pieces(body), let("lead", leads_with_gap, marked)))

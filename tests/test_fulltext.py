@@ -202,3 +202,12 @@ def test_length_counts_the_body_once_and_equally(spark):
     assert counted.where("dl <> whole").count() == 0
     plan = matching.with_tokens(posts).select("dl")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_count(body" not in plan.replace("#", " ").replace("body ", "body")
+
+
+def test_marked_up_texts_keep_every_piece(spark):
+    rows = [("the red pill", [0, 2], [0, 2]), (" - red, red\n", [0], [1]), ("é́ red", [1], [1]), ("red", [], []),
+            ("...", [], []), ("", [], []), (None, [], [])]
+    got = spark.createDataFrame(rows, "body string, starts array<int>, ends array<int>").selectExpr(
+        "body", "struct(starts, ends) as spans").select(matching.marked_up("body", "spans", "<", ">").alias("x"))
+    assert [r.x for r in got.collect()] == [
+        "<the> red <pill>", " - <red, red>\n", "é́ <red>", "red", "...", "", None]
