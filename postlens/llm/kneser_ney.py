@@ -7,6 +7,8 @@ word; c(u .), N(u .) and N(. w) come from the shards, too. Documents never meet
 task turns its texts into blocks of sorted bigram requests with the places that asked, each request
 goes to its shard, is answered there from the counts, and returns as sums per document. So the model
 and what is shuffled grow with the corpus, while a task holds one shard and one request at a time.
+A slice of the shards is asked at a time, by all documents, and its shuffle files are gone before the next:
+the disk holds one part of the model and of the requests, and no part of the model is shuffled twice.
 
 A request asks only the shard of its first word. Of log p(w | u), the part of an unseen bigram that
 depends on w is log lower(w); a text opens and closes with the same border, so its words are as often
@@ -32,18 +34,20 @@ be judged: all documents with words are kept. Repeated rows get equal results; l
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.store import release_shuffles, sent_if_small, settled, whole_texts, written
+from postlens.llm.store import sent_if_small, settled, shuffles_dropped, whole_texts, written
 from postlens.llm.words import Texts, chunks, mix
 
 FREQUENT = 65_000  # words with a 16-bit number; the others are known by their hashes
+LEADING = 17  # bits of a hash that a frequent word is looked up by
 UNKNOWN, EDGE, FIRST = 0, 1, 2  # numbers of words outside a limited vocabulary, borders and the first word
 ESCAPE = 65_535
 HASHED = np.uint64(1 << 63)  # set in the hash of a word without a number
@@ -56,7 +60,7 @@ TOXIC_QUANTILE, TOXIC_SHARE = 0.995, 0.001
 FOLDS = 4  # trusted 0 and 1, toxic 2 and 3
 SMOOTHING_WORDS = 25.0
 LEAST_TRUSTED = 100
-SLICES = 4
+SLICES = 4  # of the shards
 
 
 def by_fold(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -81,12 +85,26 @@ class Vocabulary:
 
     frequent: np.ndarray
     allowed: list[np.ndarray] | None
+    starts: np.ndarray = field(init=False)  # where the hashes with each leading bits start in ``frequent``
+
+    def __post_init__(self):
+        self.starts = np.searchsorted(self.frequent, np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING))
+
+    def placed(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``among`` the frequent ones, of which few share their leading bits."""
+        table = np.append(self.frequent, np.uint64(2**64 - 1))
+        at = self.starts[hashes >> np.uint64(64 - LEADING)]
+        behind = np.flatnonzero(table[at] < hashes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[table[at[behind]] < hashes[behind]]
+        return at, (table[at] == hashes) & (at < len(self.frequent))
 
     def numbered(self, texts: Texts, fold: int) -> tuple[np.ndarray, np.ndarray]:
         """Number and text of every word."""
         starts, ends, row = texts.words()
         hashes = texts.hashes(starts, ends, lower=True)
-        at, short = among(hashes, self.frequent)
+        at, short = self.placed(hashes)
         ids = np.where(short, (at + FIRST).astype(np.uint64), hashes | HASHED)
         if self.allowed is not None:
             ids[~among(hashes, self.allowed[fold % 2])[1]] = UNKNOWN
@@ -108,6 +126,11 @@ def shard_of(ids: np.ndarray) -> np.ndarray:
     return (mix(ids) >> np.uint64(64 - SHARD_BITS)).astype(np.int32)
 
 
+def slice_of(shard):
+    """The slice of a shard, as of a column of them."""
+    return shard * SLICES // SHARDS
+
+
 def sorted_pairs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stable order of bigrams by mixed first word and second word, and where each distinct one starts."""
     order = np.lexsort((w, mix(u)))
@@ -453,7 +476,7 @@ PAIR, WORDS, SECONDS, TOXIC, REQUEST, PLACES = 0, OWN, ASKED, 3, 4, 5  # TOXIC:
 ROUTED = ("shard int, kind int, block long, heads binary, lengths binary, seconds binary, counts binary, "
           "places binary, card binary")
 BLOBS = ["heads", "lengths", "seconds", "counts", "places", "card"]
-CARD = ["doc_id", "body", "language", "trusted"]
+CARD = ["doc_id", "body", "language"]
 
 
 def _routed(shard: int, kind: int, block: int, *parts: bytes | None) -> pa.RecordBatch:
@@ -463,10 +486,10 @@ def _routed(shard: int, kind: int, block: int, *parts: bytes | None) -> pa.Recor
 
 
 class Asked:
-    """A block of texts of one fold in the making."""
+    """A block of texts of one fold in the making, with their bigrams of one slice of the shards."""
 
-    def __init__(self, fold: int, number: int):
-        self.fold, self.number = fold, number
+    def __init__(self, fold: int, number: int, part: int):
+        self.fold, self.number, self.part = fold, number, part
         self.u, self.w, self.places, self.cards = [], [], [], []
         self.texts = self.words = 0
 
@@ -476,18 +499,19 @@ class Asked:
     def add(self, texts: Texts, own: pa.RecordBatch, vocabulary: Vocabulary) -> None:
         ids, row = vocabulary.numbered(texts, 1 - self.fold)
         u, w, places = bigrams(ids, row, texts.rows)
-        self.u.append(u)
-        self.w.append(w)
-        self.places.append((places + self.texts).astype(np.uint16))
-        self.cards.append(own.append_column("n_words", pa.array(np.bincount(row, minlength=texts.rows))))
-        self.texts, self.words = self.texts + texts.rows, self.words + len(u)
+        mine = np.flatnonzero(slice_of(shard_of(u)) == self.part)
+        self.u.append(u[mine])
+        self.w.append(w[mine])
+        self.places.append((places[mine] + self.texts).astype(np.uint16))
+        self.cards.append(own.append_column("n_words", pa.array(np.bincount(row, minlength=texts.rows))).append_column(
+            "events", pa.array(np.bincount(places, minlength=texts.rows))))
+        self.texts, self.words = self.texts + texts.rows, self.words + len(mine)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() * (1 << 24) + 2 * self.number + self.fold
         u, w, place = np.concatenate(self.u), np.concatenate(self.w), np.concatenate(self.places)
         self.u, self.w, self.places = [], [], []
         card = pa.Table.from_batches(self.cards).combine_chunks()
-        card = card.append_column("events", pa.array(np.bincount(place, minlength=self.texts)))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, card.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
             file.write_table(card)
@@ -506,20 +530,20 @@ class Asked:
 
 
 def scored(rows: DataFrame, vocabulary: Vocabulary, counted: DataFrame, continued: DataFrame,
-           models: list[Model]) -> DataFrame:
-    """doc_id, body, language, trusted, n_words, events, log, toxic_ratio of every row (columns as CARD, fold, text)."""
+           models: list[Model], part: int) -> DataFrame:
+    """doc_id, body, language, n_words, events of every row (columns as CARD, fold, text), log and toxic_ratio of a slice."""
     context = rows.sparkSession.sparkContext
     sent, known = context.broadcast(models), context.broadcast(vocabulary)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [Asked(0, 0), Asked(1, 0)]
+        asked = [Asked(0, 0, part), Asked(1, 0, part)]
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_TEXTS):
                 for fold, own in by_fold(batch.slice(at, BLOCK_TEXTS)):
                     for piece in chunks(own.column("text")):
                         if asked[fold].full(piece.rows):
                             yield from asked[fold].rows()
-                            asked[fold] = Asked(fold, asked[fold].number + 1)
+                            asked[fold] = Asked(fold, asked[fold].number + 1, part)
                         asked[fold].add(piece, own.slice(piece.first, piece.rows).select(CARD), known.value)
         for block in asked:
             if block.cards:
@@ -593,14 +617,32 @@ def scored(rows: DataFrame, vocabulary: Vocabulary, counted: DataFrame, continue
 
     asked = rows.mapInArrow(ask, ROUTED)
     trusted = F.col("shard") % FOLDS < 2
-    shards = routed(counted.where(trusted), kind=F.lit(PAIR), **{c: F.col(c) for c in BLOBS[:4]}).unionByName(routed(
-        continued.where(trusted | (F.col("kind") == OWN)), kind=F.when(trusted, F.col("kind")).otherwise(TOXIC),
+    mine = F.expr(f"shard div {FOLDS} * {SLICES} div {SHARDS} = {part}")
+    shards = routed(counted.where(mine & trusted), kind=F.lit(PAIR), **{c: F.col(c) for c in BLOBS[:4]}).unionByName(routed(
+        continued.where(mine & (trusted | (F.col("kind") == OWN))), kind=F.when(trusted, F.col("kind")).otherwise(TOXIC),
         heads=F.col("words"), counts=F.col("kinds")))
     answers = shards.unionByName(asked).repartition(2 * SHARDS, "shard").sortWithinPartitions(
         "shard", "kind").mapInArrow(answer, "block long, sums binary, card binary")
     return answers.repartition("block").sortWithinPartitions("block").mapInArrow(
-        add, "doc_id long, body long, language string, trusted boolean, n_words long, events long, log double, "
-        "toxic_ratio double")
+        add, "doc_id long, body long, language string, n_words long, events long, log double, toxic_ratio double")
+
+
+def added(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all slices as one row for each document: ``log`` and ``toxic_ratio`` are added up.
+
+    Repeated documents are equal in every slice, so one of them stands for all, and comes out as often.
+    """
+    rows = parts[0].withColumn("part", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        rows = rows.unionByName(part.withColumn("part", F.lit(k)))
+
+    def total(name: str) -> Column:
+        return reduce(Column.__add__, [F.max(F.when(F.col("part") == k, F.col(name))) for k in range(len(parts))])
+
+    found = rows.groupBy(*CARD, "n_words", "events").agg(
+        total("log").alias("log"), total("toxic_ratio").alias("toxic_ratio"),
+        F.expr(f"count(*) div {len(parts)}").alias("copies"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies", "copy")
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, size: int | None = None) -> DataFrame:
@@ -608,33 +650,25 @@ def perplexities(docs: DataFrame, labels: DataFrame, size: int | None = None) ->
 
     With ``size``, only so many words of each fold have counts of their own; all have by default.
     """
-    whole_texts(docs.sparkSession)
+    spark = docs.sparkSession
+    whole_texts(spark)
     good = F.expr("quality = 1 and coalesce(toxic, 0) = 0")
-    known = settled(labels.where(good | (F.col("toxic") == 1)).where("doc_id is not null").groupBy(
-        F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.coalesce(good, F.lit(False))).alias("_good")))
+    judged = sent_if_small(settled(labels.where(good | (F.col("toxic") == 1)).where("doc_id is not null").groupBy(
+        F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.coalesce(good, F.lit(False))).alias("_good"))))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"),
-        F.col("lang").cast("string").alias("language"), F.col("text").cast("string").alias("text")).join(
-        sent_if_small(known), F.col("doc_id") == F.col("_id"), "left").select(
-        "doc_id", "body", "language", F.coalesce("_good", F.lit(False)).alias("trusted"),
-        F.expr("int(body & 1)").alias("fold"), "text", F.col("_good").isNotNull().alias("labelled"))
-    trusted = rows.where("labelled").select(F.expr("fold + if(trusted, 0, 2)").alias("fold"), "text")
-    rows = rows.drop("labelled")
-    vocabulary, known = vocabulary_of(trusted, size)
-    release_shuffles(docs.sparkSession)
-    counted = counted_bigrams(trusted, vocabulary)
-    release_shuffles(docs.sparkSession)
-    continued = continuations(counted)
-    release_shuffles(docs.sparkSession)
-    models = [model_of(counted, continued, *known[fold], fold) for fold in range(FOLDS)]
-    # The requests of a slice of the documents are on disk at a time; every slice meets all shards.
-    out = None
-    for k in range(SLICES):
-        mine = rows.where(F.pmod(F.shiftright("body", 8), F.lit(SLICES)) == k)
-        part = written(scored(mine, vocabulary, counted, continued, models))
-        release_shuffles(docs.sparkSession)
-        out = part if out is None else out.unionByName(part)
-    return out
+        F.col("lang").cast("string").alias("language"), F.expr("int(xxhash64(text) & 1)").alias("fold"),
+        F.col("text").cast("string").alias("text"))
+    trusted = rows.join(judged, F.col("doc_id") == F.col("_id")).select(
+        F.expr("fold + if(_good, 0, 2)").alias("fold"), "text")
+    with shuffles_dropped(spark):
+        vocabulary, known = vocabulary_of(trusted, size)
+        counted = counted_bigrams(trusted, vocabulary)
+        continued = continuations(counted)
+        models = [model_of(counted, continued, *known[fold], fold) for fold in range(FOLDS)]
+        parts = [written(scored(rows, vocabulary, counted, continued, models, k)) for k in range(SLICES)]
+    return added(parts).join(judged, F.col("doc_id") == F.col("_id"), "left").select(
+        *CARD, F.coalesce("_good", F.lit(False)).alias("trusted"), "n_words", "events", "log", "toxic_ratio")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

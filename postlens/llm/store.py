@@ -15,11 +15,12 @@ from postlens.sources.layout import checkpoint_folder, settled
 
 BROADCAST_BYTES = 8 << 20
 ROW_GROUP = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _WIDTHS = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.BooleanType: 1}
 
 __all__ = ["BROADCAST_BYTES", "checkpoint_folder", "once", "release_shuffles", "sent_if_small", "settled",
-           "small_batches", "whole_texts", "without", "written"]
+           "shuffles_dropped", "small_batches", "whole_texts", "without", "written"]
 
 
 def whole_texts(spark: SparkSession) -> None:
@@ -38,6 +39,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(BATCH, str(before))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete the shuffle files of each query that is run inside as soon as it has ended.
+
+    Otherwise they stay until the driver happens to collect the objects that stand for them.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs that nothing refers to any more.
 

@@ -1,12 +1,15 @@
 """The operators on odd rows and empty tables, against plain Python."""
 
+import glob
 import hashlib
+import os
 import re
 import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm import (
     components, decontamination, html_crf, jaccard, kneser_ney, language, line_dedup, packing, pii,
-    quality_rules, sharding, trees, words,
+    quality_rules, sharding, store, trees, words,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -764,3 +767,61 @@ def test_kneser_ney_small_shards_share_files(spark, tmp_path, monkeypatch):
     counted = kneser_ney.counted_bigrams(trusted, vocabulary)
     assert counted.select("shard").distinct().count() == counted.count() > 100
     assert len(counted.inputFiles()) <= 4 and len(kneser_ney.continuations(counted).inputFiles()) <= 4
+
+
+def test_kneser_ney_slices_ask_every_bigram_once(spark, odd_docs, monkeypatch):
+    """A slice asks its own shards only, and the rows of all slices add up to one for each document."""
+    monkeypatch.setattr(kneser_ney.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = pa.array([" ".join(f"w{k * j % 97}" for j in range(60)) for k in range(20)] + ["", "one"])
+    own = pa.RecordBatch.from_arrays([pa.array(range(22))] * 2 + [pa.array(["en"] * 22)], kneser_ney.CARD)
+    vocabulary = kneser_ney.Vocabulary(np.zeros(0, np.uint64), None)
+    piece = next(words.chunks(texts))
+    asked, cards = Counter(), set()
+    for part in range(kneser_ney.SLICES):
+        block = kneser_ney.Asked(0, 0, part)
+        block.add(piece, own, vocabulary)
+        for row in (r.to_pylist()[0] for r in block.rows()):
+            if row["kind"] == kneser_ney.PLACES:
+                cards.add(str(pa.ipc.open_stream(row["card"]).read_all().select(["n_words", "events"]).to_pydict()))
+                continue
+            assert kneser_ney.slice_of(row["shard"] // 2) == part
+            u, w = kneser_ney._unpack_pairs(row["heads"], row["lengths"], row["seconds"])
+            for a, b, n in zip(u, w, kneser_ney._unpack(row["counts"], np.uint32), strict=True):
+                asked[int(a), int(b)] += int(n)
+    u, w, _ = kneser_ney.bigrams(*vocabulary.numbered(piece, 1), piece.rows)
+    assert asked == Counter(zip(u.tolist(), w.tolist(), strict=True)) and len(cards) == 1
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
+    found = kneser_ney.perplexities(odd_docs, labels).collect()
+    assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in odd_docs.collect())
+    assert {r.doc_id for r in found if r.trusted} == {1, 5}
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """They do not wait for a collection on the driver, and later queries keep theirs."""
+    def files():
+        return set(glob.glob(os.environ.get("SPARK_LOCAL_DIRS", "/tmp") + "/blockmgr-*/*/shuffle_*.data"))
+
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    before, usual = files(), spark.conf.get(store.CLEANUP)
+    with store.shuffles_dropped(spark):
+        kept = [store.written(rows.repartition(3, "k")) for _ in range(3)]
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and [k.count() for k in kept] == [1000] * 3
+    assert spark.conf.get(store.CLEANUP) == usual
+    again = rows.repartition(3, "k").persist()
+    assert again.count() == again.count() == 1000 and files() - before
+    again.unpersist()
+
+
+def test_kneser_ney_looks_words_up_by_leading_bits():
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 3000):
+        # Many share their leading bits; both ends of the range are there.
+        table = np.unique(rng.integers(0, 1 << 48, size, dtype=np.uint64) << rng.choice(np.uint64([0, 16]), size))
+        table = np.r_[table, np.uint64(2**64 - 1)] if size > 1 else table
+        asked = np.r_[table, table + np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.uint64([0, 2**64 - 1])]
+        at, there = kneser_ney.Vocabulary(table, None).placed(asked)
+        assert (there == np.isin(asked, table)).all() and (table[at[there]] == asked[there]).all()
